@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlex.llm import common, decontam, line_dedup, packing, pu_quality, simhash, token_store, tokens
+from twinlex.llm import common, decontam, line_dedup, packing, perplexity, pu_quality, secret_ledger, simhash, token_store, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -21,6 +21,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.mark(docs, items))
 
 
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each different line of 40 characters or more: its first place, copies, links to other lines, and class."""
     found = line_dedup.classes(_table(spark, sf_dir, "documents"))
@@ -28,6 +33,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*place("first", ""), "n_copies", "n_links", *place("class_first", "class_"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = common.stored(secret_ledger.scan(docs), "ledger")
+    return secret_ledger.digest(secret_ledger.findings(docs, ledger))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_path(spark, "token-ids")
     manifest = token_store.write(_table(spark, sf_dir, "documents"), folder, tokens.vocabulary_path(VOCABULARY), end_id=2)
@@ -53,7 +64,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_perplexity": op3_perplexity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secrets": op5_secrets,
     "op7_token_store": op7_token_store,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
@@ -100,4 +113,38 @@ select d.place // 1000000 as doc_id, d.place % 1000000 as line_no, n_copies, cas
 from d left join n using (place) left join c using (place)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op4_line_dedup": _OP4}
+_OP5_KINDS = (
+    ("assign", """((?i:password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
+    ("access", "AKIA[A-Z0-9]{16,}", 0, 0),
+    ("hex", "[0-9a-f]{24,}", 0, 0),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    ("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("cloud_key", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+)
+
+
+def _op5() -> str:
+    """One part for each kind: the pieces between matches tell where the matches stand."""
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(_OP5_KINDS):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""
+  select doc_id, {rank} as rank, '{kind}' as kind, list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(found, 1, i - 1), lambda x: length(x))), 0) as b, length(found[i]) as n, length(groups[i]) as g
+  from (select *, unnest(range(1, len(found) + 1)) as i from (
+    select doc_id, string_split_regex(text, {quoted}) as gaps, regexp_extract_all(text, {quoted}) as found, regexp_extract_all(text, {quoted}, {group}) as groups from documents where regexp_matches(text, {quoted})))
+  where length(groups[i]) >= {least}""")
+    return f"""
+with s as ({" union all ".join(parts)}),
+t as (select doc_id, rank, kind, b, concat(kind, ':', cast(b as bigint), ':', cast(b + n as bigint)) as span from s),
+a as (
+  select doc_id, count(*) filter (where rank = 0) as n_assign, count(*) filter (where rank = 1) as n_access, count(*) filter (where rank = 2) as n_hex,
+    string_agg(span, ',' order by b, rank) filter (where rank < 3) as base, string_agg(span, ',' order by b, rank) as spans
+  from t group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents left join a using (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op4_line_dedup": _OP4, "op5_secrets": _op5()}
