@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlex.llm import common, decontam, line_dedup, packing, perplexity, pu_quality, secret_ledger, simhash, token_store, tokens
+from twinlex.llm import common, decontam, line_dedup, masked_lm, packing, perplexity, pu_quality, secret_ledger, simhash, suffix_dedup, token_store, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeats(_table(spark, sf_dir, "documents")))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontam.digest(decontam.mark(docs, items))
@@ -39,6 +43,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(secret_ledger.findings(docs, ledger))
 
 
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, *masked_lm.train(docs))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_path(spark, "token-ids")
     manifest = token_store.write(_table(spark, sf_dir, "documents"), folder, tokens.vocabulary_path(VOCABULARY), end_id=2)
@@ -63,10 +72,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_perplexity": op3_perplexity,
     "op4_line_dedup": op4_line_dedup,
     "op5_secrets": op5_secrets,
+    "op6_masked_lm": op6_masked_lm,
     "op7_token_store": op7_token_store,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
