@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,30 +19,32 @@ class WordEncoder:
 
     That holds if the normalizer treats white space as a boundary and the pre-tokenizer drops it, as with word_bpe_49k.json.
     The ids are those of Tokenizer.encode(text, add_special_tokens=False); each different word is encoded once as long as
-    the memo of `most` words lasts.
+    the memo lasts: it holds the last `most` different words at least and twice as many at most.
     """
 
-    def __init__(self, path: str, most: int = 1 << 17) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, and how many each text has. Null: none."""
-        raw, at = common.buffers(texts)
-        words, n = common.spaced_words(raw, at)
+        words, n = common.spaced_words(*_plain(*common.buffers(texts)))
+        at = np.concatenate([[0], np.cumsum(n)])
         if not len(words):
             return np.empty(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         coded = pc.dictionary_encode(words)
         if len(self.memo) > self.most:
-            self.memo.clear()
-        memo, different = self.memo, coded.dictionary.to_pylist()
-        if new := [w for w in different if w not in memo]:
-            for i in range(0, len(new), 4096):
-                for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
-        parts = [memo[w] for w in different]
+            self.memo, self.older = {}, self.memo
+        memo, older, different = self.memo, self.older, coded.dictionary.to_pylist()
+        parts = [memo.get(w) or older.get(w) for w in different]
+        if new := [i for i, part in enumerate(parts) if part is None]:
+            texts_new = [different[i] for i in new]
+            for i, e in zip(new, self.tokenizer.encode_batch_fast(texts_new, add_special_tokens=False), strict=True):
+                parts[i] = array("I", e.ids).tobytes()
+        memo.update(zip(different, parts, strict=True))
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         table, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
         which = coded.indices.to_numpy()
@@ -51,6 +55,32 @@ class WordEncoder:
         return ids, np.diff(stop, prepend=0)
 
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_ALNUM = np.isin(np.arange(256), [*range(48, 58), *range(97, 123)])
+_MARK = ~_BLANK & ~_ALNUM & (np.arange(256) > 32) & (np.arange(256) < 127) & ~np.isin(np.arange(256), range(65, 91))
+
+
+def _plain(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with the same ids but fewer different words: ASCII letters in lower case, marks behind a word parted from it.
+
+    The tokenizer does both itself. Case is left alone where it could matter: beside the combining marks that have composed
+    forms in one case only, and where a special token may stand.
+    """
+    text = raw.tobytes()
+    if b"<|" in text or b"\xcc" in text:
+        return raw, at
+    raw = np.frombuffer(text.lower(), np.uint8)
+    mark, alnum = _MARK[raw], _ALNUM[raw]
+    starts = np.flatnonzero(mark[1:] & alnum[:-1]) + 1
+    other = np.flatnonzero(~mark)
+    doc_end = at[np.minimum(np.searchsorted(at, starts, "right"), len(at) - 1)]
+    inside = at[np.searchsorted(at, starts, "right") - 1] != starts
+    nxt = np.searchsorted(other, starts)
+    end = np.minimum(np.where(nxt < len(other), other[np.minimum(nxt, max(len(other) - 1, 0))], len(raw)) if len(other) else len(raw), doc_end)
+    starts = starts[inside & ((end == doc_end) | _BLANK[raw[np.minimum(end, len(raw) - 1)]])]
+    return np.insert(raw, starts, 32), at + np.searchsorted(starts, at)
+
+
 def encoder(path: str) -> WordEncoder:
     """One for each worker process; worker threads are switched off, as Spark runs one task for each core."""
     import os
