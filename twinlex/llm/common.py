@@ -49,6 +49,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, whatever case it is told apart in."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
     spark = df.sparkSession

@@ -92,8 +92,9 @@ def place(items: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     spark = items.sparkSession
     common.share_package(spark)
     keys = [F.col(length).desc(), *order]
-    sorted_rows = common.stored(items.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    per_part = {r.part: r.n for r in sorted_rows.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    (at_name,) = common.fresh(items, "_at")
+    sorted_rows = common.stored(items.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at_name, F.monotonically_increasing_id()), "ranked")
+    per_part = {r.part: r.n for r in sorted_rows.groupBy(F.shiftright(at_name, 33).alias("part")).agg(F.count("*").alias("n")).collect()}
     counts = {r.size: r.n for r in sorted_rows.groupBy(F.col(length).alias("size")).agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if counts and not (1 <= min(counts) and max(counts) <= capacity):
         raise ValueError(f"lengths must lie between 1 and {capacity}")

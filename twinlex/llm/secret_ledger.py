@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinlex.llm import common
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -100,8 +102,8 @@ def scan(versions: DataFrame, content: str = "text", ledger: DataFrame | None =
 def findings(versions: DataFrame, ledger: DataFrame, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """versions with `found` array<SPAN>: what the ledger holds for each row's blob under the rules as they are now.
 
-    Every row of versions stays, in every column but content; a blob without findings has an empty array. Sorted by start,
-    then by the order of rules.
+    Every row of versions stays, in every column but content and one named found; a blob without findings has an empty array.
+    Sorted by start, then by the order of rules. Null and empty contents are one blob, without findings.
     """
     now = [r.version for r in rules]
     hits = ledger.filter(F.size("found") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
@@ -110,9 +112,11 @@ def findings(versions: DataFrame, ledger: DataFrame, content: str = "text", rule
         F.array_sort(F.transform(F.filter("found", lambda s: s["version"].isin(now)), lambda s: F.struct(s["start"].alias("start"), F.get(F.array(rank), F.lit(0))[s["version"]].alias("rank"), s.alias("span")))),
         lambda x: x["span"],
     )
-    rows = versions.withColumn("_blob", blob(F.col(content))).drop(content)
+    own, other, held = common.fresh(versions, "_blob", "_other", "_held")
+    rows = versions.withColumn(own, blob(F.col(content))).drop(content)
     none = F.array().cast(f"array<{SPAN}>")
-    return rows.join(hits.select(F.col("blob").alias("_blob"), ordered.alias("_found")), "_blob", "left").withColumn("found", F.coalesce("_found", none)).drop("_blob", "_found")
+    joined = rows.join(hits.select(F.col("blob").alias(other), ordered.alias(held)), F.col(own) == F.col(other), "left")
+    return joined.withColumn("found", F.coalesce(held, none)).drop(own, other, held)
 
 
 def listed(found: Column, kinds: tuple[str, ...]) -> Column:

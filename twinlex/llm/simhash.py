@@ -217,5 +217,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: the one with the smallest key. Rows that repeat that key stay together."""
     found = near_duplicates(docs, key, text, radius)
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    (kept_key,) = common.fresh(docs, "_kept")
+    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(kept_key)).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(kept_key)), "left_semi")
