@@ -1,0 +1,214 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from twinlex.llm import common, masked_lm, packing, token_store, tokens
+
+VOCABULARY = tokens.vocabulary_path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def plain_ids(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_memo_gives_the_library_ids(library):
+    rng = random.Random(3)
+    alphabet = [*"aAbZ09 \n\t.,,;!?'\"-<|>*#|éÉßİiIjJ漢😀ſK", "̱", "̌", "̈", "̇", " ", "　", "\x1c", "\x85", "'s", "'T", "<|endoftext|>", "word", "The", "don't", "##", "..."]
+    encoder = tokens.WordEncoder(VOCABULARY, 50)
+    for turn in range(60):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+        if turn % 2:
+            texts = [t and t.replace("<|", "").translate({0x331: None, 0x30C: None, 0x308: None, 0x307: None}) for t in texts]
+        ids, n = encoder.encode(pa.array(texts, pa.string()))
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        assert [p.tolist() for p in parts] == [plain_ids(library, t) for t in texts]
+
+
+# ------------------------------------------------------------------ token files
+
+
+def test_elias_fano_round_trip():
+    rng = np.random.default_rng(0)
+    for values in ([0], [0, 0, 0], [5], np.cumsum(rng.integers(0, 3, 2000)), np.cumsum(rng.integers(0, 100_000, 3000)), [0] * 600 + [10**12]):
+        values = np.array(values, np.int64)
+        ef = token_store.EliasFano.build(values)
+        assert ef.values().tolist() == values.tolist()
+        for i in rng.integers(0, len(values), 40):
+            assert ef[int(i)] == values[i]
+        a, b = sorted(rng.integers(0, len(values) + 1, 2).tolist())
+        assert ef.values(a, b).tolist() == values[a:b].tolist()
+    dense = token_store.EliasFano.build(np.arange(0, 640_000, 64))
+    assert dense.low.nbytes + dense.high.nbytes < 10_000 * 9 / 8 + 64  # 2 + log2(64) bits each
+
+
+def test_token_files_read_back(spark, library, odd_docs, odd_rows, no_docs):
+    manifest = token_store.write(odd_docs, common.new_path(spark, "ids"), VOCABULARY, 2)
+    found = token_store.read(manifest).collect()
+    ordered = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[1] is not None))
+    start, expected = 0, Counter()
+    starts = defaultdict(list)
+    for k, t in ordered:
+        ids = [*plain_ids(library, t), 2]
+        expected[k, len(ids), np.array(ids, "<u4").tobytes()] += 1
+        starts[k].append(start)
+        start += len(ids)
+    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids)) for r in found) == expected
+    got = defaultdict(list)
+    for r in found:
+        got[r.doc_id].append(r.start)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in starts.items()}
+    reader = token_store.Reader(manifest.first()["file"])
+    assert [reader.document(i)[-1] for i in range(reader.n_docs)] == [2] * reader.n_docs
+    assert token_store.read(token_store.write(no_docs, common.new_path(spark, "ids"), VOCABULARY, 2)).count() == 0
+    with pytest.raises(Exception, match="more than 1 bytes"):
+        token_store.write(odd_docs, common.new_path(spark, "ids"), VOCABULARY, 2, width=1)
+
+
+# ------------------------------------------------------------------ packing
+
+
+def test_packing_places_every_piece_once(spark, library, odd_docs, odd_rows, no_docs):
+    for capacity in (4096, 64):
+        rows = packing.pack(odd_docs, VOCABULARY, 1, capacity).collect()
+        expected = Counter()
+        for k, t in odd_rows:
+            ids = [*plain_ids(library, t), 1]
+            for piece, start in enumerate(range(0, len(ids), capacity)):
+                part = ids[start : start + capacity]
+                expected[k, piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+        assert Counter((r.doc_id, r.piece, r.start, r.length, zlib.crc32(r.ids)) for r in rows) == expected
+        by_sequence = defaultdict(list)
+        for r in rows:
+            by_sequence[r.sequence_id].append((r.offset, r.length))
+        for parts in by_sequence.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        total = sum(r.length for r in rows)
+        assert len(by_sequence) <= 1.1 * total / capacity + 1
+    assert packing.pack(no_docs, VOCABULARY, 1).count() == 0
+
+
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - n)
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+def test_sweep_packs_as_well_as_best_fit_decreasing():
+    rng = np.random.default_rng(1)
+    for draw in (lambda: rng.integers(1, 101, 400), lambda: rng.integers(1, 20, 300), lambda: rng.choice([51, 34, 33, 17, 16], 500), lambda: np.full(77, 30)):
+        lengths = draw()
+        _, _, _, n = packing.sweep(dict(Counter(lengths.tolist())), 100)
+        assert n <= best_fit_decreasing(lengths.tolist(), 100)
+
+
+def test_lengths_beyond_capacity_are_refused(spark):
+    with pytest.raises(ValueError, match="between 1 and 10"):
+        packing.place(spark.createDataFrame([(1, 0, 11)], "doc_id bigint, piece int, length bigint"), 10)
+
+
+# ------------------------------------------------------------------ masked language model
+
+
+def test_gradient_matches_differences():
+    rng = np.random.default_rng(2)
+    net = masked_lm.Network(rng.normal(0, 0.2, len(masked_lm.Network().flat)))
+    context, target = rng.integers(0, 200, (6, 4)), rng.integers(0, 200, 6)
+    loss = lambda flat: -float(masked_lm.Network(flat).log_prob(context, target).astype(np.float64).mean())
+    before = net.flat.astype(np.float64)
+    stepped = masked_lm.Network(net.flat)
+    memory = [np.zeros_like(m) for m in net.memory()]
+    stepped.train(context, target, memory, rate=1.0)  # the first Adagrad step from nothing is the gradient's sign
+    moved = stepped.flat.astype(np.float64) - before
+    for i in rng.choice(np.flatnonzero(np.abs(moved) > 0.99), 12, replace=False):
+        up, down = before.copy(), before.copy()
+        up[i] += 3e-2
+        down[i] -= 3e-2
+        slope = loss(up) - loss(down)
+        assert abs(slope) < 2e-6 or np.sign(slope) == -np.sign(moved[i])
+
+
+def test_probabilities_sum_to_one():
+    net = masked_lm.Network(seed=3)
+    every = np.arange(masked_lm.CLASSES * masked_lm.MEMBERS)
+    context = np.tile([[5, 70, 0, 300]], (len(every), 1))
+    assert np.exp(net.log_prob(context, every).astype(np.float64)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_contexts_stay_within_texts():
+    found = masked_lm.contexts(np.array([1, 2, 3, 4, 5]), np.array([3, 0, 2]))
+    assert found.tolist() == [[0, 0, 2, 3], [0, 1, 3, 0], [1, 2, 0, 0], [0, 0, 5, 0], [0, 4, 0, 0]]
+
+
+def test_training_beats_the_start_and_tells_order(spark):
+    rng = random.Random(1)
+    sentence = lambda: " ".join(f"a{(k := rng.randrange(40))} b{k} c{k}" for _ in range(40))
+    rows = [(i, sentence()) for i in range(300)] + [(1000, " ".join(rng.choice("abc") + str(rng.randrange(40)) for _ in range(120)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    words, net = masked_lm.train(docs)
+    mean = lambda n: {r.doc_id: r.mean_log_prob for r in masked_lm.score(docs, words, n).collect()}
+    before, after = mean(masked_lm.Network()), mean(net)
+    assert np.mean(list(after.values())) > np.mean(list(before.values())) + 1
+    assert after[1000] < np.mean([v for k, v in after.items() if k < 1000]) - 0.3
+
+
+def test_scores_of_odd_and_empty_tables(odd_docs, odd_rows, no_docs):
+    words, net = masked_lm.train(odd_docs, rounds=1)
+    rows = masked_lm.score(odd_docs, words, net).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((k, len((t or "").encode().split())) for k, t in odd_rows)
+    assert all((r.mean_log_prob is None and r.log_likelihood == 0) if not r.n_tokens else abs(r.log_likelihood - r.n_tokens * r.mean_log_prob) < 1e-6 * r.n_tokens + 1e-6 and r.mean_log_prob < 0 for r in rows)
+    words, net = masked_lm.train(no_docs, rounds=1)
+    assert masked_lm.score(no_docs, words, net).count() == 0 and masked_lm.score(odd_docs, words, net).count() == len(odd_rows)
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+def test_pipeline_stages_against_their_operators(spark, odd_docs, tmp_path):
+    import corpus_pipeline as pipeline
+
+    folder = str(tmp_path)
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(20)] + [(306, 0)], "doc_id bigint, quality int").write.parquet(f"{folder}/labels.parquet")
+    phrase = " ".join(docs.filter("doc_id = 8").first().text.split()[:15])
+    spark.createDataFrame([(1, phrase)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        out = common.stored(stage(spark, now, folder), name)
+        if name != "pack":
+            assert out.columns == docs.columns
+        kept[name] = (now, out)
+        now = out
+    before, lines = kept["drop_lines"]
+    assert before.count() == lines.count() and lines.filter("n_chars <> length(coalesce(text, ''))").count() == 0
+    before, single = kept["drop_near_duplicates"]
+    groups = {r.component_id for r in __import__("twinlex.llm.simhash", fromlist=["x"]).near_duplicates(before).collect()}
+    assert {r.doc_id for r in single.collect()} == groups
+    before, clean = kept["decontaminate"]
+    gone = {r.doc_id for r in before.collect()} - {r.doc_id for r in clean.collect()}
+    assert gone <= {8} or all(phrase.split()[3] in (r.text or "") for r in before.filter(F.col("doc_id").isin(list(gone))).collect())
+    packed = kept["pack"][1]
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in clean.collect()}
+    assert Counter((r.doc_id, r.piece) for r in pipeline.run(spark, folder).collect()) == Counter((r.doc_id, r.piece) for r in packed.collect())
