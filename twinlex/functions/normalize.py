@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from twinlex.functions import charclass as cc
+from twinlex.functions.expr import once
 
 # Code points that are deleted, and quotes with their plain forms.
 INVISIBLE = "​‌‍⁠﻿­"
@@ -89,9 +90,13 @@ def numeral_value(run: Column) -> Column:
 def numerals_to_digits(text: Column) -> Column:
     """Every run of Ge'ez numerals replaced by its value: the pieces between runs, and the values, set in turn."""
     runs = f"[{NUMERALS[0]}-{NUMERALS[-1]}]+"
-    found = F.transform(F.regexp_extract_all(text, F.lit(runs), F.lit(0)), lambda r: numeral_value(r).cast("string"))
-    both = F.zip_with(F.split(text, runs, -1), found, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
-    return F.when(text.rlike(runs), F.array_join(both, "")).otherwise(text)
+
+    def written(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(runs), F.lit(0)), lambda r: numeral_value(r).cast("string"))
+        both = F.zip_with(F.split(t, runs, -1), found, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
+        return F.when(t.rlike(runs), F.array_join(both, "")).otherwise(t)
+
+    return once(text, written)
 
 
 def detokenize(text: Column) -> Column:

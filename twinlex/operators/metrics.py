@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlex.functions import charclass as cc
+from twinlex.functions.expr import once
 
 BLEU_ORDER, CHAR_ORDER, WORD_ORDER, BETA = 4, 6, 2, 2
 _MARKS = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
@@ -57,11 +58,11 @@ def characters(text: Column) -> Column:
 def ngrams(items: Column, orders: int, kind: str, joint: str) -> Column:
     """array<struct<kind, n, gram>> of all n-grams up to `orders`."""
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.array_join(F.slice(items, i, n), joint).alias("gram")))
+    def of(tokens: Column, n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), joint).alias("gram")))
 
-    return F.concat(*[of(n) for n in range(1, orders + 1)])
+    return once(items, lambda tokens: F.concat(*[of(tokens, n) for n in range(1, orders + 1)]))
 
 
 def matches(pairs: DataFrame, grams: dict[str, Column], key: str = "id") -> DataFrame:
