@@ -78,7 +78,7 @@ def top_k(values: Column, k: int) -> Column:
 def beam_step(beams: DataFrame, size: int, eos: int, step: int, alpha: float, forbidden: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """One step of beam search over beams(item, beam, score, tokens array<int>, logits array).
 
-    Returns the beams that go on (item, beam, score, tokens) and the hypotheses that end (item, tokens, score): of the 2 * size
+    Returns the beams that go on (item, beam, score, tokens) and the hypotheses that end (item, tokens, score, rank): of the 2 * size
     best continuations of an item, an end counts only among the first `size`; the first `size` others go on.
     """
     log_p = log_softmax(F.col("logits"))
@@ -87,7 +87,7 @@ def beam_step(beams: DataFrame, size: int, eos: int, step: int, alpha: float, fo
     best = Window.partitionBy("item").orderBy(F.desc("total"), "beam", "token")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 2 * size)
     ended = ranked.filter((F.col("token") == eos) & (F.col("rank") <= size))
-    hypotheses = ended.select("item", "tokens", (F.col("total") / length_penalty(F.lit(step + 1), alpha)).alias("score"))
+    hypotheses = ended.select("item", "tokens", (F.col("total") / length_penalty(F.lit(step + 1), alpha)).alias("score"), "rank")
     alive = ranked.filter(F.col("token") != eos).withColumn("slot", F.row_number().over(Window.partitionBy("item").orderBy("rank"))).filter(F.col("slot") <= size)
     return alive.select("item", (F.col("slot") - 1).alias("beam"), F.col("total").alias("score"), F.concat("tokens", F.array("token")).alias("tokens")), hypotheses
 
