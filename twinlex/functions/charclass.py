@@ -2,6 +2,8 @@
 
 #: White space: 29 code points, among them the separators 1C-1F that Java's classes leave out.
 SPACE = r"[\t-\r\x1c-\x20\x85   -     　]"
+#: Control characters and all white space but the plain space.
+NOT_PLAIN = r"[\x00-\x1f\x7f\x85   -     　]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 #: Letters, and numbers that aren't decimal digits (so Ge'ez numerals count as letters).
 LETTER = r"[\p{L}\p{Nl}\p{No}]"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,12 +38,21 @@ def _compose_and_unescape(texts: pd.Series) -> pd.Series:
 
 def compose_and_unescape(text: Column) -> Column:
     """NFC, then HTML entities decoded once. Texts that neither can change don't leave the JVM."""
-    affected = text.rlike("&|[^" + cc.COMPOSED[1:])
-    return F.coalesce(_compose_and_unescape(F.when(affected, text)), text)
+    affected = F.contains(text, F.lit("&")) | text.rlike("[^" + cc.COMPOSED[1:])
+    return F.coalesce(_compose_and_unescape(F.when(affected, text)), text)  # no lambda: Spark runs no Python in one
+
+
+def _where(text: Column, test: Callable[[Column], Column], rule: Callable[[Column], Column]) -> Column:
+    """rule(text) for the texts that pass a cheap test, others as they are; text is evaluated once."""
+    return once(text, lambda t: F.when(test(t), rule(t)).otherwise(t))
+
+
+def _with(mark: str) -> Callable[[Column], Column]:
+    return lambda t: F.contains(t, F.lit(mark))
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.translate(text, INVISIBLE, "")
+    return _where(text, lambda t: t.rlike(f"[{INVISIBLE}]"), lambda t: F.translate(t, INVISIBLE, ""))
 
 
 def blank_controls(text: Column) -> Column:
@@ -51,19 +61,23 @@ def blank_controls(text: Column) -> Column:
 
 
 def straighten_quotes(text: Column) -> Column:
-    return F.translate(text, QUOTES_FROM, QUOTES_TO)
+    return _where(text, lambda t: t.rlike(f"[{QUOTES_FROM}]"), lambda t: F.translate(t, QUOTES_FROM, QUOTES_TO))
 
 
-def undo_escapes(text: Column) -> Column:
+def undo_escapes(text: Column, space: str = cc.SPACE) -> Column:
     """`a @-@ b` becomes `a-b`; so for commas and stops."""
-    return F.regexp_replace(text, f"{cc.SPACE}*@([-,.])@{cc.SPACE}*", "$1")
+    return _where(text, _with("@"), lambda t: F.regexp_replace(t, f"{space}*@([-,.])@{space}*", "$1"))
+
+
+def plain_spaces(text: Column) -> Column:
+    """All white space and control characters become spaces, one each. Rules that follow need to know but one space then."""
+    return F.regexp_replace(text, cc.NOT_PLAIN, " ")
 
 
 def clean(text: Column) -> Column:
-    """What both languages need first."""
-    for rule in (compose_and_unescape, strip_invisible, blank_controls, straighten_quotes, undo_escapes):
-        text = rule(text)
-    return text
+    """What both languages need first: composed, unescaped, nothing invisible, plain spaces and quotes, no escapes."""
+    text = _where(compose_and_unescape(text), lambda t: t.rlike("[\xad\xb4\u200b-\u2060\ufeff]"), lambda t: F.translate(F.translate(t, INVISIBLE, ""), QUOTES_FROM, QUOTES_TO))
+    return undo_escapes(plain_spaces(text), " ")
 
 
 def fold_homophones(text: Column) -> Column:
@@ -99,11 +113,11 @@ def numerals_to_digits(text: Column) -> Column:
     return once(text, written)
 
 
-def detokenize(text: Column) -> Column:
-    text = F.regexp_replace(text, f"{cc.SPACE}+{_BEFORE_MARK}", "$1")
-    text = F.regexp_replace(text, rf"([(\[{{]){cc.SPACE}+", "$1")
-    text = F.regexp_replace(text, f'"{cc.SPACE}+([^"]*?){cc.SPACE}+"', '"$1"')
-    text = F.regexp_replace(text, f"({cc.DIGIT}):{cc.SPACE}+({cc.DIGIT})", "$1:$2")
+def detokenize(text: Column, space: str = cc.SPACE) -> Column:
+    text = F.regexp_replace(text, f"{space}+{_BEFORE_MARK}", "$1")
+    text = _where(text, lambda t: t.rlike(r"[(\[{]"), lambda t: F.regexp_replace(t, rf"([(\[{{]){space}+", "$1"))
+    text = _where(text, _with('"'), lambda t: F.regexp_replace(t, f'"{space}+([^"]*?){space}+"', '"$1"'))
+    text = _where(text, _with(":"), lambda t: F.regexp_replace(t, f"({cc.DIGIT}):{space}+({cc.DIGIT})", "$1:$2"))
     return collapse_marks(text)
 
 
@@ -112,30 +126,31 @@ def collapse_marks(text: Column) -> Column:
     return F.regexp_replace(text, rf"{_REPEATABLE}\1+", "$1")
 
 
-def squash_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{cc.SPACE}+", " "))
+def squash_space(text: Column, runs: str = cc.SPACE + "+") -> Column:
+    """Runs of white space become one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, runs, " "))
 
 
-def join_clitics(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?i)({cc.WORD}) ?'{cc.SPACE}?(s|t|re|ve|ll|d|m)(?!{cc.WORD})", "$1'$2")
+def join_clitics(text: Column, space: str = cc.SPACE) -> Column:
+    return _where(text, _with("'"), lambda t: F.regexp_replace(t, f"(?i)({cc.WORD}) ?'{space}?(s|t|re|ve|ll|d|m)(?!{cc.WORD})", "$1'$2"))
 
 
-def wordspaces(text: Column) -> Column:
+def wordspaces(text: Column, space: str = cc.SPACE) -> Column:
     """Two word spaces are a full stop; a single one is a space."""
-    return F.replace(F.regexp_replace(text, f"{WORDSPACE}{cc.SPACE}*{WORDSPACE}", FULL_STOP), F.lit(WORDSPACE), F.lit(" "))
+    return _where(text, _with(WORDSPACE), lambda t: F.replace(F.regexp_replace(t, f"{WORDSPACE}{space}*{WORDSPACE}", FULL_STOP), F.lit(WORDSPACE), F.lit(" ")))
 
 
 def normalize_amharic(text: Column, fold: bool = True, digits: bool = True) -> Column:
-    text = wordspaces(clean(text))
+    text = wordspaces(clean(text), " ")
     if fold:
         text = fold_homophones(text)
     if digits:
         text = numerals_to_digits(text)
-    return squash_space(detokenize(text))
+    return squash_space(detokenize(text, " "), " {2,}")
 
 
 def normalize_english(text: Column) -> Column:
-    return squash_space(detokenize(join_clitics(clean(text))))
+    return squash_space(detokenize(join_clitics(clean(text), " "), " "), " {2,}")
 
 
 def normalize(text: Column, lang: str, fold: bool = True, digits: bool = True) -> Column:
