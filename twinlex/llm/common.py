@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,9 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share; one of our own where it is unset (local runs)."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="twinlex-")
+        folder = tempfile.mkdtemp(prefix="twinlex-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dirs[app] = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
@@ -87,14 +94,14 @@ def strings(raw: bytes | np.ndarray, at: np.ndarray) -> pa.LargeStringArray:
     return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(raw))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches of bounded rows and, but for single longer texts, of bounded bytes."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         i = 0
         while i < batch.num_rows:
-            most = (ends[i - 1] if i else 0) + SLICE_BYTES
+            most = (ends[i - 1] if i else 0) + size
             j = min(i + SLICE_ROWS, max(i + 1, int(np.searchsorted(ends, most, "right"))), batch.num_rows)
             yield batch.slice(i, j - i)
             i = j

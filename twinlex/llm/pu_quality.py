@@ -18,6 +18,8 @@ POSITIVES, UNLABELLED = 12_000, 24_000
 THRESHOLD = 0.3
 FOLDS = 5
 _CLASSES = 8
+#: Bytes of text whose features are taken together: several arrays of as many integers are held at once.
+_SLICE = 1 << 20
 #: Kinds of bytes: letters of either case, digits, white space but newline, newline, ends of sentences, other marks, beyond ASCII.
 _CLASS = np.array([7 if b >= 128 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 4 if b == 10 else 3 if b in (9, 11, 12, 13, 32) else 5 if b in b".,;:" else 6 for b in range(256)], np.int64)
 N_FEATURES = 128 + _CLASSES + 14
@@ -146,7 +148,7 @@ def _rows(docs: DataFrame, text: str) -> list[bytes]:
     """Features of every row of docs, as bytes. docs must be bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, text, _SLICE):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in features(batch.column(0)).astype(np.float16)], pa.binary())], ["x"])
 
@@ -187,11 +189,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     common.share_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def judge(texts):
-        import pandas as pd
-
-        out = [shared.value.score(features(b.column(0))) for b in common.slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])]))]
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+    @F.arrow_udf("double")
+    def judge(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [shared.value.score(features(b.column(0))) for b in common.slices(iter([batch]), size=_SLICE)]
+        return pa.array(np.concatenate([np.empty(0), *parts]))
 
     return docs.withColumn("score", judge(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
