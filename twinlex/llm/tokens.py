@@ -22,7 +22,7 @@ class WordEncoder:
     the memo lasts: it holds the last `most` different words at least and twice as many at most.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
