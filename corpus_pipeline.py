@@ -34,8 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows make up less than a twentieth."""
     marked = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = marked.filter(decontam.contaminated()).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    (name,) = common.fresh(docs, "_found")
+    found = marked.filter(decontam.contaminated()).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
