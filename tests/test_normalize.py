@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from twinlex.functions import normalize as n
 
+# Texts with known results.
 AMHARIC = [
     ("ሐ", "ሀ"), ("ኀ", "ሀ"), ("ሠላም", "ሰላም"), ("ዓመት", "ኣመት"), ("ፀሐይ", "ጸሀይ"), ("ሕይወት", "ህይወት"), ("ሰላም", "ሰላም"),
     ("ሰላም፡ለዓለም፡ ፡", "ሰላም ለኣለም።"), ("ሰላም ፡ ፡ እንዴት", "ሰላም። እንዴት"), ("ይናገር ነበር ፤ ደግሞም ።", "ይናገር ነበር፤ ደግሞም።"),

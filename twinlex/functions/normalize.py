@@ -18,7 +18,8 @@ from pyspark.sql.types import StringType
 from twinlex.functions import charclass as cc
 from twinlex.functions.expr import once
 
-# Code points that are deleted, and quotes with their plain forms.
+# Fixed values, on which results depend: code points that are deleted, quotes with their plain forms, folded letters, numerals,
+# and the marks that spaces are taken from and that are written once.
 INVISIBLE = "​‌‍⁠﻿­"
 QUOTES_FROM, QUOTES_TO = "“”„‘’‚´", "\"\"\"''''"
 #: Series of letters that sound alike, as (first, last, first of the series kept).
