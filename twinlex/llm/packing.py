@@ -120,5 +120,10 @@ def place(items: DataFrame, capacity: int = CAPACITY, length: str = "length", or
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """pieces() with their ids, placed: rows (key, piece, start, length, ids, sequence_id, offset)."""
-    return place(common.stored(pieces(docs, vocabulary, end_id, capacity, key, text), "pieces"), capacity, order=(key, "piece"))
+    """pieces() with their ids, placed: rows (key, piece, start, length, ids, sequence_id, offset).
+
+    Only the pieces' lengths are sorted and swept; the ids join their places by a row number, written with them.
+    """
+    cut = common.stored(pieces(docs, vocabulary, end_id, capacity, key, text).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    placed = place(cut.select(key, "piece", "length", "_row"), capacity, order=(key, "piece", "_row"))
+    return cut.join(placed.select("_row", "sequence_id", "offset"), "_row").drop("_row")
