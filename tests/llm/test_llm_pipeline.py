@@ -3,8 +3,8 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from test_dedup import edits, plain_fingerprint, union_find
-from test_filters import brute_decontam
+from test_llm_dedup import edits, plain_fingerprint, union_find
+from test_llm_filters import brute_decontam
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
