@@ -172,6 +172,15 @@ def test_training_beats_the_start_and_tells_order(spark):
     assert after[1000] < np.mean([v for k, v in after.items() if k < 1000]) - 0.3
 
 
+def test_every_word_of_every_text_trains(spark):
+    docs = spark.createDataFrame([(i, "five words are a text") for i in range(20)], "doc_id bigint, text string")
+    _, net = masked_lm.train(docs)
+    assert not np.array_equal(net.flat, masked_lm.Network().flat)
+    n = np.arange(40)
+    places = [masked_lm.targets(n, turn, masked_lm.ROUNDS) for turn in range(masked_lm.ROUNDS)]
+    assert np.sort(np.concatenate(places)).tolist() == list(range(n.sum()))
+
+
 def test_scores_of_odd_and_empty_tables(odd_docs, odd_rows, no_docs):
     words, net = masked_lm.train(odd_docs, rounds=1)
     rows = masked_lm.score(odd_docs, words, net).collect()

@@ -15,8 +15,8 @@ from twinlex.llm import common
 
 #: Words to either side, classes of words, words of a class, size of a word's vector and of the hidden layer.
 REACH, CLASSES, MEMBERS, WIDTH, HIDDEN = 2, 64, 64, 16, 32
-#: Passes over the corpus; in each, every text trains the network on one of STRIDE of its words.
-ROUNDS, STRIDE = 3, 16
+#: Passes over the corpus; each takes another share of every text's words, all of them together every word once.
+ROUNDS = 3
 _BATCH = 1024
 _BLOCK = 4096
 _SCORE = 1 << 15
@@ -96,6 +96,12 @@ def contexts(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def targets(n: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Where the words stand that a round trains on, for texts of n words each. Every word has its place in one of the rounds."""
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.flatnonzero((inside + np.repeat(n, n)) % rounds == turn)
+
+
 class Network:
     """Vectors of the words around, a hidden layer, then a softmax over classes and one over the words of the class."""
 
@@ -170,7 +176,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _train_round(docs: DataFrame, text: str, words: Vocabulary, net: Network, turn: int) -> Network:
+def _train_round(docs: DataFrame, text: str, words: Vocabulary, net: Network, turn: int, rounds: int) -> Network:
     """Every task trains a copy of the network on its texts; the copies are averaged by the words they saw, block by block."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((words, net.flat))
@@ -181,8 +187,7 @@ def _train_round(docs: DataFrame, text: str, words: Vocabulary, net: Network, tu
         memory = own.memory()
         for batch in common.slices(batches, text):
             ids, n = words.ids(batch.column(0))
-            inside = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-            at = np.flatnonzero((inside + np.repeat(n, n)) % STRIDE == turn)
+            at = targets(n, turn, rounds)
             waiting.append((contexts(ids, n)[at], ids[at]))
             if sum(len(t) for _, t in waiting) < 1 << 15:
                 continue
@@ -227,11 +232,11 @@ def _learn(net: Network, memory: list[np.ndarray], waiting: list[tuple[np.ndarra
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network from all texts. Each round starts all tasks from the average of the round before."""
+    """Vocabulary and network from all words of all texts. Each round starts all tasks from the average of the round before."""
     common.share_package(docs.sparkSession)
     words, net = vocabulary(docs, text), Network()
     for turn in range(rounds):
-        net = _train_round(docs, text, words, net, turn % STRIDE)
+        net = _train_round(docs, text, words, net, turn, rounds)
     return words, net
 
 
