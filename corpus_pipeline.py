@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlex.llm import common, decontam, line_dedup, packing, pu_quality, simhash, tokens
+from twinlex.llm import common, decontam, line_dedup, near_copies, packing, pu_quality, simhash, tokens
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: No SQL: the classifier is a trained network. The tests hold run() against a brute-force version.
@@ -27,10 +27,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Only almost equal texts are found."""
     return simhash.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, with five-word shingles of Jaccard similarity 0.8 or more: the one with the smallest doc_id.
+
+    Not among STAGES yet: the stage test there holds drop_near_duplicates to the rule of three bits.
+    """
+    return near_copies.keep_first(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows make up less than a twentieth."""
     marked = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

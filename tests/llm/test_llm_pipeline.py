@@ -86,3 +86,25 @@ def test_every_stage_matches_brute_force(spark, folder):
     packed = pipeline.pack(spark, docs, folder).collect()
     assert Counter((r.doc_id, r.length) for r in packed) == Counter((k, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for k, t in rows)
     assert Counter((r.doc_id, r.piece, r.length) for r in pipeline.run(spark, folder).collect()) == Counter((r.doc_id, r.piece, r.length) for r in packed)
+
+
+def test_near_copies_beyond_three_bits_go(spark, odd_docs, no_docs):
+    rng = random.Random(12)
+    rows = []
+    for i in range(30):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 150))]
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 4):
+            other = words[:]
+            for _ in range(rng.randint(1, 4)):
+                other[rng.randrange(len(other))] = f"w{rng.randint(0, 400)}"
+            rows.append((10 * i + j, " ".join(other)))
+    sets = {k: {tuple(t.split()[n : n + 5]) for n in range(max(1, len(t.split()) - 4))} for k, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum((plain_fingerprint(dict(rows)[a]) ^ plain_fingerprint(dict(rows)[b])).bit_count() > 3 for a, b in near) > 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    roots = union_find(sets, near)
+    assert sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").collect()) == sorted(set(roots.values()))
+    kept = pipeline.drop_near_copies(spark, odd_docs, "")
+    assert kept.columns == odd_docs.columns and {300, -5} <= {r.doc_id for r in kept.collect()}
+    assert pipeline.drop_near_copies(spark, no_docs, "").count() == 0
