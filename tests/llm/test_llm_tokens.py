@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -181,6 +182,35 @@ def test_every_word_of_every_text_trains(spark):
     assert np.sort(np.concatenate(places)).tolist() == list(range(n.sum()))
 
 
+def test_rare_words_of_one_kind_score_apart(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "CLASSES", 2)  # a vocabulary of 64 words
+    rows = [(i, " ".join(f"word{k}" for k in range(64))) for i in range(9)]
+    rows += [(20 + i, "qaz") for i in range(4)] + [(30, "qbz"), (31, "qaz word1 qbz"), (None, "qbz"), (30, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    words = masked_lm.vocabulary(docs)
+    monkeypatch.undo()
+    assert len(words.words) == 64
+    net = masked_lm.Network()
+    found = masked_lm.score(docs, words, net).collect()
+    counts = Counter(w for _, t in rows for w in t.split())
+    kind = lambda w: int(masked_lm.kinds(pa.array([w], pa.large_string()))[0])
+    shares = 1 + sum(n + 1 for w, n in counts.items() if w in ("qaz", "qbz"))
+    assert kind("qaz") == kind("qbz")
+
+    def expected(text):
+        spelt = text.split()
+        if not spelt:
+            return 0.0
+        ids, n = words.ids(pa.array([text]))
+        own = [math.log((counts[w] + 1) / shares) if w.startswith("q") else 0.0 for w in spelt]
+        return float(net.log_prob(masked_lm.contexts(ids, n), ids).sum()) + sum(own)
+
+    assert len(found) == len(rows)
+    assert all(abs(r.log_likelihood - e) < 1e-4 for r, e in zip(sorted(found, key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)), [expected(t) for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0], len(r[1].split())))], strict=True))
+    by_text = {r.doc_id: r.log_likelihood for r in found if r.n_tokens == 1}
+    assert by_text[20] > by_text[30] + 0.3
+
+
 def test_scores_of_odd_and_empty_tables(odd_docs, odd_rows, no_docs):
     words, net = masked_lm.train(odd_docs, rounds=1)
     rows = masked_lm.score(odd_docs, words, net).collect()

@@ -22,24 +22,45 @@ _BLOCK = 4096
 _SCORE = 1 << 15
 
 
+def kinds(words: pa.Array) -> np.ndarray:
+    """1 to 63 by a word's length, first and last byte. Words must not be empty."""
+    sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+    starts = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    return 1 + (sizes * 7 + data[starts[:-1]].astype(np.int64) * 13 + data[starts[1:] - 1].astype(np.int64) * 29) % (MEMBERS - 1)
+
+
 @dataclass
 class Vocabulary:
-    """The most frequent words have ids from MEMBERS on, by rank; the ids 1 to 63 are kinds of other words, 0 is beyond a text."""
+    """The most frequent words have ids from MEMBERS on, by rank; the ids 1 to 63 are kinds of other words, 0 is beyond a text.
+
+    Other words are told apart within their kind by their own counts: a word seen n times has n + 1 shares of its kind, and one
+    share is left for words never seen. whole holds the logarithms of the kinds' shares; counts, rows (word, n), grows with the
+    input and is only joined.
+    """
 
     words: pa.Array
+    whole: np.ndarray
+    counts: DataFrame | None = None
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        raw, at = common.buffers(texts)
-        words, n = common.spaced_words(raw.tobytes().lower(), at)  # bytes: ASCII letters only
+    def of(self, words: pa.Array) -> np.ndarray:
         if not len(words):
-            return np.empty(0, np.int64), n
+            return np.empty(0, np.int64)
         found = pc.index_in(words, self.words).fill_null(-1).to_numpy().astype(np.int64)
-        sizes = pc.binary_length(words).to_numpy().astype(np.int64)
-        flat = pc.fill_null(words, "")
-        starts = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-        data = np.frombuffer(flat.buffers()[2], np.uint8)
-        other = 1 + (sizes * 7 + data[starts[:-1]].astype(np.int64) * 13 + data[starts[1:] - 1].astype(np.int64) * 29) % (MEMBERS - 1)
-        return np.where(found < 0, other, found + MEMBERS), n
+        return np.where(found < 0, kinds(pc.fill_null(words, "")), found + MEMBERS)
+
+    def read(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All words of the texts, their ids, and how many words each text has."""
+        raw, at = common.buffers(texts)
+        words, n = common.spaced_words(raw.tobytes().lower(), at)  # bytes: ASCII letters only
+        return words, self.of(words), n
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.read(texts)[1:]
+
+    def local(self) -> Vocabulary:
+        """What tasks need: all but the table."""
+        return Vocabulary(self.words, self.whole)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -82,7 +103,20 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
         if have >= most:
             break
     rows = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
-    return Vocabulary(pa.array([r.word for r in rows], pa.large_string()))
+    found = Vocabulary(pa.array([r.word for r in rows], pa.large_string()), np.zeros(MEMBERS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares = np.zeros(MEMBERS, np.int64)
+        for batch in batches:
+            ids = found.of(batch.column(0).cast(pa.large_string()))
+            other = np.flatnonzero(ids < MEMBERS)
+            np.add.at(shares, ids[other], batch.column(1).to_numpy()[other] + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(MEMBERS)), pa.array(shares)], ["kind", "shares"])
+
+    shares = np.ones(MEMBERS)
+    for row in counts.select("word", "n").mapInArrow(run, "kind bigint, shares bigint").groupBy("kind").agg(F.sum("shares").alias("shares")).collect():  # MEMBERS rows
+        shares[row.kind] += row.shares
+    return Vocabulary(found.words, np.log(shares), counts)
 
 
 def contexts(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -135,22 +169,29 @@ class Network:
     def train(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float = 0.1) -> None:
         """One Adagrad step on a minibatch; memory holds the sums of squared gradients."""
         n = len(target)
+        by = np.argsort(target >> 6, kind="stable")
+        context, target = context[by], target[by]
         x, h = self.hidden(context)
         cls, member = target >> 6, target & (MEMBERS - 1)
         grad_c = _softmax(h @ self.wc + self.bc)
         grad_c[np.arange(n), cls] -= 1
         grad_h = grad_c @ self.wc.T
-        by = np.argsort(cls, kind="stable")
-        starts, sizes = common.runs_of(cls[by])
-        for a, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            rows = by[a : a + size]
-            c = int(cls[rows[0]])
-            g = _softmax(h[rows] @ self.wm[c] + self.bm[c])
-            g[np.arange(size), member[rows]] -= 1
-            grad_h[rows] += g @ self.wm[c].T
-            for p, m, d in ((self.wm[c], memory[5][c], h[rows].T @ g / n), (self.bm[c], memory[6][c], g.sum(axis=0) / n)):
-                m += d * d
-                p -= rate * d / np.sqrt(m + 1e-8)
+        starts, sizes = common.runs_of(cls)
+        runs = list(zip(cls[starts].tolist(), starts.tolist(), (starts + sizes).tolist(), strict=True))
+        z = self.bm[cls]
+        for c, a, b in runs:
+            z[a:b] += h[a:b] @ self.wm[c]
+        g = _softmax(z)
+        g[np.arange(n), member] -= 1
+        grad_m, grad_b = np.zeros_like(self.wm), np.zeros_like(self.bm)
+        for c, a, b in runs:
+            grad_h[a:b] += g[a:b] @ self.wm[c].T
+            np.matmul(h[a:b].T, g[a:b], out=grad_m[c])
+        grad_b[cls[starts]] = np.add.reduceat(g, starts, axis=0)
+        # classes without a word here have gradients of 0, which leave them as they are
+        for p, m, d in ((self.wm, memory[5], grad_m / n), (self.bm, memory[6], grad_b / n)):
+            m += d * d
+            p -= rate * d / np.sqrt(m + 1e-8)
         grad_a = grad_h * (1 - h * h)
         grad_x = (grad_a @ self.w.T).reshape(-1, WIDTH) / n
         for p, m, d in ((self.w, memory[1], x.T @ grad_a / n), (self.b, memory[2], grad_a.mean(axis=0)), (self.wc, memory[3], h.T @ grad_c / n), (self.bc, memory[4], grad_c.mean(axis=0))):
@@ -179,7 +220,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _train_round(docs: DataFrame, text: str, words: Vocabulary, net: Network, turn: int, rounds: int) -> Network:
     """Every task trains a copy of the network on its texts; the copies are averaged by the words they saw, block by block."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((words, net.flat))
+    shared = spark.sparkContext.broadcast((words.local(), net.flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
@@ -243,26 +284,38 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
 def score(docs: DataFrame, words: Vocabulary, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_tokens, log_likelihood, mean_log_prob), one for each row of docs.
 
-    log_likelihood sums, over every word of a text, the log-probability of the word given those on both sides. Null and empty
+    log_likelihood sums, over every word of a text, the log-probability of the word given those on both sides: the network's for
+    words of the vocabulary, and for others the network's for their kind and the word's own within the kind. Null and empty
     texts have no words, the sum 0 and no mean. Rows that repeat a key are scored each.
     """
     spark = docs.sparkSession
     common.share_package(spark)
-    shared = spark.sparkContext.broadcast((words, net.flat))
+    shared = spark.sparkContext.broadcast((words.local(), net.flat))
+    row, other = common.fresh(docs.select(key), "_row", "_other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
         own = Network(flat)
         for batch in common.slices(batches):
             if batch.num_rows:
-                ids, n = words.ids(batch.column(1))
+                spelt, ids, n = words.read(batch.column(1))
                 around = contexts(ids, n)
                 each = [own.log_prob(around[i : i + _SCORE], ids[i : i + _SCORE]) for i in range(0, len(ids), _SCORE)]
-                ends = np.concatenate([[0.0], np.cumsum(np.concatenate([np.empty(0), *each], dtype=np.float64))])
-                stop = np.cumsum(n)
+                rare = ids < MEMBERS
+                each = np.concatenate([np.empty(0), *each], dtype=np.float64)
+                each[rare] -= words.whole[ids[rare]]
+                ends, stop = np.concatenate([[0.0], np.cumsum(each)]), np.cumsum(n)
                 total = ends[stop] - ends[stop - n]
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(total), mean], [key, "n_tokens", "log_likelihood", "mean_log_prob"])
+                at = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], stop])]
+                others = pa.ListArray.from_arrays(pa.array(at, pa.int32()), spelt.filter(pa.array(rare)).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(total), others], [key, row, "n_tokens", "log_likelihood", other])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, log_likelihood double, mean_log_prob double")
+    rows = docs.select(F.col(key), F.col(text).alias("text"), F.monotonically_increasing_id().alias(row))
+    scored = common.stored(rows.mapInArrow(run, f"`{key}` {kind}, `{row}` bigint, n_tokens bigint, log_likelihood double, `{other}` array<string>"), "kind-scores")
+    gains = words.counts.select(F.xxhash64("word").alias("h"), F.log1p("n").alias("gain"))
+    asked = scored.select(row, F.explode(other).alias("word")).select(row, F.xxhash64("word").alias("h"))
+    gained = asked.join(gains, "h").groupBy(row).agg(F.sum("gain").alias("gain"))
+    total = F.col("log_likelihood") + F.coalesce("gain", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.join(gained, row, "left").select(key, "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_prob"))
