@@ -122,6 +122,15 @@ def test_line_classes_match_brute_force(spark):
     assert found == {place: (copies[line], degree[place], roots[place]) for line, place in first.items()} and len(links) > 10
 
 
+def test_copies_of_short_lines_fall_together(spark):
+    texts = ["a\nAll rights reserved.\n\nb", "All rights reserved.\na\n", "All rights reserved!\naa", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    place = lambda p: (p["key"], p["line_no"])
+    found = {place(r.first): (r.n_copies, r.n_links, place(r.class_first)) for r in line_dedup.classes(docs, least_chars=1).collect()}
+    assert found == {(0, 0): (2, 0, (0, 0)), (0, 1): (2, 1, (0, 1)), (0, 3): (1, 0, (0, 3)), (2, 0): (1, 1, (0, 1)), (2, 1): (1, 0, (2, 1))}
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated(docs, least_chars=1).collect()} == {0: texts[0], 1: "", 2: "aa", 3: None}
+
+
 def test_edit_scan_matches_levenshtein(spark):
     rng = np.random.default_rng(4)
     rows = []
