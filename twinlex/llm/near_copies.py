@@ -22,6 +22,8 @@ WIDTH = 5
 _SAMPLE, _FREQUENT = 64, 1 << 20
 _KNOWN = 1 << 18
 _PAIRS = 1 << 20
+#: Bits of a set's parities.
+_BITS = 1024
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -33,6 +35,11 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([hash_of(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], np.uint64))
 
 
+def parities(h: np.ndarray) -> bytes:
+    """Bit b tells whether an odd number of values fall on it. Two sets differ by at least as many values as these by bits."""
+    return np.packbits(np.bincount((h % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1).tobytes()
+
+
 def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that several texts of a sample share, sorted, and in how many of them they are."""
 
@@ -50,7 +57,7 @@ def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Rows (key, sid, n, hs, front), one for each row of docs: the set's id, size and sorted values, and its first fifth in the
+    """Rows (key, sid, n, hs, odd, front), one for each row of docs: the set's id, size, sorted values and parities, and its first fifth in the
     order of all sets (left out where a task has already given it for a copy)."""
     spark = docs.sparkSession
     common.share_package(spark)
@@ -62,7 +69,7 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         for batch in common.slices(batches):
             if not batch.num_rows:
                 continue
-            sids, sizes, values, fronts = [], [], [], []
+            sids, sizes, values, odd, fronts = [], [], [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py(), width)
                 raw = h.tobytes()
@@ -80,13 +87,14 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 sids.append(sid)
                 sizes.append(len(h))
                 values.append(raw)
+                odd.append(parities(h))
                 fronts.append(front)
             ends = np.cumsum([0, *map(len, fronts)])
             front = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(fronts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(values, pa.binary()), front], [key, "sid", "n", "hs", "front"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(values, pa.binary()), pa.array(odd, pa.binary()), front], [key, "sid", "n", "hs", "odd", "front"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, sid bigint, n bigint, hs binary, front array<bigint>")
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, sid bigint, n bigint, hs binary, odd binary, front array<bigint>")
 
 
 def met(h: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -138,11 +146,24 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def links(found: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of ids of different sets with a Jaccard similarity of at least 4/5."""
-    pairs = common.stored(candidates(found), "copy-candidates")
+    """Pairs (u, v), u < v, of ids of different sets with a Jaccard similarity of at least 4/5.
+
+    Such sets differ by a ninth of both sizes' sum at most. Parities rule most others out before whole sets are joined.
+    """
+    short = found.select("sid", "n", "odd").dropDuplicates(["sid"])
+    end = lambda rows, x, *names: rows.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[3:])
+                on = 9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= batch.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(on))
+
+    near = candidates(found).join(end(short, "u", "n", "odd"), "u").join(end(short, "v", "n", "odd"), "v")
+    pairs = common.stored(near.select("u", "v", F.expr("n_u + n_v"), "odd_u", "odd_v").mapInArrow(may, "u bigint, v bigint"), "copy-candidates")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
     whole = common.stored(found.select("sid", "hs").join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "copy-sets")
-    side = lambda x, hs: whole.select(F.col("sid").alias(x), F.col("hs").alias(hs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +173,7 @@ def links(found: DataFrame) -> DataFrame:
                 alike.append(9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(end(whole, "u", "hs"), "u").join(end(whole, "v", "hs"), "v").select("u", "v", "hs_u", "hs_v").mapInArrow(run, "u bigint, v bigint")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
