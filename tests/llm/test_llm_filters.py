@@ -218,7 +218,7 @@ def test_labels_of_the_held_out_fold_are_not_used(spark, odd_docs):
     rows = [(i, 1 if i % 2 else 0) for i in range(30)]
     changed = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q) for i, q in rows]
     a, b = (pu_quality.train(odd_docs, spark.createDataFrame(r, "doc_id bigint, quality int")) for r in (rows, changed))
-    assert a.prior == b.prior
+    assert a.prior == b.prior and (a.weights == b.weights).all()
 
 
 def test_classifier_on_odd_and_empty_tables(spark, odd_docs, odd_rows, no_docs):
@@ -230,3 +230,44 @@ def test_classifier_on_odd_and_empty_tables(spark, odd_docs, odd_rows, no_docs):
     blank = pu_quality.train(no_docs, labels.limit(0))
     assert blank.prior == 0.5 and {r.score for r in pu_quality.score(odd_docs, blank).collect()} == {0.5}
     assert pu_quality.score(no_docs, model).count() == 0
+
+
+def test_one_huge_word_leaves_the_classifier_finite(spark):
+    texts = ["plain words of one text or other " * (1 + i % 5) for i in range(60)] + ["w" * 100_000, "=" * 200_000, "A." * 80_000, "x\n" * 70_000, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert np.isfinite(pu_quality.features(pa.array(texts, pa.string()))).all()
+    model = pu_quality.train(docs, spark.createDataFrame([(i, 1) for i in range(66)], "doc_id bigint, quality int"))
+    rows = pu_quality.score(docs, model).collect()
+    assert len(rows) == len(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    with pytest.raises(FloatingPointError):
+        pu_quality.Model(model.mean * np.nan, model.scale, model.weights, 0.5)
+
+
+def test_risk_gradient_matches_differences():
+    z = np.random.default_rng(3).normal(0, 1, 12)
+    for prior in (None, 0.1, 0.4):
+        value, g = pu_quality.risk(z, 5, prior)
+        for i in range(len(z)):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            assert (pu_quality.risk(up, 5, prior)[0] - pu_quality.risk(down, 5, prior)[0]) / 2e-6 == pytest.approx(g[i], abs=1e-5)
+    low = np.concatenate([np.full(5, 3.0), np.full(7, -9.0)])  # a negative risk below 0 is made to rise again
+    _, g = pu_quality.risk(low, 5, 0.9)
+    assert (g[5:] < 0).all() and (g[:5] > 0).all()
+
+
+def test_class_prior_from_scores():
+    of = lambda scores: np.histogram(scores, bins=1000, range=(0, 1))[0].astype(float)
+    rng = np.random.default_rng(4)
+    for share in (0.2, 0.5, 0.85):
+        positive, negative = (lambda n: rng.beta(6, 2, n)), (lambda n: rng.beta(1, 8, n))
+        mixed = np.concatenate([positive(int(20_000 * share)), negative(int(20_000 * (1 - share)))])
+        assert pu_quality.share_of_positives(of(positive(8000)), of(mixed)) == pytest.approx(share, abs=0.04)
+    assert pu_quality.share_of_positives(np.zeros(1000), of(mixed)) == 0.5
+
+
+def test_scores_can_take_other_names(odd_docs):
+    blank = pu_quality.Model(np.zeros(pu_quality.N_FEATURES, np.float32), np.ones(pu_quality.N_FEATURES, np.float32), np.zeros_like(pu_quality.start()), 0.5)
+    rows = pu_quality.score(odd_docs, blank, names=("_s", "_p")).collect()
+    assert {r.score for r in rows} == {r.predicted for r in rows} == {"x"} and {r._s for r in rows} == {0.5}
