@@ -15,10 +15,14 @@ ORACLE_SQL = None
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. It is fitted on the texts that come in."""
+    """Documents that the quality classifier doesn't reject, in all their columns. It is fitted on the texts that come in.
+
+    Null and empty texts are scored like any other, and so are ties and repeated rows; an empty table stays empty; columns named
+    like the classifier's are left as they are.
+    """
     model = pu_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = pu_quality.score(docs, model)
-    return judged.filter("predicted = 1").select(*docs.columns)
+    names = tuple(common.fresh(docs, "_score", "_predicted"))
+    return pu_quality.score(docs, model, names=names).filter(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
