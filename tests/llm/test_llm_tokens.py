@@ -115,12 +115,64 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-def test_sweep_packs_as_well_as_best_fit_decreasing():
+def plain_rounds(lengths, capacity):
+    """The same rounds, each as one walk down the row with a stack of free slots: {id: (sequence, offset)}, and the sequences."""
+    left, gaps, out, n_seq = dict(enumerate(lengths)), {}, {}, 0
+    while left:
+        if not gaps:
+            more = -(-sum(left.values()) // capacity)
+            gaps = {n_seq + i: capacity for i in range(more)}
+            n_seq += more
+        top, low = max(left.values()), min(left.values())
+        row = [(-n, 1, i, 0) for i, n in left.items()]
+        for seq, gap in gaps.items():
+            if gap >= low:
+                many = max(gap // top, 1)
+                row += [(-(gap // many), 0, seq, slot) for slot in range(many)]
+        free, taken = [], defaultdict(list)
+        for _, kind, who, slot in sorted(row):
+            if kind == 0:
+                free.append((who, slot))
+            elif free:
+                seq, slot = free.pop()
+                taken[seq].append((slot, who))
+        gaps = {seq: gap for seq, gap in gaps.items() if gap >= low} if taken else {}
+        for seq, found in taken.items():
+            for _, who in sorted(found):
+                out[who] = (seq, capacity - gaps[seq])
+                gaps[seq] -= left.pop(who)
+    return out, n_seq
+
+
+def test_rounds_match_a_walk_with_a_stack_and_pack_well(spark):
     rng = np.random.default_rng(1)
-    for draw in (lambda: rng.integers(1, 101, 400), lambda: rng.integers(1, 20, 300), lambda: rng.choice([51, 34, 33, 17, 16], 500), lambda: np.full(77, 30)):
-        lengths = draw()
-        _, _, _, n = packing.sweep(dict(Counter(lengths.tolist())), 100)
-        assert n <= best_fit_decreasing(lengths.tolist(), 100)
+    for lengths in (rng.integers(1, 101, 400), np.clip(rng.lognormal(2.5, 1, 1500).astype(int), 1, 100), rng.choice([51, 34, 33, 17, 16], 300), np.full(77, 30), np.array([100])):
+        rows = common.stored(spark.createDataFrame(list(enumerate(lengths.tolist())), "id bigint, length int").repartition(3), "lengths")
+        found = {r.id: (r.sequence_id, r.offset) for r in packing.assigned(rows, 100).collect()}
+        expected, n_seq = plain_rounds(lengths.tolist(), 100)
+        assert found == expected
+        assert len({s for s, _ in found.values()}) <= 1.07 * best_fit_decreasing(lengths.tolist(), 100) + 1
+
+
+def test_rests_of_partitions_meet_as_in_one_row():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        step = rng.choice([-1, 1], int(rng.integers(1, 60)))
+        whole, cuts = packing.sweep(step), np.sort(rng.integers(0, len(step) + 1, 4))
+        found, left, ranks = np.full(len(step), -1), [], {}
+        for part, at in enumerate(np.split(np.arange(len(step)), cuts)):
+            partner = packing.sweep(step[at])
+            found[at[partner >= 0]] = at[partner[partner >= 0]]
+            rest = at[partner < 0]
+            left.append((part, int((step[rest] < 0).sum()), int((step[rest] > 0).sum())))
+            ranks.update({(part, kind, r): i for kind, sign in ((0, 1), (1, -1)) for r, i in enumerate(rest[step[rest] == sign])})
+        ends = defaultdict(dict)
+        for part, kind, first, n, link in packing.across(left):
+            for j in range(n):
+                ends[link + (j if kind else n - 1 - j)][kind] = ranks[part, kind, first + j]
+        for pair in ends.values():
+            found[pair[0]], found[pair[1]] = pair[1], pair[0]
+        assert (found == whole).all()
 
 
 def test_lengths_beyond_capacity_are_refused(spark):

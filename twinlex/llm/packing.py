@@ -1,13 +1,17 @@
-"""Best-fit packing of tokenized documents into sequences of bounded length, in bulk-synchronous steps."""
+"""Best-fit packing of tokenized documents into sequences of bounded length, in bulk-synchronous rounds.
+
+In each round, documents and gaps stand in one range-sorted row, and a sweep over it finds each document the smallest gap left
+that takes it. Partitions sweep what they hold; what they leave over meets by rank, which takes two counts of each partition.
+Then the gaps shrink, and the next round begins.
+"""
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlex.llm import common, tokens
@@ -37,93 +41,180 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids binary")
 
 
-def sweep(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Place all items, given how many there are of each length; items of a length are known by their rank.
+def sweep(step: np.ndarray) -> np.ndarray:
+    """For gaps (+1) and documents (-1) in falling order of size, gaps first: the place of each one's partner, or -1.
 
-    Lengths go from the longest on, all items of a length in one step: they sweep the gaps upward from their own length on,
-    the item of rank r takes the r-th gap, and gaps that took an item move to their new size; items that find no gap open new
-    sequences. Gaps of a size are kept as ranges of sequence numbers, so the state depends on the capacity, not on the number
-    of items. Returns for runs of items in the order of length (longest first) and rank: the first item of a run, the sequence
-    of that item (the following items have the following sequences), the offset; and the number of sequences.
+    A document takes the gap that was last passed and is still free: the smallest one that is large enough. Gaps and documents
+    match like brackets: those of one depth alternate.
     """
-    gaps: dict[int, deque[tuple[int, int]]] = {}
-    open_sizes = np.zeros(capacity + 1, np.int64)
-    firsts: list[int] = []
-    sequences: list[int] = []
-    offsets: list[int] = []
-    n_seq = done = 0
-
-    def put(size: int, first: int, n: int) -> None:
-        if size:
-            gaps.setdefault(size, deque()).append((first, n))
-            open_sizes[size] += n
-
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            found = np.flatnonzero(open_sizes[length:])
-            if len(found):
-                size = length + int(found[0])
-                first, n = gaps[size].popleft()
-                take = min(n, left)
-                if take < n:
-                    gaps[size].appendleft((first + take, n - take))
-                open_sizes[size] -= take
-            else:
-                size, take, first = capacity, max(1, left // max(1, capacity // length)), n_seq
-                n_seq += take
-            firsts.append(done)
-            sequences.append(first)
-            offsets.append(capacity - size)
-            put(size - length, first, take)
-            done += take
-            left -= take
-    return np.array(firsts, np.int64), np.array(sequences, np.int64), np.array(offsets, np.int64), n_seq
-
-
-def place(items: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """items with sequence_id and offset, every row in exactly one sequence of at most `capacity`.
-
-    Rows are range-sorted by length (longest first) and `order`, written, and numbered: a row's rank is the rows of the
-    partitions before its own plus its place there. The sweep needs only how many rows each length has, at most `capacity`
-    numbers; rows then find their run by rank. Lengths must lie between 1 and capacity; ties and repeated rows get a place
-    each; an empty table gives an empty result.
+    total = np.cumsum(step)
+    least = np.minimum(np.minimum.accumulate(total), 0)
+    free = (step > 0) | (least == np.concatenate([[0], least[:-1]]))  # a document that makes a new minimum finds no gap
+    at = np.flatnonzero(free)
+    depth = np.cumsum(step[at]) + (step[at] < 0)
+    by = np.argsort(depth, kind="stable")
+    at, depth = at[by], depth[by]
+    hit = np.flatnonzero((step[at[1:]] < 0) & (step[at[:-1]] > 0) & (depth[1:] == depth[:-1]))
+    partner = np.full(len(step), -1)
+    partner[at[hit]], partner[at[hit + 1]] = at[hit + 1], at[hit]
+    return partner
+
+
+def across(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """How the rest of the partitions meets: runs (part, kind, first rank, ranks, first link), kind 0 for gaps and 1 for documents.
+
+    left has (part, documents, gaps) in the order of the row. A partition's first documents take the last gaps of the partitions
+    before it, latest first; equal links belong together. Gaps of a run have falling links, documents rising ones.
+    """
+    stack: list[list[int]] = []
+    runs, link = [], 0
+    for part, documents, gaps in left:
+        done = 0
+        while done < documents and stack:
+            of, have = stack[-1]
+            n = min(have, documents - done)
+            runs += [(part, 1, done, n, link), (of, 0, have - n, n, link)]
+            done, link = done + n, link + n
+            stack[-1][1] -= n
+            if have == n:
+                stack.pop()
+        if gaps:
+            stack.append([part, gaps])
+    return runs
+
+
+_SWEPT = "part int, kind int, rank bigint, id bigint, length bigint, seq bigint, slot bigint, gap bigint"
+
+
+def _round(items: DataFrame, gaps: DataFrame, top: int, low: int) -> tuple[DataFrame, DataFrame]:
+    """One round for documents (id, length) between low and top, and gaps (seq, gap): tables swept and linked.
+
+    A gap stands in the row once for each document of the longest length that it could take, so that it can take several in a
+    round: as slots of equal size. Swept rows with both id and seq are placed; the others are left over with their rank by kind,
+    and linked has those of them that meet, or stay (seq or id is null).
     """
     spark = items.sparkSession
-    common.share_package(spark)
-    keys = [F.col(length).desc(), *order]
-    (at_name,) = common.fresh(items, "_at")
-    sorted_rows = common.stored(items.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at_name, F.monotonically_increasing_id()), "ranked")
-    per_part = {r.part: r.n for r in sorted_rows.groupBy(F.shiftright(at_name, 33).alias("part")).agg(F.count("*").alias("n")).collect()}
-    counts = {r.size: r.n for r in sorted_rows.groupBy(F.col(length).alias("size")).agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    if counts and not (1 <= min(counts) and max(counts) <= capacity):
-        raise ValueError(f"lengths must lie between 1 and {capacity}")
-    before, total = {}, 0
-    for part in sorted(per_part):
-        before[part], total = total, total + per_part[part]
-    plan = spark.sparkContext.broadcast((before, *sweep(counts, capacity)[:3]))
-    names = items.columns
+    many = F.greatest(F.floor(F.col("gap") / top), F.lit(1)).cast("bigint")
+    slots = gaps.filter(F.col("gap") >= low).select("seq", "gap", many.alias("many"), F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1)).alias("slot"))
+    offered = slots.select(F.floor(F.col("gap") / F.col("many")).cast("bigint").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("who"), "slot", "gap")
+    wanted = items.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("id").alias("who"), F.lit(0).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("gap"))
+    order = [F.col("size").desc(), "kind", "who", "slot"]
+    row = offered.unionByName(wanted).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, firsts, sequences, offsets = plan.value
+        table = pa.Table.from_batches(list(batches), schema=None) if (batches := [b for b in batches if b.num_rows]) else None
+        if table is None:
+            return
+        size, kind, who, slot, gap, part = (table.column(i).to_numpy() for i in range(6))
+        partner = sweep(1 - 2 * kind)
+        alone = partner < 0
+        document = kind == 1
+        keep = alone | document  # a placed pair is one row, the document's
+        rank = np.where(document, np.cumsum(alone & document), np.cumsum(alone & ~document)) - 1
+        of = np.where(document, np.where(alone, 0, partner), np.arange(len(kind)))  # where the gap of a row stands
+        no_gap, no_item = (document & alone)[keep], ~document[keep]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(part[keep].astype(np.int32)),
+                pa.array(kind[keep].astype(np.int32)),
+                pa.array(rank[keep].astype(np.int64), mask=~alone[keep]),
+                pa.array(who[keep], mask=no_item),
+                pa.array(size[keep], mask=no_item),
+                pa.array(who[of][keep], mask=no_gap),
+                pa.array(slot[of][keep], mask=no_gap),
+                pa.array(gap[of][keep], mask=no_gap),
+            ],
+            ["part", "kind", "rank", "id", "length", "seq", "slot", "gap"],
+        )
+
+    swept = common.stored(row.mapInArrow(run, _SWEPT), "swept")
+    count = lambda kind: F.count_if((F.col("kind") == kind) & F.col("rank").isNotNull())
+    left = swept.groupBy("part").agg(count(1).alias("documents"), count(0).alias("gaps")).orderBy("part").collect()  # a row for each partition
+    plan = spark.sparkContext.broadcast(np.array(sorted(across([tuple(r) for r in left])), np.int64).reshape(-1, 5))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = plan.value
+        keys = (runs[:, 0] * 2 + runs[:, 1] << 40) + runs[:, 2]
         for batch in batches:
-            if batch.num_rows:
-                at = batch.column(len(names)).to_numpy()
-                part = at >> 33
-                ids, where = np.unique(part, return_inverse=True)
-                rank = np.array([before[int(p)] for p in ids])[where] + (at & ((1 << 33) - 1))
-                run_of = np.searchsorted(firsts, rank, "right") - 1
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequences[run_of] + rank - firsts[run_of]), pa.array(offsets[run_of])], [*names, "sequence_id", "offset"])
+            part, kind, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            at = np.searchsorted(keys, (part * 2 + kind << 40) + rank, "right") - 1
+            run = runs[np.maximum(at, 0)] if len(runs) else np.zeros((len(part), 5), np.int64)
+            inside = rank - run[:, 2]
+            on = (at >= 0) & (run[:, 0] == part) & (run[:, 1] == kind) & (inside < run[:, 3])
+            number = run[:, 4] + np.where(kind == 1, inside, run[:, 3] - 1 - inside)
+            # what stays has a negative number of its own
+            own = -1 - ((part * 2 + kind << 40) + rank)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(on, number, own)), *batch.columns[3:]], ["link", "id", "length", "seq", "slot", "gap"])
+
+    rest = swept.filter("rank is not null").mapInArrow(link, "link bigint, id bigint, length bigint, seq bigint, slot bigint, gap bigint")
+    linked = common.stored(rest.groupBy("link").agg(*[F.max(c).alias(c) for c in ("id", "length", "seq", "slot", "gap")]), "linked")
+    return swept, linked
+
+
+def assigned(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Rows (id, sequence_id, offset), one for each row (id, length) of lengths, which must be a written table with different ids.
+
+    As many sequences as all lengths need at least stand open from the start, and the longest documents go first; when no gap
+    takes any of the documents left, as many sequences are opened as those need at least. Each round places one document or more
+    for each gap that can take one, so there are about as many rounds as the capacity has powers of two. The driver sees two
+    counts of each partition, and four numbers a round.
+    """
+    spark = lengths.sparkSession
+    measured = (F.count("*"), F.max("length"), F.min("length"), F.sum("length"))
+    items, gaps = lengths.select("id", F.col("length").cast("bigint").alias("length")), None
+    n, top, low, total = items.agg(*measured).first()
+    if n and not 1 <= low <= top <= capacity:
+        raise ValueError(f"lengths must lie between 1 and {capacity}")
+    placed: list[DataFrame] = []
+    tables: list[DataFrame] = []
+    n_seq, turn = 0, 0
+    while n:
+        if gaps is None:
+            more = -(-total // capacity)
+            gaps = spark.range(n_seq, n_seq + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("bigint").alias("gap"))
+            n_seq += more
+        swept, linked = _round(items, gaps, top, low)
+        tables += [swept, linked]
+        columns = ["id", "length", "seq", "slot", "gap"]
+        both = swept.filter("rank is null").select(*columns).unionByName(linked.select(*columns))
+        done = both.filter("id is not null and seq is not null")
+        placed.append(done.select("id", "length", "seq", F.lit(turn).alias("turn"), "slot"))
+        items = linked.filter("seq is null").select("id", "length")
+        before = n
+        n, top, low, total = items.agg(*measured).first()
+        size = F.max("gap") - F.sum(F.coalesce("length", F.lit(0)))
+        gaps = both.filter("seq is not null").groupBy("seq").agg(size.alias("gap")) if n < before else None
+        turn += 1
+    if not placed:
+        return lengths.select("id", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    every = placed[0]
+    for part in placed[1:]:
+        every = every.unionByName(part)
+    so_far = Window.partitionBy("seq").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    out = common.stored(every.select("id", F.col("seq").alias("sequence_id"), F.coalesce(F.sum("length").over(so_far), F.lit(0)).cast("bigint").alias("offset")), "places")
+    for table in tables:
+        common.drop_stored(table)
+    return out
+
+
+def place(items: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
+    """items with sequence_id and offset, every row in exactly one sequence of at most `capacity`.
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return sorted_rows.mapInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
+    Lengths must lie between 1 and capacity; ties and repeated rows get a place each; an empty table gives an empty result.
+    Columns named sequence_id or offset must not be there; all others stay.
+    """
+    (row,) = common.fresh(items, "_at")
+    rows = common.stored(items.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    found = assigned(rows.select(F.col(row).alias("id"), F.col(length).alias("length")), capacity)
+    return rows.join(found.withColumnRenamed("id", row), row).select(*items.columns, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """pieces() with their ids, placed: rows (key, piece, start, length, ids, sequence_id, offset).
 
-    Only the pieces' lengths are sorted and swept; the ids join their places by a row number, written with them.
+    Null and empty texts are their end id alone; rows that repeat a key are packed each; other columns aren't read. Only the
+    pieces' lengths go through the rounds; the ids join their places by a row number, written with them.
     """
     cut = common.stored(pieces(docs, vocabulary, end_id, capacity, key, text).withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    placed = place(cut.select(key, "piece", "length", "_row"), capacity, order=(key, "piece", "_row"))
-    return cut.join(placed.select("_row", "sequence_id", "offset"), "_row").drop("_row")
+    found = assigned(cut.select(F.col("_row").alias("id"), "length"), capacity)
+    return cut.join(found.withColumnRenamed("id", "_row"), "_row").drop("_row")

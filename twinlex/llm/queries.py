@@ -67,8 +67,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), tokens.vocabulary_path(VOCABULARY), end_id=1)
-    rows = common.stored(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return packing.place(rows)
+    return packing.place(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
