@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinlex.llm import common, masked_lm, packing, token_store, tokens
+from twinlex.llm import common, masked_lm, near_copies, packing, token_store, tokens
 
 VOCABULARY = tokens.vocabulary_path("word_bpe_49k.json")
 
@@ -279,7 +279,7 @@ def test_pipeline_stages_against_their_operators(spark, odd_docs, tmp_path):
     import corpus_pipeline as pipeline
 
     folder = str(tmp_path)
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = odd_docs
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1) for i in range(20)] + [(306, 0)], "doc_id bigint, quality int").write.parquet(f"{folder}/labels.parquet")
     phrase = " ".join(docs.filter("doc_id = 8").first().text.split()[:15])
@@ -295,8 +295,9 @@ def test_pipeline_stages_against_their_operators(spark, odd_docs, tmp_path):
     before, lines = kept["drop_lines"]
     assert before.count() == lines.count() and lines.filter("n_chars <> length(coalesce(text, ''))").count() == 0
     before, single = kept["drop_near_duplicates"]
-    groups = {r.component_id for r in __import__("twinlex.llm.simhash", fromlist=["x"]).near_duplicates(before).collect()}
-    assert {r.doc_id for r in single.collect()} == groups
+    found, of = near_copies.classes(before)
+    assert {r.doc_id for r in single.collect()} == {r.component_id for r in of.collect()} and found.count() == before.count()
+    assert {tuple(r) for r in single.collect()} <= {tuple(r) for r in before.collect()}
     before, clean = kept["decontaminate"]
     gone = {r.doc_id for r in before.collect()} - {r.doc_id for r in clean.collect()}
     assert gone <= {8} or all(phrase.split()[3] in (r.text or "") for r in before.filter(F.col("doc_id").isin(list(gone))).collect())

@@ -1,7 +1,10 @@
-"""Near copies: pairs of texts whose sets of word shingles have a Jaccard similarity of at least 4/5, all of them and no others.
+"""Near copies: groups of texts whose sets of five-word shingles have a Jaccard similarity of at least 4/5.
 
-Every set is put into one order, rarer shingles first. Two sets as alike as this share a shingle among the first fifth of
-both, so that the texts meet under it; what meets is compared by the whole sets.
+SimHash fingerprints of the shingles bring the closest texts together first, compared by their bits; each of their links is
+verified by the whole sets. For links beyond the fingerprints' radius, every set is put into one order, rarer shingles first:
+two sets as alike as this share a shingle among the first fifth of both. Texts that meet under a shingle are first held against
+one of them, so that a group of near copies costs a row a text; only texts that stand in different groups then are compared
+pair by pair.
 """
 
 from __future__ import annotations
@@ -11,28 +14,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlex.llm import common
+from twinlex.llm import common, simhash
 
 #: Words of a shingle.
 WIDTH = 5
 #: One text in _SAMPLE tells which shingles are frequent, at most _FREQUENT of them. This only sets their order, never the result.
 _SAMPLE, _FREQUENT = 64, 1 << 20
 _KNOWN = 1 << 18
-_PAIRS = 1 << 20
 #: Bits of a set's parities.
 _BITS = 1024
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The different XXH64 values of a text's shingles, sorted; a shorter text is one shingle, a text without words none."""
+def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The XXH64 values of a text's shingles in order; a shorter text is one shingle, a text without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space alone
-    if not words:
-        return np.empty(0, np.uint64)
     hash_of = xxhash.xxh64_intdigest
-    return np.unique(np.array([hash_of(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.fromiter((hash_of(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n)
 
 
 def parities(h: np.ndarray) -> bytes:
@@ -45,10 +46,10 @@ def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text):
-            sets = [shingles(t.as_py(), width) for t in batch.column(0)]
+            sets = [np.unique(hashes(t.as_py(), width)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["h"])
 
-    some = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(_SAMPLE)) == 0)
+    some = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(_SAMPLE)) == 0).distinct()
     counts = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     rows = counts.orderBy(F.desc("n"), "h").limit(_FREQUENT).toArrow()
     h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
@@ -57,8 +58,8 @@ def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Rows (key, sid, n, hs, odd, front), one for each row of docs: the set's id, size, sorted values and parities, and its first fifth in the
-    order of all sets (left out where a task has already given it for a copy)."""
+    """Rows (key, sid, n, fp, odd, front), one for each row of docs: the set's id and size, the text's fingerprint, the set's parities, and its
+    first fifth in the order of all sets (parities and front are left out where a task has already given them for a copy)."""
     spark = docs.sparkSession
     common.share_package(spark)
     shared = spark.sparkContext.broadcast(frequent(docs, text, width))
@@ -69,12 +70,12 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         for batch in common.slices(batches):
             if not batch.num_rows:
                 continue
-            sids, sizes, values, odd, fronts = [], [], [], [], []
+            sids, sizes, prints, odd, fronts = [], [], [], [], []
             for t in batch.column(1):
-                h = shingles(t.as_py(), width)
-                raw = h.tobytes()
-                sid = xxhash.xxh64_intdigest(raw)
-                front = h[:0]
+                every = hashes(t.as_py(), width)
+                h = np.unique(every)
+                sid = xxhash.xxh64_intdigest(h.tobytes())
+                front, parity = h[:0], None
                 if sid not in known:
                     if len(known) >= _KNOWN:
                         known.clear()
@@ -83,74 +84,36 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     if len(often):
                         at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                         level = np.where(often[at] == h, count[at], 0)
-                    front = h[np.argsort(level, kind="stable")[: len(h) // 5 + 1]]
+                    front, parity = h[np.argsort(level, kind="stable")[: len(h) // 5 + 1]], parities(h)
                 sids.append(sid)
                 sizes.append(len(h))
-                values.append(raw)
-                odd.append(parities(h))
+                prints.append(simhash.majority(every))
+                odd.append(parity)
                 fronts.append(front)
             ends = np.cumsum([0, *map(len, fronts)])
             front = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(fronts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(values, pa.binary()), pa.array(odd, pa.binary()), front], [key, "sid", "n", "hs", "odd", "front"])
+            whole = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), whole(sids), pa.array(sizes, pa.int64()), whole(prints), pa.array(odd, pa.binary()), front], [key, "sid", "n", "fp", "odd", "front"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, sid bigint, n bigint, hs binary, odd binary, front array<bigint>")
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, sid bigint, n bigint, fp bigint, odd binary, front array<bigint>")
 
 
-def met(h: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets with a value h in both fronts, for rows sorted by h and sid, that sizes and places let be alike.
+def may_be_alike(a: Column, b: Column) -> Column:
+    """Whether sizes and places let sets be alike whose fronts first meet there: a, b are structs (sid, n, at).
 
     At the first value that two sets share, all before it are in one of them only: at most a ninth of both sizes' sum.
     """
-    first = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])
-    h, sid, n, at = h[first], sid[first], n[first], at[first]
-    rows, step, found, have = np.arange(len(h)), 1, [], 0
-    while True:
-        rows = rows[: np.searchsorted(rows, len(h) - step)]
-        rows = rows[h[rows + step] == h[rows]]
-        if len(rows):
-            a, b = rows, rows + step
-            on = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * (at[a] + at[b]) <= n[a] + n[b])
-            found.append(np.stack([sid[a[on]], sid[b[on]]], axis=1))  # sorted by sid: the smaller one comes first
-            have += len(found[-1])
-        if found and (have >= _PAIRS or not len(rows)):
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pairs[:, 0], pairs[:, 1]
-            found, have = [], 0
-        if not len(rows):
-            return
-        step += 1
-
-
-def candidates(found: DataFrame) -> DataFrame:
-    """Different pairs (u, v), u < v, of ids of sets that meet under a value of both fronts."""
-    spread = found.select("sid", "n", F.posexplode("front").alias("at", "h")).select("h", "sid", "n", F.col("at").cast("bigint").alias("at"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for u, v in met(*rows):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        kept = [np.empty(0, np.int64) for _ in range(4)]
-        for batch in batches:
-            kept = [np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, batch.columns, strict=True)]
-            if len(kept[0]) >= 1 << 17:
-                cut = int(np.searchsorted(kept[0], kept[0][-1]))  # the last group may go on
-                if cut:
-                    yield from out([k[:cut] for k in kept])
-                    kept = [k[cut:] for k in kept]
-        if len(kept[0]):
-            yield from out(kept)
-
-    return spread.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, "u bigint, v bigint").distinct()
+    return (5 * F.least(a["n"], b["n"]) >= 4 * F.greatest(a["n"], b["n"])) & (9 * (a["at"] + b["at"]) <= a["n"] + b["n"])
 
 
-def links(found: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of ids of different sets with a Jaccard similarity of at least 4/5.
+def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """The pairs (u, v) of ids of sets with a Jaccard similarity of at least 4/5, written.
 
-    Such sets differ by a ninth of both sizes' sum at most. Parities rule most others out before whole sets are joined.
+    Such sets differ by a ninth of both sizes' sum at most. Parities rule most others out before whole sets are made again from
+    one text of each, for the ids that are asked for alone.
     """
-    short = found.select("sid", "n", "odd").dropDuplicates(["sid"])
+    short = found.filter("odd is not null").select("sid", "n", "odd").dropDuplicates(["sid"])
     end = lambda rows, x, *names: rows.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +123,10 @@ def links(found: DataFrame) -> DataFrame:
                 on = 9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= batch.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(on))
 
-    near = candidates(found).join(end(short, "u", "n", "odd"), "u").join(end(short, "v", "n", "odd"), "v")
-    pairs = common.stored(near.select("u", "v", F.expr("n_u + n_v"), "odd_u", "odd_v").mapInArrow(may, "u bigint, v bigint"), "copy-candidates")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    whole = common.stored(found.select("sid", "hs").join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "copy-sets")
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            raw = [np.unique(hashes(t.as_py(), width)).tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)), pa.array(raw, pa.binary())], ["sid", "hs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,20 +136,68 @@ def links(found: DataFrame) -> DataFrame:
                 alike.append(9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    return pairs.join(end(whole, "u", "hs"), "u").join(end(whole, "v", "hs"), "v").select("u", "v", "hs_u", "hs_v").mapInArrow(run, "u bigint, v bigint")
+    near = pairs.join(end(short, "u", "n", "odd"), "u").join(end(short, "v", "n", "odd"), "v")
+    likely = common.stored(near.select("u", "v", F.expr("n_u + n_v"), "odd_u", "odd_v").mapInArrow(may, "u bigint, v bigint"), "copy-candidates")
+    asked = likely.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    one = found.filter("odd is not null").join(asked, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(key)).alias("_one")).select(F.col(f"_one.{key}").alias("_one")).distinct()
+    named = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = named.join(one, F.col("_key").eqNullSafe(F.col("_one")), "left_semi").select("text")
+    whole = common.stored(texts.mapInArrow(whole_sets, "sid bigint, hs binary").join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "copy-sets")
+    out = likely.join(end(whole, "u", "hs"), "u").join(end(whole, "v", "hs"), "v").select("u", "v", "hs_u", "hs_v").mapInArrow(run, "u bigint, v bigint")
+    links = common.stored(out, "copy-links")
+    common.drop_stored(likely)
+    common.drop_stored(whole)
+    return links
+
+
+def printed(found: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ids of sets whose fingerprints are equal, each with the least id, and those that hold fingerprints within the radius together."""
+    first = found.groupBy("fp").agg(F.min("sid").alias("first"))
+    same = found.select("fp", "sid").distinct().join(first, "fp").filter("sid <> first").select(F.col("first").alias("u"), F.col("sid").alias("v"))
+    near = simhash.links(first.select("fp"))
+    ends = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v")
+
+
+def met(found: DataFrame) -> DataFrame:
+    """Rows (h, point, lead): the values that stand in the fronts of different sets, with each of these, a struct (sid, n, at), and the one of least id."""
+    points = found.select("sid", "n", F.posexplode("front").alias("at", "h")).select("h", F.struct("sid", "n", F.col("at").cast("bigint").alias("at")).alias("point"))
+    several = points.groupBy("h").agg(F.min("point").alias("lead"), F.max("point.sid").alias("last")).filter("lead.sid <> last")
+    return common.stored(points.join(several.select("h", "lead"), "h"), "met-sets")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, sid), one for each row of docs, and rows (sid, component_id): the smallest key of those that links connect.
+
+    A link is a Jaccard similarity of at least 4/5 of the sets of shingles; no link between different sets is lost, but for those
+    between sets that other links connect anyway.
+    """
+    found = common.stored(sets(docs, key, text, width), "shingle-sets")
+    near = met(found)
+    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    star = near.filter((F.col("point.sid") != F.col("lead.sid")) & may_be_alike(F.col("point"), F.col("lead"))).select(*pair(F.col("point.sid"), F.col("lead.sid")))
+    links = verified(star.unionByName(printed(found)).distinct(), found, docs, key, text, width)
+    roots = common.stored(common.components(links), "copy-roots")
+    rooted = near.select("h", "point").join(roots.withColumnRenamed("node", "_node"), F.col("point.sid") == F.col("_node"), "left").select("h", "point", F.coalesce("root", "point.sid").alias("root"))
+    apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    left = common.stored(rooted.join(apart, "h", "left_semi"), "sets-apart")
+    side = lambda x: left.select("h", F.col("point").alias(x), F.col("root").alias(f"root_{x}"))
+    across = side("a").join(side("b"), "h").filter((F.col("root_a") < F.col("root_b")) & may_be_alike(F.col("a"), F.col("b"))).select(*pair(F.col("a.sid"), F.col("b.sid"))).distinct()
+    more = verified(across, found, docs, key, text, width)
+    whole = common.components(links.unionByName(more))
+    least = found.groupBy("sid").agg(F.min(key).alias("least"))
+    rows = least.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    smallest = rows.groupBy("root").agg(F.min("least").alias("component_id"))
+    return found.select(key, "sid"), rows.join(smallest, "root").select("sid", "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with one row of each group of texts that links connect: the one with the smallest key. Rows that repeat that key stay together.
 
-    Texts with equal sets, and so all without words, are copies. A null key is never the smallest while another is there.
+    Texts with equal sets, and so all without words (null, empty, blank), are copies; a text of fewer words than a shingle is one
+    shingle. A null key is never the smallest while another is there. All columns stay as they are; an empty table stays empty.
     """
-    found = common.stored(sets(docs, key, text, width), "shingle-sets")
-    distinct = found.groupBy("sid").agg(F.min(key).alias("least"))
-    roots = common.components(links(found))
-    rooted = distinct.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(smallest, "root").select("sid", "component_id")
+    found, of = classes(docs, key, text, width)
     (kept_key,) = common.fresh(docs, "_kept")
-    kept = found.select(key, "sid").join(of, "sid").filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(kept_key)).distinct()
+    kept = found.join(of, "sid").filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(kept_key)).distinct()
     return docs.join(kept, F.col(key).eqNullSafe(F.col(kept_key)), "left_semi")

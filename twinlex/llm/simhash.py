@@ -25,12 +25,13 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """Bit b is 1 if it is set in over half of the XXH64 values of all word shingles, repeats included. No words: 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space alone
-    if not words:
-        return 0
     hash_of = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return hash_of(b" ".join(words), seed)
-    h = np.array([hash_of(b" ".join(words[i : i + width]), seed) for i in range(len(words) - width + 1)], np.uint64)
+    n = max(1, len(words) - width + 1) if words else 0
+    return majority(np.fromiter((hash_of(b" ".join(words[i : i + width]), seed) for i in range(n)), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are those of over half the values; of none: 0."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):
         total += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
