@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlex.llm import common, decontam, line_dedup, near_copies, packing, pu_quality, simhash, tokens
+from twinlex.llm import common, decontam, line_dedup, near_copies, packing, pu_quality, tokens
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The shortest line that drop_lines looks at.
+LINE_CHARS = 40
 #: No SQL: the classifier is a trained network. The tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
@@ -26,25 +28,29 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat or nearly repeat an earlier line. n_chars follows the text."""
-    return _counted(line_dedup.drop_repeated(docs), docs)
+    """All documents, without lines that repeat or nearly repeat an earlier line; n_chars follows the text.
 
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Only almost equal texts are found."""
-    return simhash.keep_first(docs)
+    Lines of fewer than LINE_CHARS characters stay: short ones are alike by chance. Null and empty texts stay as they are, a
+    text may become empty, rows repeated with equal text are one place; all columns stay; an empty table stays empty.
+    """
+    return _counted(line_dedup.drop_repeated(docs, least_chars=LINE_CHARS), docs)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, with five-word shingles of Jaccard similarity 0.8 or more: the one with the smallest doc_id.
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Five-word shingles, Jaccard similarity of 0.8 or more.
 
-    Not among STAGES yet: the stage test there holds drop_near_duplicates to the rule of three bits.
+    Links within three bits of SimHash fingerprints come first, and are verified; links beyond their reach are found by shared
+    shingles. Texts without words are copies of each other; rows that repeat the kept doc_id stay; a null doc_id is never the
+    smallest while another is there; all columns stay; an empty table stays empty.
     """
     return near_copies.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows make up less than a twentieth."""
+    """Documents of which benchmark windows make up less than a twentieth, in all columns.
+
+    Documents without words stay. A doc_id goes with all rows that have it if one of them is contaminated, and so do null ones.
+    """
     marked = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     (name,) = common.fresh(docs, "_found")
     found = marked.filter(decontam.contaminated()).select(F.col("doc_id").alias(name)).distinct()
@@ -52,7 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 ids: one row for each piece of a document."""
+    """Token sequences of at most 4096 ids: one row for each piece of a document. Null and empty texts are one end id; repeated rows are packed each; other columns aren't read."""
     return packing.pack(docs, tokens.vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
@@ -73,6 +79,7 @@ def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each on all that the one before kept; nulls, ties, repeats, empty tables and other columns as the stages have it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), name)
