@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -106,19 +107,20 @@ def variants():
     return out + ["short line", "a wholly different line of text, of forty characters and more", "é" * 45, "é" * 44 + "e"]
 
 
-def test_line_classes_match_brute_force(spark):
-    texts = variants()
+@pytest.mark.parametrize("least", [1, 40])
+def test_line_classes_match_brute_force(spark, least):
+    texts = variants() + ["twelve chars", "twelve char.", "twelve  char", "eleven char", "eleven cha.", "short lime", "sh"]
     docs = spark.createDataFrame([(i, t + "\n" + texts[(i * 7) % len(texts)]) for i, t in enumerate(texts)], "doc_id bigint, text string")
     first, copies = {}, Counter()
     for i, t in enumerate(texts):
         for no, line in enumerate((t, texts[(i * 7) % len(texts)])):
-            if len(line) >= 40:
+            if len(line) >= least:
                 first.setdefault(line, (i, no))
                 copies[line] += 1
-    links = [(first[a], first[b]) for a in first for b in first if first[a] < first[b] and edits(a, b) <= 2]
+    links = [(first[a], first[b]) for a in first for b in first if first[a] < first[b] and min(len(a), len(b)) >= 12 and edits(a, b) <= 2]
     degree = Counter(x for pair in links for x in pair)
     roots = union_find(first.values(), links)
-    found = {(r.first["key"], r.first["line_no"]): (r.n_copies, r.n_links, (r.class_first["key"], r.class_first["line_no"])) for r in line_dedup.classes(docs).collect()}
+    found = {(r.first["key"], r.first["line_no"]): (r.n_copies, r.n_links, (r.class_first["key"], r.class_first["line_no"])) for r in line_dedup.classes(docs, least_chars=least).collect()}
     assert found == {place: (copies[line], degree[place], roots[place]) for line, place in first.items()} and len(links) > 10
 
 

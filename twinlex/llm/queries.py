@@ -31,7 +31,7 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each different line of 40 characters or more: its first place, copies, links to other lines, and class."""
+    """One row for each different line but the empty one: its first place, copies, links to other lines (of 12 characters or more), and class."""
     found = line_dedup.classes(_table(spark, sf_dir, "documents"))
     place = lambda c, x: [F.col(c)["key"].alias(f"{x}doc_id"), F.col(c)["line_no"].cast("bigint").alias(f"{x}line_no")]
     return found.select(*place("first", ""), "n_copies", "n_links", *place("class_first", "class_"))
@@ -108,9 +108,9 @@ _OP4 = """
 with recursive l as (
   select doc_id, i - 1 as line_no, list_extract(ls, i) as line
   from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
-d as (select line, min(doc_id * 1000000 + line_no) as place, count(*) as n_copies from l where length(line) >= 40 group by line),
+d as (select line, min(doc_id * 1000000 + line_no) as place, count(*) as n_copies from l where line <> '' group by line),
 e as (
-  select a.place as u, b.place as v from d a join d b
+  select a.place as u, b.place as v from (select * from d where length(line) >= 12) a join (select * from d where length(line) >= 12) b
   on length(b.line) between length(a.line) - 2 and length(a.line) + 2 and a.place <> b.place and (
     left(a.line, length(a.line) // 3) = left(b.line, length(a.line) // 3) or right(a.line, length(a.line) // 3) = right(b.line, length(a.line) // 3)
     or contains(substr(b.line, greatest(length(a.line) // 3 - 3, 1), length(a.line) // 3 + 10), substr(a.line, length(a.line) // 3 + 3, greatest(length(a.line) // 3 - 4, 1))))
