@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -53,9 +56,29 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors, and has a known size."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+def settled(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """stored(make()); all tables that make() has stored on the way are deleted then."""
+    _open.append([])
+    try:
+        frame = make()
+        path = new_path(frame.sparkSession, what)
+        frame.write.parquet(path)
+    finally:
+        made = _open.pop()
+    _delete(frame.sparkSession, made)
+    if _open:
+        _open[-1].append(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df doesn't have, whatever case it is told apart in."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -69,13 +92,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_memory: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """What this worker process remembers for one operator. What it has kept for others is let go: workers live on from stage to stage."""
+    if owner not in _memory:
+        _memory.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries return memory by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return _memory.setdefault(owner, {})
+
+
 def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column, and where each row starts (one more than rows). Null: empty."""
     if isinstance(texts, pa.ChunkedArray):

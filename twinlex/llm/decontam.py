@@ -16,8 +16,8 @@ from twinlex.llm import common
 WINDOW = 13
 #: Text positions between two sampled suffix positions.
 SAMPLE = 16
-#: Characters of benchmark text that are searched for together; a longer benchmark is searched for block by block.
-BLOCK_CHARS = 32 << 20
+#: Characters of benchmark text that are searched for together, some 80 MB of phrases in a worker; a longer benchmark is searched for block by block.
+BLOCK_CHARS = 4 << 20
 #: Separators become a space, A-Z become a-z; bytes from 0x80 on belong to words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -215,6 +215,7 @@ def mark(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
 def _searcher(phrases, again: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.memory("decontam")
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlex.llm import common, simhash
@@ -23,6 +23,8 @@ from twinlex.llm import common, simhash
 WIDTH = 5
 #: One text in _SAMPLE tells which shingles are frequent, at most _FREQUENT of them. This only sets their order, never the result.
 _SAMPLE, _FREQUENT = 64, 1 << 20
+#: Sets that a value may well be in, by the sample, before it counts as hot: what meets under it is found by aggregates, not in one task.
+_HOT = 4096
 _KNOWN = 1 << 18
 #: Bits of a set's parities.
 _BITS = 1024
@@ -58,24 +60,26 @@ def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Rows (key, sid, n, fp, odd, front), one for each row of docs: the set's id and size, the text's fingerprint, the set's parities, and its
-    first fifth in the order of all sets (parities and front are left out where a task has already given them for a copy)."""
+    """Rows (key, sid, n, fp, odd, front, n_rare), one for each row of docs: the set's id and size, the text's fingerprint, the set's parities, its
+    first fifth in the order of all sets, and how many values of that aren't hot (parities and front are left out where a task has
+    already given them for a copy)."""
     spark = docs.sparkSession
     common.share_package(spark)
     shared = spark.sparkContext.broadcast(frequent(docs, text, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.memory("copies")
         often, count = shared.value
         known: set[int] = set()
         for batch in common.slices(batches):
             if not batch.num_rows:
                 continue
-            sids, sizes, prints, odd, fronts = [], [], [], [], []
+            sids, sizes, prints, odd, fronts, rare = [], [], [], [], [], []
             for t in batch.column(1):
                 every = hashes(t.as_py(), width)
                 h = np.unique(every)
                 sid = xxhash.xxh64_intdigest(h.tobytes())
-                front, parity = h[:0], None
+                front, parity, n_rare = h[:0], None, 0
                 if sid not in known:
                     if len(known) >= _KNOWN:
                         known.clear()
@@ -84,19 +88,21 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     if len(often):
                         at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                         level = np.where(often[at] == h, count[at], 0)
-                    front, parity = h[np.argsort(level, kind="stable")[: len(h) // 5 + 1]], parities(h)
+                    first = np.argsort(level, kind="stable")[: len(h) // 5 + 1]
+                    front, parity, n_rare = h[first], parities(h), int((level[first] * _SAMPLE <= _HOT).sum())
                 sids.append(sid)
                 sizes.append(len(h))
                 prints.append(simhash.majority(every))
                 odd.append(parity)
                 fronts.append(front)
+                rare.append(n_rare)
             ends = np.cumsum([0, *map(len, fronts)])
             front = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(fronts).view(np.int64)))
             whole = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), whole(sids), pa.array(sizes, pa.int64()), whole(prints), pa.array(odd, pa.binary()), front], [key, "sid", "n", "fp", "odd", "front"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), whole(sids), pa.array(sizes, pa.int64()), whole(prints), pa.array(odd, pa.binary()), front, pa.array(rare, pa.int32())], [key, "sid", "n", "fp", "odd", "front", "n_rare"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, sid bigint, n bigint, fp bigint, odd binary, front array<bigint>")
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, sid bigint, n bigint, fp bigint, odd binary, front array<bigint>, n_rare int")
 
 
 def may_be_alike(a: Column, b: Column) -> Column:
@@ -160,10 +166,22 @@ def printed(found: DataFrame) -> DataFrame:
 
 
 def met(found: DataFrame) -> DataFrame:
-    """Rows (h, point, lead): the values that stand in the fronts of different sets, with each of these, a struct (sid, n, at), and the one of least id."""
-    points = found.select("sid", "n", F.posexplode("front").alias("at", "h")).select("h", F.struct("sid", "n", F.col("at").cast("bigint").alias("at")).alias("point"))
-    several = points.groupBy("h").agg(F.min("point").alias("lead"), F.max("point.sid").alias("last")).filter("lead.sid <> last")
-    return common.stored(points.join(several.select("h", "lead"), "h"), "met-sets")
+    """Rows (h, point, lead): the values that stand in the fronts of different sets, with each of these, a struct (sid, n, at), and the one of least id.
+
+    Nearly all values are in one set alone, so they are dealt out by value once, and what meets is small. Hot values are aggregated
+    and joined back instead, so that no task gathers all sets that have one.
+    """
+
+    def points(part: Column, offset: Column) -> DataFrame:
+        at = (F.col("at") + offset).cast("bigint")
+        return found.filter("odd is not null").select("sid", "n", "n_rare", F.posexplode(part).alias("at", "h")).select("h", F.struct("sid", "n", at.alias("at")).alias("point"))
+
+    rare = points(F.slice("front", F.lit(1), F.col("n_rare")), F.lit(0)).repartition("h")
+    group = Window.partitionBy("h")
+    rare = rare.withColumns({"lead": F.min("point").over(group), "last": F.max("point.sid").over(group)}).filter("lead.sid <> last").drop("last")
+    hot = points(F.slice("front", F.col("n_rare") + 1, F.size("front")), F.col("n_rare"))
+    several = hot.groupBy("h").agg(F.min("point").alias("lead"), F.max("point.sid").alias("last")).filter("lead.sid <> last").drop("last")
+    return common.stored(rare.unionByName(hot.join(several, "h")), "met-sets")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:

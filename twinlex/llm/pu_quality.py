@@ -185,6 +185,7 @@ def table_of(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFr
     """Rows (x binary, mine): the features of every row of docs as half-precision numbers, and whether its key is trusted. trusted is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.memory("quality")
         for batch in common.slices(batches, "text", _SLICE):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in features(batch.column(0)).astype(np.float16)], pa.binary()), batch.column(1)], ["x", "mine"])
@@ -202,6 +203,7 @@ def _summed(rows: DataFrame, task, size: int) -> np.ndarray:
     """The sum of what task(batches) returns in each task, `size` numbers each: added up in _GROUPS groups, then here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.memory("quality")
         values = task(batches)
         if values is not None:
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(values, np.float64).tobytes()], pa.binary())], ["part"])
@@ -318,6 +320,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     @F.arrow_udf("double")
     def judge(texts: pa.Array) -> pa.Array:
+        common.memory("quality")
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
         parts = [shared.value.score(features(b.column(0))) for b in common.slices(iter([batch]), size=_SLICE)]
         return pa.array(np.concatenate([np.empty(0), *parts]))

@@ -11,9 +11,6 @@ from pyspark.sql import SparkSession
 
 from twinlex.llm import common
 
-_loaded: dict[str, WordEncoder] = {}
-
-
 class WordEncoder:
     """Encodes texts by a tokenizers file whose pieces never span ASCII white space and never depend on what is beyond it.
 
@@ -82,13 +79,14 @@ def _plain(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoder(path: str) -> WordEncoder:
-    """One for each worker process; worker threads are switched off, as Spark runs one task for each core."""
+    """One for each worker process, as long as it works for no other operator; worker threads are switched off, as Spark runs one task for each core."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+    loaded = common.memory("tokens")
+    if path not in loaded:
+        loaded[path] = WordEncoder(path)
+    return loaded[path]
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
