@@ -20,7 +20,10 @@ from twinlex.llm import common
 
 LENGTH, GRAM = 100, 32
 #: Different contexts of one anchor that are sorted together; a larger group is resolved string by string.
-GROUP = 20_000
+GROUP = 4096
+#: One text in _SAMPLE tells which anchors may be that frequent, _HOT of them at most: their contexts are dealt out one by one. This sets
+#: where rows go, never the result.
+_SAMPLE, _HOT = 64, 1 << 18
 _BLOCK = 1 << 20
 _CHUNK = 4 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -109,17 +112,33 @@ def _keys(column: pa.Array) -> np.ndarray:
     return column.fill_null(_FIRST_KEY).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_OCCURRENCE = ["h", "c", "k", "pt", "stop"]
+_OCCURRENCE = ["h", "s", "c", "k", "pt", "stop"]
 
 
-def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows (h, c, k, pt, stop): anchors with gram and context hash, key, and place * 2^32 + tag of the text.
+def hot_anchors(docs: DataFrame, length: int, gram: int, group: int) -> np.ndarray:
+    """The anchors, sorted, that a sample of the texts has so often that more than `group` contexts are likely."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            _, h, c = anchors(*common.buffers(batch.column(0)), length, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], ["h", "c"])
+
+    some = docs.select("text").filter(F.pmod(F.xxhash64(F.lit("hot"), "text"), F.lit(_SAMPLE)) == 0)
+    counts = some.mapInArrow(run, "h bigint, c bigint").distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") * _SAMPLE > group)
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(_HOT).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def occurrences(docs: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """Rows (h, s, c, k, pt, stop): anchors with gram and context hash, key, and place * 2^32 + tag of the text; s is the context of hot anchors, else 0.
 
     Of equal contexts within a slice of a task only the first is sent on; the others are known to be repeats and are sent as
     ready spans (stop is set), so that copies cost little and a hot anchor sends one row a slice and context.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         for batch in common.slices(batches):
             raw, at = common.buffers(batch.column(1))
             key = _keys(batch.column(0))
@@ -142,8 +161,10 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 d = np.searchsorted(at, a, "right") - 1
                 cut = np.flatnonzero(b > at[d + 1])
             kept = ~late
+            own = np.where(np.isin(h[kept], hot), c[kept] | np.uint64(1), np.uint64(0)) if len(hot) else np.zeros(kept.sum(), np.uint64)
             rows = [
                 np.concatenate([h[kept].view(np.int64), _mix((a + key[d]).astype(np.uint64)).view(np.int64)]),
+                np.concatenate([own.view(np.int64), np.zeros(len(a), np.int64)]),
                 np.concatenate([c[kept].view(np.int64), np.zeros(len(a), np.int64)]),
                 np.concatenate([key[doc[kept]], key[d]]),
                 np.concatenate([inside[kept] << 32 | tag[doc[kept]], (a - at[d]) << 32 | tag[d]]),
@@ -151,17 +172,20 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
             stop = np.concatenate([np.zeros(kept.sum(), np.int64), b - at[d]])
             yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(stop, mask=stop == 0)], _OCCURRENCE)
 
-    return docs.mapInArrow(run, "h bigint, c bigint, k bigint, pt bigint, stop bigint")
+    return docs.mapInArrow(run, "h bigint, s bigint, c bigint, k bigint, pt bigint, stop bigint")
+
 
+def grouped(found: DataFrame, length: int, gram: int, group: int) -> DataFrame:
+    """What follows from equal anchors: rows (k, tag, start, stop) to remove where h is null, and else rows whose context must be compared (start is the anchor's place, n the contexts of its group).
 
-def grouped(found: DataFrame, length: int, gram: int) -> DataFrame:
-    """What follows from equal anchors: rows (k, tag, start, stop) to remove where h is null, and else rows whose context must be compared (start is the anchor's place, n the contexts of its group)."""
-    by_context = Window.partitionBy("h", "c").orderBy("k", "pt")
-    by_gram = Window.partitionBy("h")
+    A hot anchor's contexts lie in different tasks, which don't count them: they go string by string, as those of a large group.
+    """
+    by_context = Window.partitionBy("h", "s", "c").orderBy("k", "pt")
+    by_gram = Window.partitionBy("h", "s")
     place = F.shiftright("pt", 32)
-    rows = found.repartition("h").withColumn("at", place)
+    rows = found.repartition("h", "s").withColumn("at", place)
     rows = rows.withColumn("k0", F.first("k").over(by_context)).withColumn("at0", F.first("at").over(by_context)).withColumn("nth", F.row_number().over(by_context))
-    rows = rows.withColumn("n", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_gram))
+    rows = rows.withColumn("n", F.when(F.col("s") != 0, group + 1).otherwise(F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_gram)))
     ready, late = F.col("stop").isNotNull(), (F.col("k") != F.col("k0")) | (F.col("at") != F.col("at0"))
     wanted = rows.filter(ready | late | (F.col("n") > 1))
     tag = F.col("pt").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -183,43 +207,47 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """Rows (h, k, tag, start, bytes): the contexts to compare. Of a group beyond `group`, each string of `length` bytes instead: h is its hash, single is set."""
+    """Rows (h, h2, k, tag, start, bytes, single): the contexts to compare. Of a group beyond `group`, each string of `length` bytes instead: h and h2 are its 128-bit hash, single is set."""
     lists = wanted.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "h", "n")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in _CONTEXT]
             for text, k, tag, at in zip(*(batch.column(i) for i in (0, 1, 2, 3)), strict=True):
                 data, k, tag = text.as_buffer(), k.as_py(), tag.as_py()
                 view, seen = memoryview(data), set()
                 for p, h, n in sorted({(x["start"], x["h"], x["n"]) for x in at.as_py()}):
                     low, high = max(0, p - (length - gram)), min(len(view), p + length)
                     if n <= group:
-                        out_rows = [(h, low, bytes(view[low:high]), False)]
+                        out_rows = [(h, 0, low, bytes(view[low:high]), False)]
                     else:
                         hashes = [s for s in range(low, high - length + 1) if s not in seen]
                         seen.update(hashes)
-                        out_rows = [(_single(view[s : s + length]), s, None, True) for s in hashes]
-                    for h_row, s, part, single in out_rows:
-                        for column, value in zip(out, (h_row, k, tag, s, part, single), strict=True):
+                        out_rows = [(*_single(view[s : s + length]), s, None, True) for s in hashes]
+                    for h_row, h2, s, part, single in out_rows:
+                        for column, value in zip(out, (h_row, h2, k, tag, s, part, single), strict=True):
                             column.append(value)
-                if len(out[0]) > 1 << 14:
-                    yield _context_batch(out)
-                    out = [[], [], [], [], [], []]
+                    if len(out[0]) > 1 << 14:
+                        yield _context_batch(out)
+                        out = [[] for _ in _CONTEXT]
             yield _context_batch(out)
 
-    return docs.join(lists, ["k", "tag"]).select("text", "k", "tag", "at").mapInArrow(run, "h bigint, k bigint, tag bigint, start bigint, part binary, single boolean")
+    return docs.join(lists, ["k", "tag"]).select("text", "k", "tag", "at").mapInArrow(run, "h bigint, h2 bigint, k bigint, tag bigint, start bigint, part binary, single boolean")
+
+
+_CONTEXT = ["h", "h2", "k", "tag", "start", "part", "single"]
 
 
-def _single(view: memoryview) -> int:
+def _single(view: memoryview) -> tuple[int, int]:
     import xxhash
 
-    return xxhash.xxh64_intdigest(view, 100) - (1 << 63)
+    whole = xxhash.xxh3_128_intdigest(view, 100)
+    return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)
 
 
 def _context_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "k", "tag", "start", "part", "single"])
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], _CONTEXT)
 
 
 def order_to_depth(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -341,9 +369,9 @@ def compared(rows: DataFrame, length: int) -> DataFrame:
 
     pieces = rows.filter("not single").select("h", "k", "tag", "start", "part").repartition("h").sortWithinPartitions("h")
     several = pieces.mapInArrow(run, "k bigint, tag bigint, start bigint, stop bigint")
-    single = rows.filter("single").select("h", "k", "tag", "start")
-    first = single.groupBy("h").agg(F.min(F.struct("k", "start")).alias("first"))
-    late = single.join(first, "h").filter(F.struct("k", "start") != F.col("first"))
+    single = rows.filter("single").select("h", "h2", "k", "tag", "start")
+    first = single.groupBy("h", "h2").agg(F.min(F.struct("k", "start")).alias("first"))
+    late = single.join(first, ["h", "h2"]).filter(F.struct("k", "start") != F.col("first"))
     return several.unionByName(late.select("k", "tag", "start", (F.col("start") + length).alias("stop")))
 
 
@@ -358,7 +386,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     """
     common.share_package(docs.sparkSession)
     base = keyed(docs, key, text)
-    found = common.stored(grouped(occurrences(base.select("k", "text"), length, gram), length, gram), "repeats")
+    hot = hot_anchors(base, length, gram, group)
+    found = common.stored(grouped(occurrences(base.select("k", "text"), length, gram, hot), length, gram, group), "repeats")
     parts = common.stored(contexts(base, found.filter("h is not null").select("k", "tag", "start", "h", "n"), length, gram, group), "contexts")
     spans = found.filter("h is null").select("k", "tag", "start", "stop").unionByName(compared(parts, length))
     lists = spans.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("at"))
