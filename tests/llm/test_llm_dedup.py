@@ -59,6 +59,19 @@ def test_suffix_dedup_resolves_large_groups_string_by_string(odd_docs, odd_rows)
     check_repeats(odd_docs, odd_rows, group=2)
 
 
+def test_suffix_dedup_deals_out_hot_anchors(spark, monkeypatch):
+    """A passage that stands among different words in every text, so that its anchors are hot in the sample."""
+    rng = np.random.default_rng(7)
+    passage = "".join(rng.choice(list("abcdefgh "), 130))
+    noise = lambda: "".join(rng.choice(list("ijklmnop "), rng.integers(0, 160)))
+    rows = [(i, noise() + passage[: rng.integers(40, 131)] + noise()) for i in range(60)] + [(100 + i, rows_text) for i, rows_text in enumerate([passage] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "_SAMPLE", 1)
+    assert len(suffix_dedup.hot_anchors(suffix_dedup.keyed(docs, "doc_id", "text"), 100, 32, 4))
+    check_repeats(docs, rows, group=4)
+    check_repeats(docs, rows, group=40)
+
+
 def test_suffix_dedup_without_rows(no_docs):
     assert suffix_dedup.repeats(no_docs).count() == 0
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -123,7 +124,7 @@ def plain_kneser_ney(counts, order):
     def p(gram):
         n = len(gram)
         if not n:
-            return 1 / 64
+            return 1 / (1 << perplexity.BITS)
         followers = {g[-1]: c for g, c in tables[n].items() if g[:-1] == gram[:-1]}
         if not followers:
             return p(gram[1:])
@@ -139,12 +140,61 @@ def test_kneser_ney_matches_the_definition():
     keys, n = perplexity.grams(*common.buffers(texts))
     assert n.tolist() == [35, 9, 0, 0, 2, 8]
     model = perplexity.fit(*perplexity.tallied(keys))
-    split = lambda k: tuple(int(k) >> 6 * (3 - i) & 63 for i in range(4))
+    split = lambda k: tuple(int(k) >> perplexity.BITS * (3 - i) & perplexity.MASK for i in range(4))
     p = plain_kneser_ney(Counter(map(split, keys)), 4)
-    probe = np.concatenate([keys, np.random.default_rng(3).integers(0, 1 << 24, 300).astype(np.uint32)])
+    rng = np.random.default_rng(3)
+    mixed = np.array([sum(int(rng.choice(keys) >> np.uint64(perplexity.BITS * rng.integers(0, 4)) & np.uint64(perplexity.MASK)) << perplexity.BITS * i for i in range(4)) for _ in range(300)], np.uint64)
+    probe = np.concatenate([keys, mixed, rng.integers(0, 1 << 48, 100).astype(np.uint64)])
     assert np.exp(model.log_prob(probe)) == pytest.approx([p(split(k)) for k in probe], rel=1e-4)
 
 
+def test_symbols_are_told_apart():
+    every = [chr(c) for c in range(33, 127) if not chr(c).isdigit()] + ["é", "ж", "漢", "字", "ሀ"]
+    keys = [int(perplexity.grams(*common.buffers(pa.array([c])))[0][0]) for c in every]
+    assert len(set(keys)) == len(every) and max(keys) <= perplexity.MASK
+    assert len({int(perplexity.grams(*common.buffers(pa.array([c])))[0][0]) for c in "0123456789"}) == 1
+
+
+def test_rare_grams_are_left_out_beyond_the_bound(spark):
+    docs = spark.createDataFrame([("abcabcabc" * 5 + "xyz",), ("abc", )], "text string")
+    every, some = perplexity.train(docs), perplexity.train(docs, most=4)
+    assert len(every.keys[0]) > 4 >= len(some.keys[0]) > 0 and set(some.keys[0].tolist()) < set(every.keys[0].tolist())
+
+
+def test_bands_and_verdict_match_brute_force(spark, odd_docs, odd_rows, monkeypatch):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word(["abcde", "vwxyz", "mnopq"][i % 3]) for _ in range(rng.randint(40, 90))), [None, "", "de"][i % 3]) for i in range(150)]
+    rows += [(200 + i, " ".join("".join(chr(rng.randint(0x400, 0x9FFF)) for _ in range(5)) for _ in range(60)), [None, "", "de"][i % 3]) for i in range(6)] + [(300, None, "xx"), (301, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    keys, n = perplexity.grams(*common.buffers(pa.array([t for _, t, _ in rows], pa.string())))
+    p = plain_kneser_ney(Counter(tuple(int(k) >> perplexity.BITS * (3 - i) & perplexity.MASK for i in range(4)) for k in keys), 4)
+    known = {}
+    each = np.array([known[k] if k in known else known.setdefault(k, -np.log(p(tuple(k >> perplexity.BITS * (3 - i) & perplexity.MASK for i in range(4))))) for k in map(int, keys)])
+    ends = np.concatenate([[0.0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])]
+    level = {r[0]: (ends[i + 1] - ends[i]) / n[i] for i, r in enumerate(rows) if n[i]}
+    passed = {r[0] for r in rows if not base_measures(r[1])[-1]}
+    sorted_of = {lang: sorted(level[k] for k, _, own in rows if own == lang and k in passed) for lang in (None, "", "de")}
+    bands = {}
+    for lang, x in sorted_of.items():
+        q = [x[max(0, -(-len(x) * i // 4) - 1)] for i in (1, 2, 3)]
+        reach = max(perplexity.BAND * (q[2] - q[0]), perplexity.LEAST * q[1])
+        bands[lang] = q[0] - reach, q[2] + reach
+    for most in (perplexity.MOST_LANGUAGES, 1):  # bands broadcast, and joined
+        monkeypatch.setattr(perplexity, "MOST_LANGUAGES", most)
+        found = {r.doc_id: r for r in perplexity.judge(docs).collect()}
+        assert len(found) == len(rows)
+        for k, t, lang in rows:
+            r = found[k]
+            if k in level:
+                assert r.log_perplexity == pytest.approx(level[k], rel=1e-4)
+            slack = perplexity.SHORT / max(base_measures(t)[1], 1) ** 0.5
+            if k in passed and min(abs(level[k] - bands[lang][0] + slack), abs(level[k] - bands[lang][1] - slack)) > 0.01:
+                assert r.kept == (bands[lang][0] - slack <= level[k] <= bands[lang][1] + slack)
+            assert not r.kept or k in passed
+        assert any(not found[k].kept for k in passed if k >= 200) and all(found[k].kept for k in passed if k < 200)
+
+
 def test_grams_do_not_cross_texts():
     texts = ["ab", "", "c", "defgh", "é"]
     keys, _ = perplexity.grams(*common.buffers(pa.array(texts)))
@@ -197,6 +247,23 @@ def test_ledger_scans_only_what_it_has_not_seen(spark):
     assert rows["a.py", 1] == rows["b.py", 1] == rows["d.py", 1] == ["assign", "access", "hex", "private_key", "forge_token"] and rows["a.py", 2] == [] == rows["c.py", 1] and rows["e.py", 1] == ["access"]
 
 
+def test_a_ledger_folder_grows_by_what_is_new(spark, tmp_path):
+    folder, schema = str(tmp_path / "ledger"), "doc_id bigint, text string"
+    one = spark.createDataFrame([(1, SECRET), (2, None)], schema)
+    assert secret_ledger.update(one, folder).count() == 2 == secret_ledger.update(one, folder).count()
+    both = one.unionByName(spark.createDataFrame([(3, "token = abcdefgh"), (4, "")], schema))
+    ledger = secret_ledger.update(both, folder)
+    assert ledger.count() == 3 == ledger.select("blob").distinct().count()
+    fresh = secret_ledger.digest(secret_ledger.findings(both, secret_ledger.scan(both)))
+    assert Counter(map(tuple, secret_ledger.digest(secret_ledger.findings(both, ledger)).collect())) == Counter(map(tuple, fresh.collect()))
+
+
+def test_many_matches_in_one_text(spark):
+    text = " é ".join(f"token={i:08d}" for i in range(5000))
+    (row,) = secret_ledger.findings(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), secret_ledger.scan(spark.createDataFrame([(text,)], "text string"))).collect()
+    assert [(s.start, s.end) for s in row.found if s.kind == "assign"] == [(m.start(), m.end()) for m in re.finditer(r"token=\d+", text)]
+
+
 # ------------------------------------------------------------------ quality classifier
 
 

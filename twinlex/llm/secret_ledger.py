@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlex.llm import common
@@ -50,28 +50,22 @@ RULES = BASE + EXTRA
 SPAN = "struct<kind: string, start: bigint, end: bigint, version: string>"
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array<SPAN> of a rule's matches, in code points. The pieces between the matches tell where each match stands."""
+def marks(text: Column, rule: Rule, number: int) -> Column:
+    """array<struct<rule, nth, gap, size, keep>> of a rule's matches: the characters between a match and the one before, its own, and whether it counts."""
     pattern = F.lit(rule.pattern)
-    none = F.array().cast(f"array<{SPAN}>")
+    none = F.array().cast("array<struct<rule: int, nth: int, gap: int, size: int, keep: boolean>>")
     parts = F.struct(F.split(text, rule.pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("groups"))
 
-    def places(p: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-
-        def step(s: Column, i: Column) -> Column:
-            begin = s["at"] + F.length(F.get(p["gaps"], i))
-            end = begin + F.length(F.get(p["found"], i))
-            span = F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end"), F.lit(rule.version).alias("version"))
-            out = F.when(F.length(F.get(p["groups"], i)) >= rule.least, F.concat(s["out"], F.array(span))).otherwise(s["out"])
-            return F.struct(end.alias("at"), out.alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["found"]) - 1), start, step, lambda s: s["out"])
+    def each(p: Column) -> Column:
+        return F.transform(
+            p["found"],
+            lambda x, i: F.struct(F.lit(number).alias("rule"), i.alias("nth"), F.length(F.get(p["gaps"], i)).alias("gap"), F.length(x).alias("size"), (F.length(F.get(p["groups"], i)) >= rule.least).alias("keep")),
+        )
 
     there = text.rlike(rule.pattern)
     if rule.literal:
         there = F.contains(text, F.lit(rule.literal)) & there
-    return F.when(there, F.get(F.transform(F.array(parts), places), F.lit(0))).otherwise(none)
+    return F.when(there, F.get(F.transform(F.array(parts), each), F.lit(0))).otherwise(none)
 
 
 def blob(content: Column) -> Column:
@@ -94,9 +88,30 @@ def scan(versions: DataFrame, content: str = "text", ledger: DataFrame | None =
         new = blobs.groupBy("blob").agg(F.first("content").alias("content"), F.first("scanned").alias("scanned"))
     else:
         new = blobs.groupBy("blob").agg(F.first("content").alias("content")).withColumn("scanned", every)
-    none = F.array().cast(f"array<{SPAN}>")
-    found = [F.when(F.array_contains("scanned", r.version), spans(F.col("content"), r)).otherwise(none) for r in rules]
-    return new.select("blob", "scanned", F.flatten(F.array(*found)).alias("found"))
+    none = F.array().cast("array<struct<rule: int, nth: int, gap: int, size: int, keep: boolean>>")
+    found = [F.when(F.array_contains("scanned", r.version), marks(F.col("content"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    each = new.select("blob", "scanned", F.explode_outer(F.flatten(F.array(*found))).alias("m"))
+    # blobs lie where the scan left them, so neither the running sums nor the lists shuffle anything
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(Window.partitionBy("blob", "m.rule").orderBy("m.nth"))
+    names = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    rule = F.get(names, F.col("m.rule"))
+    span = F.struct(rule["kind"].alias("kind"), (F.col("end") - F.col("m.size")).alias("start"), F.col("end"), rule["version"].alias("version"))
+    placed = each.withColumn("end", end).select("blob", "scanned", F.when(F.col("m.keep"), span).alias("span"))
+    return placed.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.sort_array(F.collect_list("span")).cast(f"array<{SPAN}>").alias("found"))
+
+
+def update(versions: DataFrame, folder: str, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger kept in `folder` after it has taken in versions: a scan of what it hasn't seen is added, as files of its own.
+
+    Files are committed by the writer as a whole, so that a failed scan leaves nothing that counts; two scans at a time may both add a
+    blob, which findings() takes once.
+    """
+    spark = versions.sparkSession
+    schema = f"blob binary, scanned array<string>, found array<{SPAN}>"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    scan(versions, content, spark.read.schema(schema).parquet(folder) if there else None, rules).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
