@@ -80,7 +80,10 @@ def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each on all that the one before kept; nulls, ties, repeats, empty tables and other columns as the stages have it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        docs = common.settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.drop_stored(before)
+        before = docs
     return docs
