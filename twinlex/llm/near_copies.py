@@ -26,6 +26,8 @@ _SAMPLE, _FREQUENT = 64, 1 << 20
 #: Sets that a value may well be in, by the sample, before it counts as hot: what meets under it is found by aggregates, not in one task.
 _HOT = 4096
 _KNOWN = 1 << 18
+#: Rows of one or two short columns that are broadcast at most; beyond, they are joined by shuffle.
+_FEW = 1 << 18
 #: Bits of a set's parities.
 _BITS = 1024
 
@@ -106,11 +108,17 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def may_be_alike(a: Column, b: Column) -> Column:
-    """Whether sizes and places let sets be alike whose fronts first meet there: a, b are structs (sid, n, at).
+    """Whether sizes and places let sets be alike whose fronts first meet there: a, b are size * 2^32 + place.
 
     At the first value that two sets share, all before it are in one of them only: at most a ninth of both sizes' sum.
     """
-    return (5 * F.least(a["n"], b["n"]) >= 4 * F.greatest(a["n"], b["n"])) & (9 * (a["at"] + b["at"]) <= a["n"] + b["n"])
+    size, at = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return (5 * F.least(size(a), size(b)) >= 4 * F.greatest(size(a), size(b))) & (9 * (at(a) + at(b)) <= size(a) + size(b))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast if it has no more than _FEW."""
+    return F.broadcast(rows) if rows.limit(_FEW + 1).count() <= _FEW else rows
 
 
 def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -119,7 +127,10 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, key: str, text
     Such sets differ by a ninth of both sizes' sum at most. Parities rule most others out before whole sets are made again from
     one text of each, for the ids that are asked for alone.
     """
-    short = found.filter("odd is not null").select("sid", "n", "odd").dropDuplicates(["sid"])
+    ends = lambda rows: common.stored(rows.select(F.explode(F.array("u", "v")).alias("sid")).distinct(), "asked")
+    pairs = common.stored(pairs, "copy-pairs")
+    named = ends(pairs)
+    short = common.stored(found.filter("odd is not null").join(few(named), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "n", "odd", key), "copy-ends")
     end = lambda rows, x, *names: rows.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +155,14 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, key: str, text
 
     near = pairs.join(end(short, "u", "n", "odd"), "u").join(end(short, "v", "n", "odd"), "v")
     likely = common.stored(near.select("u", "v", F.expr("n_u + n_v"), "odd_u", "odd_v").mapInArrow(may, "u bigint, v bigint"), "copy-candidates")
-    asked = likely.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    one = found.filter("odd is not null").join(asked, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(key)).alias("_one")).select(F.col(f"_one.{key}").alias("_one")).distinct()
-    named = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = named.join(one, F.col("_key").eqNullSafe(F.col("_one")), "left_semi").select("text")
-    whole = common.stored(texts.mapInArrow(whole_sets, "sid bigint, hs binary").join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "copy-sets")
+    asked = ends(likely)
+    one = common.stored(short.join(few(asked), "sid", "left_semi").select(F.col(key).alias("_one")).distinct(), "copy-keys")
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(few(one), F.col("_key").eqNullSafe(F.col("_one")), "left_semi").select("text").distinct()
+    whole = common.stored(texts.mapInArrow(whole_sets, "sid bigint, hs binary").join(few(asked), "sid", "left_semi").dropDuplicates(["sid"]), "copy-sets")
     out = likely.join(end(whole, "u", "hs"), "u").join(end(whole, "v", "hs"), "v").select("u", "v", "hs_u", "hs_v").mapInArrow(run, "u bigint, v bigint")
     links = common.stored(out, "copy-links")
-    common.drop_stored(likely)
-    common.drop_stored(whole)
+    for table in (pairs, named, short, likely, asked, one, whole):
+        common.drop_stored(table)
     return links
 
 
@@ -166,22 +176,26 @@ def printed(found: DataFrame) -> DataFrame:
 
 
 def met(found: DataFrame) -> DataFrame:
-    """Rows (h, point, lead): the values that stand in the fronts of different sets, with each of these, a struct (sid, n, at), and the one of least id.
+    """Rows (h, sid, where, lead, lead_where): the values that stand in the fronts of different sets, with each of these and the one of least id.
 
-    Nearly all values are in one set alone, so they are dealt out by value once, and what meets is small. Hot values are aggregated
-    and joined back instead, so that no task gathers all sets that have one.
+    where is the set's size * 2^32 + the value's place in its front. Nearly all values are in one set alone, so they are dealt out by
+    value once, and what meets is small. Hot values are aggregated and joined back instead, so that no task gathers all sets
+    that have one.
     """
 
     def points(part: Column, offset: Column) -> DataFrame:
-        at = (F.col("at") + offset).cast("bigint")
-        return found.filter("odd is not null").select("sid", "n", "n_rare", F.posexplode(part).alias("at", "h")).select("h", F.struct("sid", "n", at.alias("at")).alias("point"))
+        where = F.shiftleft(F.col("n"), 32).bitwiseOR((F.col("at") + offset).cast("bigint"))
+        return found.filter("odd is not null").select("sid", "n", "n_rare", F.posexplode(part).alias("at", "h")).select("h", "sid", where.alias("where"))
 
+    point = F.struct("sid", "where")
     rare = points(F.slice("front", F.lit(1), F.col("n_rare")), F.lit(0)).repartition("h")
     group = Window.partitionBy("h")
-    rare = rare.withColumns({"lead": F.min("point").over(group), "last": F.max("point.sid").over(group)}).filter("lead.sid <> last").drop("last")
+    several = F.min("sid").over(group) < F.max("sid").over(group)
+    rare = rare.withColumn("_several", several).filter("_several").drop("_several").withColumn("_lead", F.min(point).over(group))
     hot = points(F.slice("front", F.col("n_rare") + 1, F.size("front")), F.col("n_rare"))
-    several = hot.groupBy("h").agg(F.min("point").alias("lead"), F.max("point.sid").alias("last")).filter("lead.sid <> last").drop("last")
-    return common.stored(rare.unionByName(hot.join(several, "h")), "met-sets")
+    leads = hot.groupBy("h").agg(F.min(point).alias("_lead"), F.max("sid").alias("_last")).filter("_lead.sid < _last").drop("_last")
+    both = rare.unionByName(hot.join(leads, "h"))
+    return common.stored(both.select("h", "sid", "where", F.col("_lead.sid").alias("lead"), F.col("_lead.where").alias("lead_where")), "met-sets")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -193,20 +207,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     found = common.stored(sets(docs, key, text, width), "shingle-sets")
     near = met(found)
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    star = near.filter((F.col("point.sid") != F.col("lead.sid")) & may_be_alike(F.col("point"), F.col("lead"))).select(*pair(F.col("point.sid"), F.col("lead.sid")))
+    star = near.filter((F.col("sid") != F.col("lead")) & may_be_alike(F.col("where"), F.col("lead_where"))).select(*pair("sid", "lead"))
     links = verified(star.unionByName(printed(found)).distinct(), found, docs, key, text, width)
-    roots = common.stored(common.components(links), "copy-roots")
-    rooted = near.select("h", "point").join(roots.withColumnRenamed("node", "_node"), F.col("point.sid") == F.col("_node"), "left").select("h", "point", F.coalesce("root", "point.sid").alias("root"))
+    roots = common.stored(common.components(links).withColumnRenamed("node", "sid"), "copy-roots")
+    rooted = near.select("h", "sid", "where").join(few(roots), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
     left = common.stored(rooted.join(apart, "h", "left_semi"), "sets-apart")
-    side = lambda x: left.select("h", F.col("point").alias(x), F.col("root").alias(f"root_{x}"))
-    across = side("a").join(side("b"), "h").filter((F.col("root_a") < F.col("root_b")) & may_be_alike(F.col("a"), F.col("b"))).select(*pair(F.col("a.sid"), F.col("b.sid"))).distinct()
+    side = lambda x: left.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "where", "root")])
+    across = side("a").join(side("b"), "h").filter((F.col("root_a") < F.col("root_b")) & may_be_alike(F.col("where_a"), F.col("where_b"))).select(*pair("sid_a", "sid_b")).distinct()
     more = verified(across, found, docs, key, text, width)
     whole = common.components(links.unionByName(more))
     least = found.groupBy("sid").agg(F.min(key).alias("least"))
     rows = least.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = rows.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.select(key, "sid"), rows.join(smallest, "root").select("sid", "component_id")
+    of = common.stored(rows.join(smallest, "root").select("sid", "component_id"), "copy-classes")
+    for table in (near, left, links, more, roots):
+        common.drop_stored(table)
+    return found.select(key, "sid"), of
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -216,6 +233,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     shingle. A null key is never the smallest while another is there. All columns stay as they are; an empty table stays empty.
     """
     found, of = classes(docs, key, text, width)
-    (kept_key,) = common.fresh(docs, "_kept")
-    kept = found.join(of, "sid").filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(kept_key)).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col(kept_key)), "left_semi")
+    (gone_key,) = common.fresh(docs, "_gone")
+    gone = common.stored(found.join(of, "sid").groupBy(key).agg(F.bool_or(F.col(key).eqNullSafe(F.col("component_id"))).alias("kept")).filter("not kept").select(F.col(key).alias(gone_key)), "copy-gone")
+    return docs.join(few(gone), F.col(key).eqNullSafe(F.col(gone_key)), "left_anti")
