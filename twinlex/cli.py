@@ -1,4 +1,4 @@
-"""Command line: version, config validate, data build, tokenizer train, batches, score."""
+"""Command line: version, config validate, data build, tokenizer train, batches plan, train, translate, eval, export, serve, inspect, score."""
 
 from __future__ import annotations
 
@@ -41,10 +41,44 @@ def parser() -> argparse.ArgumentParser:
     job("data", "build").add_argument("--rebuild", action="append", default=[])
     job("tokenizer", "train")
     job("batches", "plan").add_argument("--epoch", type=int, default=0)
+
+    def model(command: str) -> argparse.ArgumentParser:
+        p = commands.add_parser(command)
+        p.add_argument("--config", "-c", type=Path, required=True)
+        p.add_argument("--root", type=Path)
+        p.add_argument("--raw-dir", type=Path)
+        return p
+
+    learn = model("train")
+    learn.add_argument("--max-steps", type=int)
+    learn.add_argument("--time-limit", type=int, help="minutes")
+    learn.add_argument("--fresh", action="store_true", help="start anew instead of going on from the last checkpoint")
+    for command in ("translate", "eval", "serve"):
+        p = model(command)
+        p.add_argument("--checkpoint", help="weights; by default the best of the run")
+        p.add_argument("--beam", type=int, default=4)
+        p.add_argument("--alpha", type=float, default=1.0)
+        if command == "translate":
+            p.add_argument("--direction", choices=["en-am", "am-en"], required=True)
+            p.add_argument("--input", help="a file with one sentence a line")
+            p.add_argument("texts", nargs="*")
+        elif command == "eval":
+            p.add_argument("--split", choices=["valid", "test"], default="test")
+            p.add_argument("--limit", type=int)
+            p.add_argument("--spm", help="a SentencePiece model for spBLEU")
+        else:
+            p.add_argument("--host", default="127.0.0.1")
+            p.add_argument("--port", type=int, default=8000)
+    bundle = model("export")
+    bundle.add_argument("--checkpoint")
+    bundle.add_argument("--out", required=True)
+    shown = model("inspect")
+    shown.add_argument("text")
     score = commands.add_parser("score")
     score.add_argument("table", help="Parquet with ordinal, direction, src, hyp, ref, ref_raw")
     score.add_argument("--out", required=True)
     score.add_argument("--limit", type=int)
+    score.add_argument("--spm", help="a SentencePiece model for spBLEU")
     return top
 
 
@@ -73,11 +107,15 @@ def main(argv: list[str] | None = None) -> int:
         pairs, counts = training.token_cache(spark, cfg, learnt)
         batches = training.epoch(pairs, cfg.training, cfg.project.seed, args.epoch)
         print(json.dumps({**counts, "batches": batches.select("batch_order").distinct().count()}))
+    elif args.command in ("train", "translate", "eval", "serve", "export", "inspect"):
+        from twinlex.model import commands
+
+        print(json.dumps(getattr(commands, args.command)(session(), _config(args), args), indent=2, ensure_ascii=False))
     else:
         from twinlex.plans import training
 
         spark = session()
-        result = training.evaluate(spark.read.parquet(args.table), Path(args.table).stem, args.limit)
+        result = training.evaluate(spark.read.parquet(args.table), Path(args.table).stem, args.limit, spm=args.spm)
         training.save_report(spark, result, args.out, "score")
         print(json.dumps({k: d["vs_normalized_ref"] for k, d in result["directions"].items()}))
     return 0

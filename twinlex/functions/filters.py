@@ -14,7 +14,7 @@ REASONS = ("empty", "identical", "too_short", "too_long", "too_many_words", "rat
 HELD_OUT = "flores"
 URL = f"(?i)(https?://|www\\.){cc.NOT_SPACE}+"
 # What counts as markup.
-MARKUP = r"(?i)</?[a-z][^<>]*>" + r"|&[a-z]+;|&#" + cc.DIGIT + r"+;" + r"|%\(?[a-z_]*\)?[sdfBAYeIMpHS]" + r"|\{" + cc.WORD + r"*\}" + r"|_BAR_"
+MARKUP = r"(?i)</?[a-z][^<>]*>|&[a-z]+;|&#\p{Nd}+;|%\(?[a-z_]*\)?[sdfBAYeIMpHS]|\{[\p{L}\p{N}_]*\}|_BAR_"
 
 
 def share(pattern: str, text: Column) -> Column:

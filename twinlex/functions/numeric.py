@@ -81,9 +81,11 @@ def beam_step(beams: DataFrame, size: int, eos: int, step: int, alpha: float, fo
     Returns the beams that go on (item, beam, score, tokens) and the hypotheses that end (item, tokens, score, rank): of the 2 * size
     best continuations of an item, an end counts only among the first `size`; the first `size` others go on.
     """
-    log_p = log_softmax(F.col("logits"))
-    each = beams.select("item", "beam", "score", "tokens", F.posexplode(log_p).alias("token", "log_p")).filter(~F.col("token").isin(*forbidden) if forbidden else F.lit(True))
-    scored = each.withColumn("total", F.col("score") + F.col("log_p"))
+    barred = F.array(*[F.lit(i) for i in forbidden]).cast("array<int>")
+    each = F.filter(F.transform(log_softmax(F.col("logits")), lambda p, i: F.struct((-p).alias("minus"), i.alias("token"))), lambda p: ~F.array_contains(barred, p["token"]))
+    # an item's best are among the best of each of its beams: only these leave the row
+    first = F.slice(F.array_sort(each), 1, 2 * size)
+    scored = beams.select("item", "beam", "score", "tokens", F.inline(first)).withColumn("total", F.col("score") - F.col("minus")).drop("minus")
     best = Window.partitionBy("item").orderBy(F.desc("total"), "beam", "token")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 2 * size)
     ended = ranked.filter((F.col("token") == eos) & (F.col("rank") <= size))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 FRAME = 2
 #: Batches that a pool holds, about.
 POOL = 100
+#: Rows whose lengths one task adds up.
+_SPAN = 100_000
 LANGUAGES = {"en-am": ("en", "am"), "am-en": ("am", "en")}
 PAD, BOS, EOS, UNK, TO_AM, TO_EN = range(6)
 TAGS = {"am": TO_AM, "en": TO_EN}
@@ -102,8 +104,14 @@ def resumed(batches: DataFrame, done: int) -> DataFrame:
 
 
 def offsets(lengths: DataFrame, order: str, length: str) -> DataFrame:
-    """Running start of each array in a flat concatenation: two levels, so that no task sees all rows."""
-    ranged = lengths.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    """Running start of each array in a flat concatenation, in the order of different whole numbers.
+
+    Two levels, so that no task sees all rows: an order's range is parted into spans of equal width, about _SPAN rows each if the
+    numbers lie evenly; a row's span follows from its number alone, whatever the layout of the data.
+    """
+    n, low, high = lengths.agg(F.count("*"), F.min(order), F.max(order)).first()
+    width = max(1, (high - low + 1) * _SPAN // n) if n else 1
+    ranged = lengths.withColumn("_part", F.floor((F.col(order) - F.lit(low or 0)) / width))
     inside = F.coalesce(F.sum(length).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = ranged.groupBy("_part").agg(F.sum(length).alias("_sum"))
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

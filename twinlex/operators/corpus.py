@@ -9,6 +9,8 @@ from twinlex.functions.filters import HELD_OUT, reject_reason
 from twinlex.functions.normalize import dedup_key
 from twinlex.plans.config import FilterConfig, SubsetConfig
 
+#: Buckets that a group's values are parted into for exact quantiles.
+_PARTS = 64
 QUANTILES = {"min": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "max": 1.0}
 
 
@@ -74,11 +76,33 @@ def split_holdout(rows: DataFrame, order: str, size: int) -> tuple[DataFrame, Da
 
 
 def score_quantiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Rows (by, min, p10 ... max): exact interpolated quantiles of non-null values, four digits."""
-    x = F.col(value).cast("double")
-    at = F.percentile(x, F.array(*[F.lit(q) for q in QUANTILES.values()]))
-    found = rows.filter(F.col(value).isNotNull()).groupBy(by).agg(at.alias("q"))
-    return found.select(by, *[F.round(F.col("q")[i], 4).alias(name) for i, name in enumerate(QUANTILES)])
+    """Rows (by, min, p10 ... max): exact interpolated quantiles of non-null values, four digits.
+
+    Approximate quantiles cut each group's range into _PARTS buckets. From their counts follows which buckets hold the values asked
+    for; only these are ranked, each in a task of its own, so that no task holds or sorts a whole group.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    cuts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_of")).agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / _PARTS) for i in range(1, _PARTS)]), 10 * _PARTS).alias("cuts"))
+    bucket = F.size(F.filter("cuts", lambda c: c < F.col("x")))
+    placed = counted.join(cuts, F.col("_by").eqNullSafe(F.col("_of"))).select("_by", "x", "n", bucket.alias("bucket"))
+    sizes = placed.groupBy("_by", "bucket").agg(F.sum("n").alias("size"))
+    group = Window.partitionBy("_by")
+    before = F.coalesce(F.sum("size").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = sizes.withColumns({"before": before, "whole": F.sum("size").over(group)})
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("whole") - 1) * q), F.ceil((F.col("whole") - 1) * q)) for q in QUANTILES.values()])))
+    asked = whole.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))).filter(F.size("ranks") > 0)
+    inside = Window.partitionBy("_by", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = placed.join(asked.select(F.col("_by").alias("_of"), F.col("bucket").alias("_in"), "before", "whole", "ranks"), F.col("_by").eqNullSafe(F.col("_of")) & (F.col("bucket") == F.col("_in")))
+    last = F.col("before") + F.sum("n").over(inside)
+    hit = near.withColumn("last", last).select("_by", "whole", "x", F.explode(F.filter("ranks", lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n")))).alias("rank"))
+    found = hit.groupBy("_by", "whole").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+
+    def quantile(q: float) -> Column:
+        place = (F.col("whole") - 1) * F.lit(q)
+        low, high = F.col("at")[F.floor(place)], F.col("at")[F.ceil(place)]
+        return F.round(low + (high - low) * (place - F.floor(place)), 4)
+
+    return found.select(F.col("_by").alias(by), *[quantile(q).alias(name) for name, q in QUANTILES.items()])
 
 
 def subset(cfg: SubsetConfig) -> Column:
@@ -99,10 +123,25 @@ def subset_sql(cfg: SubsetConfig) -> str:
 
 
 def seeded_sample(rows: DataFrame, columns: list[str], n: int | None, seed: int) -> DataFrame:
-    """n rows (all if there are fewer, or n is None), first in an order that depends on their columns and the seed alone."""
+    """n rows (columns), all if there are fewer, or n is None: first in an order that depends on their columns and the seed alone.
+
+    Equal rows are numbered, and each is drawn by itself. They are counted first, so that many copies cost one row in the shuffle.
+    """
+    if n is None:
+        return rows.select(*columns)
+    counted = rows.groupBy(*columns).agg(F.count("*").alias("_n")).select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_nth"))
+    return counted.orderBy(F.md5(F.concat_ws(chr(0), *[_text(c) for c in columns], F.col("_nth").cast("string"), F.lit(str(seed)))), *columns, "_nth").limit(n).drop("_nth")
+
+
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def capped(rows: DataFrame, columns: list[str], n: int | None, seed: int) -> DataFrame:
+    """The first n rows in an order by a hash of columns and seed; equal rows stand together. None: all, 0: none."""
     if n is None:
         return rows
-    return rows.orderBy(F.md5(F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))), *columns).limit(n)
+    return rows.orderBy(F.md5(F.concat(*[_text(c) for c in columns], F.lit(str(seed)))), *columns).limit(n)
 
 
 def peek(rows: DataFrame, by: str, order: Column, n: int = 3) -> DataFrame:

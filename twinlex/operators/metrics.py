@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from twinlex.functions import charclass as cc
-from twinlex.functions.expr import once
 
 BLEU_ORDER, CHAR_ORDER, WORD_ORDER, BETA = 4, 6, 2, 2
 _MARKS = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
@@ -55,39 +59,55 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, f"{cc.SPACE}+", ""), ""), lambda c: c != "")
 
 
-def ngrams(items: Column, orders: int, kind: str, joint: str) -> Column:
-    """array<struct<kind, n, gram>> of all n-grams up to `orders`."""
+def _tally(hyp: Sequence[str] | None, ref: Sequence[str] | None, orders: int) -> list[int]:
+    """For each order: n-grams of both sides, of the hypothesis, of the reference."""
+    out: list[int] = []
+    sides = [[] if t is None else list(t) for t in (hyp, ref)]
+    grams = sides
+    for n in range(1, orders + 1):
+        if n > 1:
+            grams = [list(zip(*(t[i:] for i in range(n)), strict=False)) for t in sides]
+        h, r = map(Counter, grams)
+        out += [sum(min(c, r[g]) for g, c in h.items() if g in r), len(grams[0]), len(grams[1])]
+    return out
 
-    def of(tokens: Column, n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), joint).alias("gram")))
 
-    return once(items, lambda tokens: F.concat(*[of(tokens, n) for n in range(1, orders + 1)]))
+def tallies(hyp: Column, ref: Column, orders: int) -> Column:
+    """array<bigint>: _tally of two token arrays. Nothing crosses a row, so no n-gram is ever shuffled."""
 
+    @F.pandas_udf(ArrayType(LongType()))
+    def count(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+        return pd.Series([_tally(h, r, orders) for h, r in zip(hyps, refs, strict=True)])
 
-def matches(pairs: DataFrame, grams: dict[str, Column], key: str = "id") -> DataFrame:
+    return count(hyp, ref)
+
+
+def matches(pairs: DataFrame, tokens: dict[str, tuple[Callable[[Column], Column], int]]) -> DataFrame:
     """Rows (kind, n, matched, n_hyp, n_ref): sums over all pairs of the n-grams both sides have, and of each side's.
 
-    grams: the n-grams of the columns hyp and ref, of which each pair's are counted before anything is joined: one shuffle on
-    pair and n-gram gathers both sides' counts.
+    tokens: by kind, how a text of the columns hyp and ref is cut, and the longest n-gram. Each row counts its own; what is summed,
+    within tasks first, are three numbers for each kind and n. Pairs without any n-gram of a length leave out its row.
     """
-    each = [pairs.select(F.col(key), F.lit(side).alias("side"), F.explode(g).alias("g")) for side, g in grams.items()]
-    rows = each[0].unionByName(each[1]).select(key, "side", "g.kind", "g.n", "g.gram")
-    counts = rows.groupBy(key, "kind", "n", "gram").agg(F.count_if(F.col("side") == "hyp").alias("h"), F.count_if(F.col("side") == "ref").alias("r"))
-    return counts.groupBy("kind", "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"))
+    rows = pairs.select(*[tallies(cut(_clean("hyp")), cut(_clean("ref")), orders).alias(kind) for kind, (cut, orders) in tokens.items()])
+    sums = [F.sum(F.get(kind, F.lit(3 * n + i))).alias(f"{kind}_{n}_{i}") for kind, (_, orders) in tokens.items() for n in range(orders) for i in range(3)]
+    each = [
+        F.struct(F.lit(kind).alias("kind"), F.lit(n + 1).alias("n"), *[F.col(f"{kind}_{n}_{i}").alias(c) for i, c in enumerate(("matched", "n_hyp", "n_ref"))])
+        for kind, (_, orders) in tokens.items()
+        for n in range(orders)
+    ]
+    return rows.agg(*sums).select(F.inline(F.array(*each))).filter("n_hyp > 0 or n_ref > 0")
 
 
 def _clean(c: str) -> Column:
     return F.coalesce(F.rtrim(F.col(c)), F.lit(""))
 
 
-def bleu_counts(pairs: DataFrame, key: str = "id") -> DataFrame:
-    return matches(pairs, {s: ngrams(tokens_13a(_clean(s)), BLEU_ORDER, "word", " ") for s in ("hyp", "ref")}, key)
+def bleu_counts(pairs: DataFrame) -> DataFrame:
+    return matches(pairs, {"word": (tokens_13a, BLEU_ORDER)})
 
 
-def chrf_counts(pairs: DataFrame, key: str = "id") -> DataFrame:
-    grams = lambda s: F.concat(ngrams(characters(_clean(s)), CHAR_ORDER, "char", ""), ngrams(chrf_words(_clean(s)), WORD_ORDER, "word", " "))
-    return matches(pairs, {s: grams(s) for s in ("hyp", "ref")}, key)
+def chrf_counts(pairs: DataFrame) -> DataFrame:
+    return matches(pairs, {"char": (characters, CHAR_ORDER), "word": (chrf_words, WORD_ORDER)})
 
 
 def bleu_of(counts: dict[int, tuple[int, int, int]]) -> float:
@@ -115,17 +135,43 @@ def chrf_of(counts: dict[tuple[str, int], tuple[int, int, int]]) -> float:
     return 100 * (1 + weight) * p * r / (weight * p + r) if p + r else 0.0
 
 
-def corpus_bleu(pairs: DataFrame, key: str = "id") -> float:
-    return bleu_of({r.n: (r.matched, r.n_hyp, r.n_ref) for r in bleu_counts(pairs, key).collect()})  # four rows
+def corpus_bleu(pairs: DataFrame) -> float:
+    return bleu_of({r.n: (r.matched, r.n_hyp, r.n_ref) for r in bleu_counts(pairs).collect()})  # four rows
+
+
+def corpus_chrf(pairs: DataFrame) -> float:
+    return chrf_of({(r.kind, r.n): (r.matched, r.n_hyp, r.n_ref) for r in chrf_counts(pairs).collect()})  # eight rows
+
+
+def sentence_pieces(model: str) -> Callable[[Column], Column]:
+    """Cuts texts by a SentencePiece model file, which each Python worker loads once."""
+
+    def cut(text: Column) -> Column:
+        @F.pandas_udf(ArrayType(StringType()))
+        def pieces(texts: pd.Series) -> pd.Series:
+            found = _model(model)
+            return texts.map(lambda t: found.encode(t or "", out_type=str))
+
+        return pieces(text)
+
+    return cut
+
+
+@cache
+def _model(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def corpus_chrf(pairs: DataFrame, key: str = "id") -> float:
-    return chrf_of({(r.kind, r.n): (r.matched, r.n_hyp, r.n_ref) for r in chrf_counts(pairs, key).collect()})  # eight rows
+def corpus_spbleu(pairs: DataFrame, model: str) -> float:
+    """BLEU over the pieces of a SentencePiece model."""
+    return bleu_of({r.n: (r.matched, r.n_hyp, r.n_ref) for r in matches(pairs, {"word": (sentence_pieces(model), BLEU_ORDER)}).collect()})
 
 
-def score(pairs: DataFrame, key: str = "id") -> Scores:
-    """Both metrics, two digits."""
-    return Scores(round(corpus_bleu(pairs, key), 2), round(corpus_chrf(pairs, key), 2))
+def score(pairs: DataFrame, spm: str | None = None) -> Scores:
+    """All metrics, two digits; spBLEU where a SentencePiece model file is given."""
+    return Scores(round(corpus_bleu(pairs), 2), round(corpus_chrf(pairs), 2), round(corpus_spbleu(pairs, spm), 2) if spm else None)
 
 
 def align(hyps: DataFrame, refs: DataFrame, key: str = "id") -> DataFrame:

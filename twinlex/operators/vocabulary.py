@@ -18,6 +18,9 @@ SPECIALS = ("<pad>", "<s>", "</s>", "<unk>", "<2am>", "<2en>")
 BYTES = tuple(f"<0x{b:02X}>" for b in range(256))
 FIRST_BYTE = len(SPECIALS)
 SPACE = "▁"
+ASCII_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Pieces whose ids a worker remembers.
+_MEMO = 1 << 18
 _APART = r"\p{P}\p{N}!-/:-@\[-`{-~"
 PIECE = f"[{_APART}]|{SPACE}[^{SPACE}{_APART}]*|[^{SPACE}{_APART}]+"
 
@@ -71,9 +74,27 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> list[int]:
         if (known := self._memo.get(piece)) is None:
+            if len(self._memo) >= _MEMO:
+                self._memo.clear()
             known = self._memo[piece] = self._merge(piece)
         return known
 
+    def kind(self, token_id: int) -> str:
+        """special, byte or text."""
+        return "special" if token_id < FIRST_BYTE else "byte" if self.is_byte(token_id) else "text"
+
+    def inspect(self, text: str) -> list[tuple[str, int, str]]:
+        """(token, id, kind) of a text's tokens, cut as pieces() cuts them."""
+        marked = unicodedata.normalize("NFC", text).replace(" ", SPACE)
+        alone = lambda c: unicodedata.category(c)[0] in "PN" or c in ASCII_MARKS
+        parts: list[str] = []
+        for c in marked if marked.startswith(SPACE) or not marked else SPACE + marked:
+            if c == SPACE or alone(c) or not parts or alone(parts[-1][0]):
+                parts.append(c)
+            else:
+                parts[-1] += c
+        return [(self.token(i), i, self.kind(i)) for p in parts for i in self.encode_piece(p)]
+
     def _merge(self, piece: str) -> list[int]:
         parts = list(piece)
         while len(parts) > 1:
@@ -186,6 +207,17 @@ def decoded(ids: Column, vocabulary: Vocabulary, spark) -> Column:
     return decode(ids)
 
 
+def use_by_class(ids: DataFrame, column: str, size: int) -> DataFrame:
+    """Rows (kind, in_vocabulary, used, n): how many of a class's ids there are, how many occur, and how often, for the classes special, byte and text."""
+    kind = lambda c: F.when(c < FIRST_BYTE, "special").when(c < FIRST_BYTE + 256, "byte").otherwise("text")
+    counts = ids.select(F.explode(column).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    found = counts.groupBy(kind(F.col("id")).alias("_kind")).agg(F.count("*").alias("used"), F.sum("n").alias("n"))
+    sizes = [("special", FIRST_BYTE), ("byte", 256), ("text", size - FIRST_BYTE - 256)]
+    every = ids.sparkSession.createDataFrame(sizes, "kind string, in_vocabulary bigint")
+    none = F.lit(0).cast("bigint")
+    return every.join(found, F.col("kind") == F.col("_kind"), "left").select("kind", "in_vocabulary", F.coalesce("used", none).alias("used"), F.coalesce("n", none).alias("n"))
+
+
 def column_stats(rows: DataFrame, text: str, ids: str) -> DataFrame:
     """One row: sentences, tokens_per_sentence, chars_per_token, byte_fallback_rate, unk_rate."""
     tokens, byte = F.sum(F.size(ids)), F.sum(F.size(F.filter(ids, lambda i: i.between(FIRST_BYTE, FIRST_BYTE + 255))))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlex.functions import charclass as cc
@@ -15,6 +15,7 @@ from twinlex.functions import filters, normalize, numeric
 from twinlex.operators import batching, corpus, metrics, vocabulary
 from twinlex.plans.config import FilterConfig, SubsetConfig
 from twinlex.sources import readers
+from twinlex.streaming import feeds
 
 LATIN, GEEZ = "abcdefghijklmnopqrstuvwxyz", "ሐለመሠረሰቀበተኀነአከወዐዘየደገጠጰጸፀፈፐሀ"
 SUBSET = SubsetConfig(min_score={"src0": 1.0, "src1": 0.5})
@@ -241,17 +242,17 @@ def subset_where(spark, sf_dir):
     return scored(spark, sf_dir).filter(corpus.subset(SUBSET)).select("doc_id", "source")
 
 
-@query(f"select doc_id from documents order by md5(concat(text, '{SEED}')), text, doc_id limit 100")
+@query(f"select min(doc_id) as doc_id from documents group by text order by md5(concat(text, '{SEED}')), text limit 100")
 def deterministic_cap(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rows.orderBy(F.md5(F.concat("text", F.lit(str(SEED)))), "text", "doc_id").limit(100).select("doc_id")
+    rows = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return corpus.capped(rows, ["text"], 100, SEED).select("doc_id")
 
 
-@query("select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by md5(concat(doc_id, '42')), doc_id) as r from documents) where r <= 20")
+@query("select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by md5(concat(doc_id, chr(0), '1', chr(0), '42')), doc_id) as r from documents) where r <= 20")
 def seeded_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id")
     langs = [r.lang for r in rows.select("lang").distinct().collect()]  # one sample for each language, each a top-k
-    parts = [corpus.seeded_sample(rows.filter(F.col("lang") == lang), ["doc_id"], 20, SEED) for lang in langs]
+    parts = [corpus.seeded_sample(rows.filter(F.col("lang") == lang), ["doc_id"], 20, SEED).select(F.lit(lang).alias("lang"), "doc_id") for lang in langs]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -451,9 +452,9 @@ def position_encoding(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(total, 6).alias("total"))
 
 
-@query(f"select pair, cast(list_sum(list_transform(range(1, len(s) + 1), lambda i: len(list_filter(s[1:i], lambda v: v <> 0)))) as bigint) as attended from (select pair, list_concat(en[1:10], [0, 0]) as s from {_WORDS})")
+@query(f"select pair, cast(list_sum(list_transform(range(1, len(s) + 1), lambda i: len(list_filter(s[1:i], lambda v: v <> 0)))) as bigint) as attended from (select pair, list_concat(en, [0, 0]) as s from {_WORDS})")
 def attention_mask(spark, sf_dir):
-    ids = F.concat(F.slice("en", 1, 10), F.array(F.lit(0), F.lit(0)))
+    ids = F.concat("en", F.array(F.lit(0), F.lit(0)))
     mask = numeric.target_mask(ids, 0)
     total = F.aggregate(mask, F.lit(0).cast("bigint"), lambda s, row: s + F.size(F.filter(row, lambda b: b)))
     return words(spark, sf_dir).select("pair", total.alias("attended"))
@@ -469,16 +470,17 @@ def beam_step(spark, sf_dir):
     return alive.select("item", F.col("beam").cast("bigint").alias("slot"), F.get("tokens", F.lit(0)).cast("bigint").alias("token"))
 
 
-@query("""select user_id, cast((event_id - 1) // 100 as bigint) as window, round(avg(value), 6) as loss from events where event_type <> 'view' group by all""")
+@query("""select user_id, cast(floor((event_id - 1) / 100.0) as bigint) as window, round(avg(value), 6) as loss from events where event_type <> 'view' group by all""")
 def log_window_means(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_type <> 'view'").withColumn("window", F.floor((F.col("event_id") - 1) / 100))
-    return rows.filter("event_id > 0 or event_id <= 0").groupBy("user_id", F.when(F.col("event_id") < 1, 0).otherwise(F.col("window")).alias("window")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    event = F.when(F.col("event_type") != "view", "train").otherwise("view")
+    log = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("step"), event.alias("event"), F.col("value").alias("loss"), F.col("event_id").cast("double").alias("time"), F.lit(1).alias("tokens"))
+    return feeds.log_means(log, 100, ("user_id",)).select("user_id", "window", F.round("loss", 6).alias("loss"))
 
 
 @query("select event_type, event_id, min(value) over (partition by event_type order by event_id) as best from events")
 def running_best(spark, sf_dir):
-    order = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf_dir, "events").select("event_type", "event_id", F.min("value").over(order).alias("best"))
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return feeds.running_min(rows, "event_id", "value", "event_type", span=1000).select("event_type", "event_id", "best")
 
 
 @query("""select conv_id, case when count(*) > 64 or count(*) < 1 then 422 when max(length(text)) > 2000 then 413 end as error from conversations group by conv_id""")

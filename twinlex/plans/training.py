@@ -61,7 +61,7 @@ def tokenized(pairs: DataFrame, learnt: Vocabulary, cfg: TrainingConfig, seed: i
     """Rows (en_ids, am_ids) of the capped subset, before the length gate."""
     if len(learnt.tokens) > 1 << 16:
         raise ValueError("a vocabulary of more than 65,536 tokens doesn't fit the cache")
-    rows = corpus.seeded_sample(pairs.filter(corpus.subset(cfg.subset)), ["en", "am"], cfg.max_pairs, seed)
+    rows = corpus.capped(pairs.filter(corpus.subset(cfg.subset)), ["en", "am"], cfg.max_pairs, seed)
     spark = pairs.sparkSession
     return rows.select(*[vocabulary.encoded(F.col(c), learnt, spark).alias(f"{c}_ids") for c in ("en", "am")])
 
@@ -91,13 +91,13 @@ def epoch(pairs: DataFrame, cfg: TrainingConfig, seed: int, number: int = 0, don
     return batching.resumed(batches, done) if done else batches
 
 
-def evaluate(rows: DataFrame, name: str, limit: int | None = None, examples: int = 5) -> dict:
-    """Scores of rows (ordinal, direction, src, hyp, ref, ref_raw): each direction against normalized and raw references."""
+def evaluate(rows: DataFrame, name: str, limit: int | None = None, examples: int = 5, spm: str | None = None) -> dict:
+    """Scores of rows (ordinal, direction, src, hyp, ref, ref_raw): each direction against normalized and raw references; spBLEU with a SentencePiece model file."""
     used = rows.filter(F.col("ordinal") < limit) if limit else rows
     out: dict = {"checkpoint": name, "n": used.select("ordinal").distinct().count(), "directions": {}}
     for direction in sorted(r.direction for r in used.select("direction").distinct().collect()):
         own = used.filter(F.col("direction") == direction)
-        against = lambda ref, own=own: metrics.score(own.select(F.col("ordinal").alias("id"), "hyp", F.col(ref).alias("ref"))).as_dict()
+        against = lambda ref, own=own: metrics.score(own.select(F.col("ordinal").alias("id"), "hyp", F.col(ref).alias("ref")), spm).as_dict()
         shown = own.filter(F.col("ordinal") < examples).orderBy("ordinal").select("src", "hyp", "ref")
         out["directions"][direction] = {"vs_normalized_ref": against("ref"), "vs_raw_ref": against("ref_raw"), "examples": [r.asDict() for r in shown.collect()]}
     return out

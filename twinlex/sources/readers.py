@@ -56,9 +56,26 @@ def table_source(spark: SparkSession, src: SourceConfig, raw_dir: Path) -> DataF
     for part in (src.subset, src.split):
         folder = folder / part if part and (folder / part).exists() else folder
     rows = spark.read.parquet(str(folder)) if any(folder.rglob("*.parquet")) else spark.read.json(str(folder))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    ordered = rows.select(F.monotonically_increasing_id().alias("line_no"), text(src.en_column).alias("en"), text(src.am_column).alias("am"), F.lit(None).cast("float").alias("score"))
-    return first_rows(ordered, src.max_pairs)
+    return first_rows(in_file_order(rows, {"en": dig(src.en_column), "am": dig(src.am_column)}).withColumn("score", F.lit(None).cast("float")), src.max_pairs)
+
+
+def dig(path: str) -> Column:
+    """A field by its dotted path, as text. What is missing is the text None, on which existing corpora rely."""
+    return F.coalesce(F.col(path).cast("string"), F.lit("None"))
+
+
+def in_file_order(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows (line_no, columns) numbered by file name, by where in the file their split starts, and by their place in it.
+
+    The numbers don't depend on which task reads which split. What is gathered are a file's splits and their sizes.
+    """
+    where = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
+    at = rows.select(*[c.alias(n) for n, c in where.items()], F.monotonically_increasing_id().alias("_at"), *[c.alias(n) for n, c in columns.items()])
+    sizes = at.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_file").alias("_of"), F.col("_start").alias("_from"), "_first", before.alias("_before"))
+    joined = at.join(F.broadcast(starts), (F.col("_file") == F.col("_of")) & (F.col("_start") == F.col("_from")))
+    return joined.select((F.col("_before") + F.col("_at") - F.col("_first")).alias("line_no"), *columns)
 
 
 def first_rows(rows: DataFrame, n: int | None) -> DataFrame:

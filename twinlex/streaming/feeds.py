@@ -35,17 +35,34 @@ def first_of_key(pairs: DataFrame, key: str = "key_hash", time: str = "arrived",
     return pairs.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def log_means(log: DataFrame, every: int) -> DataFrame:
-    """Rows (window, loss, tokens_per_second) of train events: means over windows of `every` steps."""
+def log_means(log: DataFrame, every: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (by, window, loss, tokens_per_second) of train events: means over windows of `every` steps, of each run if `by` tells runs apart."""
     train = log.filter("event = 'train'").withColumn("window", F.floor((F.col("step") - 1) / every))
     took = F.max("time") - F.min("time")
-    return train.groupBy("window").agg(F.avg("loss").alias("loss"), F.when(took > 0, F.sum("tokens") / took).alias("tokens_per_second"))
+    return train.groupBy(*by, "window").agg(F.avg("loss").alias("loss"), F.when(took > 0, F.sum("tokens") / took).alias("tokens_per_second"))
 
 
 def eval_loss(log: DataFrame) -> DataFrame:
     """Rows (step, nll, ppl, best): token-weighted hold-out loss of each evaluation, and the lowest so far."""
     per = log.filter("event = 'eval'").groupBy("step").agg((F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("nll"))
-    return per.select("step", "nll", F.exp("nll").alias("ppl"), F.min("nll").over(Window.orderBy("step")).alias("best"))
+    return running_min(per, "step", "nll").select("step", "nll", F.exp("nll").alias("ppl"), "best")
+
+
+def running_min(rows: DataFrame, order: str, value: str, by: str | None = None, span: int = 10_000) -> DataFrame:
+    """rows with best, the least value up to a row's place by the whole number `order`, in its group if there is one.
+
+    Places are parted into spans: the least value of each, the least of all spans before, then the least within. No task sees
+    more than a span of a group, and one number a span.
+    """
+    span_of = F.floor(F.col(order) / span)
+    group = [by] if by else [F.lit(0)]
+    least = rows.groupBy(*([by] if by else []), span_of.alias("_span")).agg(F.min(value).alias("_least"))
+    before = F.min("_least").over(Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    starts = least.select(*([F.col(by).alias("_by")] if by else []), F.col("_span").alias("_at"), before.alias("_before"))
+    same = (F.col("_span") == F.col("_at")) & (F.col(by).eqNullSafe(F.col("_by")) if by else F.lit(True))
+    inside = Window.partitionBy(*([by] if by else []), "_span").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.withColumn("_span", span_of).join(starts, same)
+    return joined.withColumn("best", F.least(F.min(value).over(inside), F.col("_before"))).select(*rows.columns, "best")
 
 
 def append_log(rows: DataFrame, folder: str) -> None:
