@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_llm_dedup import edits, plain_fingerprint, union_find
@@ -8,7 +9,7 @@ from test_llm_filters import brute_decontam
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from twinlex.llm import common, pu_quality, tokens
+from twinlex.llm import common, near_copies, pu_quality, tokens
 
 
 def plain_lines(rows):
@@ -125,3 +126,15 @@ def test_near_copies_beyond_three_bits_go(spark, odd_docs, no_docs):
     kept = stage(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and {300, -5} <= {r.doc_id for r in kept.collect()}
     assert stage(spark, no_docs, "").count() == 0
+
+
+def test_parities_never_tell_more_than_sets_differ_by():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 30, 1000, 1025, 3000, 9000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 62, 1 + len(s) // 20).astype(np.uint64)])) for s in sets]
+    pairs = [(a, b) for a in sets for b in sets]
+    found = near_copies.differ([near_copies.parities(a) for a, _ in pairs], [near_copies.parities(b) for _, b in pairs])
+    real = np.array([len(np.setxor1d(a, b)) for a, b in pairs])
+    assert (found <= real).all() and (found[[a is b for a, b in pairs]] == 0).all()
+    size, near = np.array([len(a) + len(b) for a, b in pairs]), np.array([5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) for a, b in pairs])
+    assert not (9 * found <= size)[(real > 0.8 * size) & (size > 50) & near].any()  # unlike sets are ruled out at every size

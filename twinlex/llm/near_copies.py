@@ -28,8 +28,8 @@ _HOT = 4096
 _KNOWN = 1 << 18
 #: Rows of one or two short columns that are broadcast at most; beyond, they are joined by shuffle.
 _FEW = 1 << 18
-#: Bits of a set's parities.
-_BITS = 1024
+#: Bits of a set's parities, at least and at most.
+_BITS, _MOST_BITS = 1024, 1 << 20
 
 
 def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -41,8 +41,27 @@ def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def parities(h: np.ndarray) -> bytes:
-    """Bit b tells whether an odd number of values fall on it. Two sets differ by at least as many values as these by bits."""
-    return np.packbits(np.bincount((h % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1).tobytes()
+    """Bit b tells whether an odd number of values fall on it. Two sets differ by at least as many values as these by bits.
+
+    There are as many bits as values, up to a power of two, so that unlike sets differ by more bits than alike ones can.
+    """
+    bits = min(max(_BITS, 1 << (max(len(h), 1) - 1).bit_length()), _MOST_BITS)
+    return np.packbits(np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """By how many bits parities differ, pair by pair; the longer ones are folded onto as many bits as the shorter ones have."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for pair in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == pair).all(axis=1))
+        least = int(pair.min())
+        fold = lambda rows, n: np.bitwise_xor.reduce(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n // least, least), axis=1)
+        for i in range(0, len(at), max(1, (32 << 20) // int(pair.max()))):
+            part = at[i : i + max(1, (32 << 20) // int(pair.max()))]
+            x, y = fold([a[j] for j in part], int(pair[0])), fold([b[j] for j in part], int(pair[1]))
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +155,7 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, key: str, text
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[3:])
-                on = 9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= batch.column(2).to_numpy()
+                on = 9 * differ(*(c.to_pylist() for c in batch.columns[3:])) <= batch.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(on))
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
