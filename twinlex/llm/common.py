@@ -109,11 +109,29 @@ def memory(owner: str) -> dict:
     if owner not in _memory:
         _memory.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries return memory by themselves
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
     return _memory.setdefault(owner, {})
 
 
+def trim() -> None:
+    """Return freed memory to the system, which Arrow's and the C library's allocators would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries return memory by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same for mapInArrow, with what a task has freed returned at its end: the worker waits for the next one without it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column, and where each row starts (one more than rows). Null: empty."""
     if isinstance(texts, pa.ChunkedArray):

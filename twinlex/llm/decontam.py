@@ -214,6 +214,7 @@ def mark(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _searcher(phrases, again: bool):
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.memory("decontam")
         for batch in batches:

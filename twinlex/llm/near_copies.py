@@ -88,6 +88,7 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     common.share_package(spark)
     shared = spark.sparkContext.broadcast(frequent(docs, text, width))
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.memory("copies")
         often, count = shared.value
@@ -158,6 +159,7 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, key: str, text
                 on = 9 * differ(*(c.to_pylist() for c in batch.columns[3:])) <= batch.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(on))
 
+    @common.frugal
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             raw = [np.unique(hashes(t.as_py(), width)).tobytes() for t in batch.column(0)]

@@ -23,6 +23,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
     """Rows (key, piece, start, length, ids binary: little-endian 32-bit): documents with their end id, cut only beyond capacity."""
     tokens.ready(docs.sparkSession)
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(vocabulary)
         for batch in common.slices(batches):

@@ -184,6 +184,7 @@ def held_out(key: str = "doc_id", folds: int = FOLDS) -> Column:
 def table_of(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (x binary, mine): the features of every row of docs as half-precision numbers, and whether its key is trusted. trusted is bounded."""
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.memory("quality")
         for batch in common.slices(batches, "text", _SLICE):
