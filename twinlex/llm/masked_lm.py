@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,9 @@ from twinlex.llm import common
 REACH, CLASSES, MEMBERS, WIDTH, HIDDEN = 2, 64, 64, 16, 32
 #: Passes over the corpus; each takes another share of every text's words, all of them together every word once.
 ROUNDS = 3
-_BATCH = 1024
+_BATCH = 2048
 _BLOCK = 4096
+_GROUPS = 32
 _SCORE = 1 << 15
 
 
@@ -35,13 +37,14 @@ class Vocabulary:
     """The most frequent words have ids from MEMBERS on, by rank; the ids 1 to 63 are kinds of other words, 0 is beyond a text.
 
     Other words are told apart within their kind by their own counts: a word seen n times has n + 1 shares of its kind, and one
-    share is left for words never seen. whole holds the logarithms of the kinds' shares; counts, rows (word, n), grows with the
+    share is left for words never seen. whole holds the logarithms of the kinds' shares; counts, rows (word, h, n), grows with the
     input and is only joined.
     """
 
     words: pa.Array
     whole: np.ndarray
     counts: DataFrame | None = None
+    indexed: DataFrame | None = None
 
     def of(self, words: pa.Array) -> np.ndarray:
         if not len(words):
@@ -64,7 +67,7 @@ class Vocabulary:
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (word, n) over all texts, summed within each task first."""
+    """Rows (word, h, n) over all texts, summed within each task first; h is the word's hash."""
     common.share_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +77,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             names = list(total)
             for i in range(0, len(names), 1 << 15):
                 part = names[i : i + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[w] for w in part], pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(_hashes(part)), pa.array([total[w] for w in part], pa.int64())], ["word", "h", "n"])
             total.clear()
 
         for batch in common.slices(batches, text):
@@ -88,7 +91,50 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield from out()
         yield from out()
 
-    return docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "word string, h bigint, n bigint").groupBy("word").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
+
+
+def index(docs: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
+    """Rows (key, row, n, ids, rare), one for each row of docs: words, their ids as 16-bit numbers, and the hashes of those outside the vocabulary.
+
+    Texts are cut into words here once; training and scoring read what is written.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(words.local())
+    (row,) = common.fresh(docs.select(key), "_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in common.slices(batches):
+            if not batch.num_rows:
+                continue
+            spelt, ids, n = words.read(batch.column(1))
+            rare = ids < MEMBERS
+            coded = pc.dictionary_encode(spelt.filter(pa.array(rare)))
+            hashed = _hashes(coded.dictionary.to_pylist())
+            stop = np.concatenate([[0], np.cumsum(n)])
+            of_rare = np.concatenate([[0], np.cumsum(rare)])[stop]
+            others = pa.ListArray.from_arrays(pa.array(of_rare, pa.int32()), pa.array(hashed[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)))
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * stop).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), blobs, others], [key, row, "n", "ids", "rare"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key), F.col(text).alias("text"), F.monotonically_increasing_id().alias(row))
+    return common.stored(rows.mapInArrow(run, f"`{key}` {kind}, `{row}` bigint, n bigint, ids binary, rare array<bigint>"), "word-ids")
+
+
+def _ids(batch: pa.RecordBatch, n: str = "n", ids: str = "ids") -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(ids, words of each text, first row, rows) of parts of a batch of bounded size."""
+    sizes, column = batch.column(batch.schema.names.index(n)).to_numpy(), batch.column(batch.schema.names.index(ids))
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = min(len(sizes), max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), "right"))))
+        yield np.frombuffer(b"".join(column.slice(i, j - i).to_pylist()), "<u2").astype(np.int64), sizes[i:j], i, j - i
+        i = j
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
@@ -193,13 +239,15 @@ class Network:
             m += d * d
             p -= rate * d / np.sqrt(m + 1e-8)
         grad_a = grad_h * (1 - h * h)
-        grad_x = (grad_a @ self.w.T).reshape(-1, WIDTH) / n
+        grad_x = (grad_a @ self.w.T).reshape(-1, WIDTH) / np.float32(n)
         for p, m, d in ((self.w, memory[1], x.T @ grad_a / n), (self.b, memory[2], grad_a.mean(axis=0)), (self.wc, memory[3], h.T @ grad_c / n), (self.bc, memory[4], grad_c.mean(axis=0))):
             m += d * d
             p -= rate * d / np.sqrt(m + 1e-8)
-        ids, where = np.unique(context.ravel(), return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        d = np.add.reduceat(grad_x[order], common.runs_of(where[order])[0], axis=0)
+        around = context.ravel()
+        order = np.argsort(around, kind="stable")
+        starts, _ = common.runs_of(around[order])
+        ids = around[order[starts]]
+        d = np.add.reduceat(grad_x[order], starts, axis=0)
         memory[0][ids] += d * d
         self.vectors[ids] -= rate * d / np.sqrt(memory[0][ids] + 1e-8)
 
@@ -217,23 +265,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _train_round(docs: DataFrame, text: str, words: Vocabulary, net: Network, turn: int, rounds: int) -> Network:
-    """Every task trains a copy of the network on its texts; the copies are averaged by the words they saw, block by block."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((words.local(), net.flat))
+def _train_round(rows: DataFrame, net: Network, turn: int, rounds: int) -> Network:
+    """Every task trains a copy of the network on its texts, rows (n, ids); the copies are averaged by the words they saw.
+
+    Copies are added up in _GROUPS groups first, block by block, so that no task gathers a block of all copies, and what a block's
+    last task reads doesn't grow with the tasks.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
-        own, seen, waiting = Network(flat), 0, []
+        own, seen, waiting = Network(shared.value), 0, []
         memory = own.memory()
-        for batch in common.slices(batches, text):
-            ids, n = words.ids(batch.column(0))
-            at = targets(n, turn, rounds)
-            waiting.append((contexts(ids, n)[at], ids[at]))
-            if sum(len(t) for _, t in waiting) < 1 << 15:
-                continue
-            seen += _learn(own, memory, waiting, seen)
-            waiting = []
+        for batch in batches:
+            for ids, n, _, _ in _ids(batch):
+                at = targets(n, turn, rounds)
+                waiting.append((contexts(ids, n)[at], ids[at]))
+                if sum(len(t) for _, t in waiting) < 1 << 15:
+                    continue
+                seen += _learn(own, memory, waiting, seen)
+                waiting = []
         seen += _learn(own, memory, waiting, seen)
         if seen:
             starts = range(0, len(own.flat), _BLOCK)
@@ -243,10 +294,11 @@ def _train_round(docs: DataFrame, text: str, words: Vocabulary, net: Network, tu
         block, total, weight = None, np.zeros(0), 0.0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["block", "seen", "part"])
 
         for batch in batches:
-            for b, seen, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            names = batch.schema.names
+            for b, seen, part in zip(*(batch.column(names.index(c)).to_pylist() for c in ("block", "seen", "part")), strict=True):
                 values = np.frombuffer(part, np.float32) * seen
                 if b != block:
                     if block is not None:
@@ -257,9 +309,12 @@ def _train_round(docs: DataFrame, text: str, words: Vocabulary, net: Network, tu
         if block is not None:
             yield out()
 
-    parts = docs.select(text).mapInArrow(run, "block int, seen double, part binary").repartition("block").sortWithinPartitions("block").mapInArrow(average, "block int, part binary")
-    rows = sorted(parts.collect())  # one network
-    return Network(np.concatenate([np.frombuffer(r.part, np.float32) for r in rows])) if rows else net
+    schema = "block int, seen double, part binary"
+    copies = rows.select("n", "ids").mapInArrow(run, schema).withColumn("task", F.spark_partition_id())
+    some = copies.repartition("block", F.col("task") % _GROUPS).sortWithinPartitions("block", "task").mapInArrow(average, schema)
+    whole = some.repartition("block").sortWithinPartitions("block", "seen").mapInArrow(average, schema)
+    found = sorted((r.block, r.part) for r in whole.collect())  # one network
+    return Network(np.concatenate([np.frombuffer(p, np.float32) for _, p in found])) if found else net
 
 
 def _learn(net: Network, memory: list[np.ndarray], waiting: list[tuple[np.ndarray, np.ndarray]], seed: int) -> int:
@@ -272,49 +327,47 @@ def _learn(net: Network, memory: list[np.ndarray], waiting: list[tuple[np.ndarra
     return len(target)
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, key: str = "doc_id") -> tuple[Vocabulary, Network]:
     """Vocabulary and network from all words of all texts. Each round starts all tasks from the average of the round before."""
     common.share_package(docs.sparkSession)
     words, net = vocabulary(docs, text), Network()
+    words.indexed = index(docs, words, key, text)
     for turn in range(rounds):
-        net = _train_round(docs, text, words, net, turn, rounds)
+        net = _train_round(words.indexed, net, turn, rounds)
     return words, net
 
 
-def score(docs: DataFrame, words: Vocabulary, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_tokens, log_likelihood, mean_log_prob), one for each row of docs.
+def score(docs: DataFrame | None, words: Vocabulary, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, n_tokens, log_likelihood, mean_log_prob), one for each row of docs; of the texts trained on, if docs is None.
 
     log_likelihood sums, over every word of a text, the log-probability of the word given those on both sides: the network's for
     words of the vocabulary, and for others the network's for their kind and the word's own within the kind. Null and empty
-    texts have no words, the sum 0 and no mean. Rows that repeat a key are scored each.
+    texts have no words, the sum 0 and no mean. Rows that repeat a key are scored each, equal texts alike; a very long text is
+    scored whole, part by part; an empty table gives an empty result. Other columns aren't read.
     """
-    spark = docs.sparkSession
-    common.share_package(spark)
-    shared = spark.sparkContext.broadcast((words.local(), net.flat))
-    row, other = common.fresh(docs.select(key), "_row", "_other")
+    indexed = words.indexed if docs is None else index(docs, words, key, text)
+    common.share_package(indexed.sparkSession)
+    shared = indexed.sparkSession.sparkContext.broadcast((words.whole, net.flat))
+    row = indexed.columns[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
+        whole, flat = shared.value
         own = Network(flat)
-        for batch in common.slices(batches):
-            if batch.num_rows:
-                spelt, ids, n = words.read(batch.column(1))
+        for batch in batches:
+            for ids, n, first, rows in _ids(batch):
                 around = contexts(ids, n)
                 each = [own.log_prob(around[i : i + _SCORE], ids[i : i + _SCORE]) for i in range(0, len(ids), _SCORE)]
-                rare = ids < MEMBERS
                 each = np.concatenate([np.empty(0), *each], dtype=np.float64)
-                each[rare] -= words.whole[ids[rare]]
+                rare = ids < MEMBERS
+                each[rare] -= whole[ids[rare]]
                 ends, stop = np.concatenate([[0.0], np.cumsum(each)]), np.cumsum(n)
-                total = ends[stop] - ends[stop - n]
-                at = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], stop])]
-                others = pa.ListArray.from_arrays(pa.array(at, pa.int32()), spelt.filter(pa.array(rare)).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(total), others], [key, row, "n_tokens", "log_likelihood", other])
+                part = batch.slice(first, rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ends[stop] - ends[stop - n])], [key, row, "n_tokens", "log_likelihood"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key), F.col(text).alias("text"), F.monotonically_increasing_id().alias(row))
-    scored = common.stored(rows.mapInArrow(run, f"`{key}` {kind}, `{row}` bigint, n_tokens bigint, log_likelihood double, `{other}` array<string>"), "kind-scores")
-    gains = words.counts.select(F.xxhash64("word").alias("h"), F.log1p("n").alias("gain"))
-    asked = scored.select(row, F.explode(other).alias("word")).select(row, F.xxhash64("word").alias("h"))
+    kind = indexed.schema[key].dataType.simpleString()
+    scored = indexed.select(key, row, "n", "ids").mapInArrow(run, f"`{key}` {kind}, `{row}` bigint, n_tokens bigint, log_likelihood double")
+    gains = words.counts.groupBy("h").agg(F.log1p(F.max("n")).alias("gain"))
+    asked = indexed.select(row, F.explode("rare").alias("h"))
     gained = asked.join(gains, "h").groupBy(row).agg(F.sum("gain").alias("gain"))
     total = F.col("log_likelihood") + F.coalesce("gain", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))

@@ -46,7 +46,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, *masked_lm.train(docs))
+    return masked_lm.score(None, *masked_lm.train(docs))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
