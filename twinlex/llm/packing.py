@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from twinlex.llm import common, tokens
 
 CAPACITY = 4096
+#: Words whose ids a worker remembers.
+_MEMO = 160_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,7 +27,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
 
     @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(vocabulary)
+        encoder = tokens.encoder(vocabulary, _MEMO)
         for batch in common.slices(batches):
             ids, n = tokens.with_end(*encoder.encode(batch.column(1)), end_id)
             many = -(-n // capacity)
@@ -37,6 +39,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
             blobs = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
             keys = batch.column(0).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), blobs], [key, "piece", "start", "length", "ids"])
+            del ids, blobs
+            common.trim()  # what one slice has freed would otherwise stay beside what the next one needs
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids binary")

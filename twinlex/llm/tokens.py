@@ -78,15 +78,15 @@ def _plain(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(raw, starts, 32), at + np.searchsorted(starts, at)
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = 250_000) -> WordEncoder:
     """One for each worker process, as long as it works for no other operator; worker threads are switched off, as Spark runs one task for each core."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     loaded = common.memory("tokens")
-    if path not in loaded:
-        loaded[path] = WordEncoder(path)
-    return loaded[path]
+    if (path, most) not in loaded:
+        loaded[path, most] = WordEncoder(path, most)
+    return loaded[path, most]
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
