@@ -30,6 +30,8 @@ _KNOWN = 1 << 18
 _FEW = 1 << 18
 #: Bits of a set's parities, at least and at most.
 _BITS, _MOST_BITS = 1024, 1 << 20
+#: 64-bit numbers of the shorter parities that a join compares by itself, before a pair becomes a row.
+_SKETCH = 8
 
 
 def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -64,6 +66,11 @@ def differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def sketch(odd: bytes) -> bytes:
+    """Parities folded onto _SKETCH 64-bit numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(odd, np.int64).reshape(-1, _SKETCH), axis=0).tobytes()
+
+
 def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that several texts of a sample share, sorted, and in how many of them they are."""
 
@@ -81,7 +88,7 @@ def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Rows (key, sid, n, fp, odd, front, n_rare), one for each row of docs: the set's id and size, the text's fingerprint, the set's parities, its
+    """Rows (key, sid, n, fp, odd, front, n_rare, sketch), one for each row of docs: the set's id and size, the text's fingerprint, the set's parities, its
     first fifth in the order of all sets, and how many values of that aren't hot (parities and front are left out where a task has
     already given them for a copy)."""
     spark = docs.sparkSession
@@ -96,7 +103,7 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         for batch in common.slices(batches):
             if not batch.num_rows:
                 continue
-            sids, sizes, prints, odd, fronts, rare = [], [], [], [], [], []
+            sids, sizes, prints, odd, fronts, rare, short = [], [], [], [], [], [], []
             for t in batch.column(1):
                 every = hashes(t.as_py(), width)
                 h = np.unique(every)
@@ -118,13 +125,14 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 odd.append(parity)
                 fronts.append(front)
                 rare.append(n_rare)
+                short.append(None if parity is None else np.frombuffer(sketch(parity), np.int64).tolist())
             ends = np.cumsum([0, *map(len, fronts)])
             front = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(fronts).view(np.int64)))
             whole = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), whole(sids), pa.array(sizes, pa.int64()), whole(prints), pa.array(odd, pa.binary()), front, pa.array(rare, pa.int32())], [key, "sid", "n", "fp", "odd", "front", "n_rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), whole(sids), pa.array(sizes, pa.int64()), whole(prints), pa.array(odd, pa.binary()), front, pa.array(rare, pa.int32()), pa.array(short, pa.list_(pa.int64()))], [key, "sid", "n", "fp", "odd", "front", "n_rare", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, sid bigint, n bigint, fp bigint, odd binary, front array<bigint>, n_rare int")
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, sid bigint, n bigint, fp bigint, odd binary, front array<bigint>, n_rare int, sketch array<bigint>")
 
 
 def may_be_alike(a: Column, b: Column) -> Column:
@@ -232,9 +240,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     roots = common.stored(common.components(links).withColumnRenamed("node", "sid"), "copy-roots")
     rooted = near.select("h", "sid", "where").join(few(roots), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-    left = common.stored(rooted.join(apart, "h", "left_semi"), "sets-apart")
-    side = lambda x: left.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "where", "root")])
-    across = side("a").join(side("b"), "h").filter((F.col("root_a") < F.col("root_b")) & may_be_alike(F.col("where_a"), F.col("where_b"))).select(*pair("sid_a", "sid_b")).distinct()
+    sketches = found.filter("odd is not null").select("sid", "sketch").dropDuplicates(["sid"])
+    left = common.stored(rooted.join(apart, "h", "left_semi").join(sketches, "sid"), "sets-apart")
+    side = lambda x: left.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "where", "root", "sketch")])
+    a, b = side("a"), side("b").withColumnRenamed("h", "h_b")
+    apart_by = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(_SKETCH)), F.lit(0))
+    size = F.shiftright("where_a", 32) + F.shiftright("where_b", 32)
+    alike = (F.col("root_a") < F.col("root_b")) & may_be_alike(F.col("where_a"), F.col("where_b")) & (9 * apart_by <= size)
+    across = a.join(b, (F.col("h") == F.col("h_b")) & alike).select(*pair("sid_a", "sid_b")).distinct()
     more = verified(across, found, docs, key, text, width)
     whole = common.components(links.unionByName(more))
     least = found.groupBy("sid").agg(F.min(key).alias("least"))
