@@ -32,6 +32,8 @@ _FEW = 1 << 18
 _BITS, _MOST_BITS = 1024, 1 << 20
 #: 64-bit numbers of the shorter parities that a join compares by itself, before a pair becomes a row.
 _SKETCH = 8
+#: How often the sets under a value are held against one of them, before those that are still in different groups are compared in pairs.
+_TURNS = 3
 
 
 def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -226,6 +228,11 @@ def met(found: DataFrame) -> DataFrame:
     return common.stored(both.select("h", "sid", "where", F.col("_lead.sid").alias("lead"), F.col("_lead.where").alias("lead_where")), "met-sets")
 
 
+def _rooted(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (h, sid, where, root): where sets stand, each with the least id of those that links connect with it so far."""
+    return near.select("h", "sid", "where").join(few(roots), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Rows (key, sid), one for each row of docs, and rows (sid, component_id): the smallest key of those that links connect.
 
@@ -238,7 +245,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     star = near.filter((F.col("sid") != F.col("lead")) & may_be_alike(F.col("where"), F.col("lead_where"))).select(*pair("sid", "lead"))
     links = verified(star.unionByName(printed(found)).distinct(), found, docs, key, text, width)
     roots = common.stored(common.components(links).withColumnRenamed("node", "sid"), "copy-roots")
-    rooted = near.select("h", "sid", "where").join(few(roots), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    tables = [links, roots]
+    for turn in range(_TURNS):  # another set of each value's leads, for those in other groups than its own
+        rooted = _rooted(near, roots)
+        lead = F.min_by(F.struct("sid", "where", "root"), F.xxhash64("sid", F.lit(turn))).alias("_lead")
+        leads = rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), lead).filter("_low < _high").select("h", "_lead")
+        star = rooted.join(leads, "h").filter((F.col("root") != F.col("_lead.root")) & may_be_alike(F.col("where"), F.col("_lead.where")))
+        new = verified(star.select(*pair("sid", "_lead.sid")).distinct(), found, docs, key, text, width)
+        links = common.stored(links.unionByName(new), "copy-links")
+        roots = common.stored(common.components(links).withColumnRenamed("node", "sid"), "copy-roots")
+        tables += [new, links, roots]
+    rooted = _rooted(near, roots)
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
     sketches = found.filter("odd is not null").select("sid", "sketch").dropDuplicates(["sid"])
     left = common.stored(rooted.join(apart, "h", "left_semi").join(sketches, "sid"), "sets-apart")
@@ -254,7 +271,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     rows = least.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = rows.groupBy("root").agg(F.min("least").alias("component_id"))
     of = common.stored(rows.join(smallest, "root").select("sid", "component_id"), "copy-classes")
-    for table in (near, left, links, more, roots):
+    for table in (near, left, more, *tables):
         common.drop_stored(table)
     return found.select(key, "sid"), of
 
