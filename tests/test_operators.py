@@ -10,10 +10,9 @@ from twinlex.plans import training
 from twinlex.plans.config import Config, SubsetConfig, load_config
 from twinlex.sources import readers
 
-# Sentences with known results.
-EN = ["The quick brown fox jumps over the lazy dog.", "Good morning, how are you today?", "Water boils at 100 degrees; ice melts at 0.", 'She said: "I\'m fine, thanks!"', "Addis Ababa is the capital of Ethiopia."]
-AM = ["ፈጣኑ ቡናማ ቀበሮ ሰነፉን ውሻ ዘሎ አለፈ።", "እንደምን አደርክ፣ ዛሬ እንዴት ነህ?", "ውሃ በ100 ዲግሪ ይፈላል፤ በረዶ በ0 ይቀልጣል።", 'እሷ አለች፦ "ደህና ነኝ፣ አመሰግናለሁ!"', "አዲስ አበባ የኢትዮጵያ ዋና ከተማ ናት።"]
-OTHER = ["Unseen glyphs: 你好 🌍 ñandú", "ሰላም 🙂 ለዓለም", "Ge'ez numerals ፲፱፻፺፪ survive untouched", "tabs\tand  double  spaces are lossless too", ""]
+EN = ["Nine boats wait at pier 42.", "Who left the red lamp on?", "It cost 3,500 in 1998; now it's 12.", 'A sign read: "Don\'t lean, please!"', "Rain fell on the old mill all night."]
+AM = ["ዘጠኝ ጀልባዎች ይጠብቃሉ።", "ቀዩን መብራት ማን አበራ?", "በ1998 ዋጋው 3,500 ነበር፤ አሁን 12 ነው።", 'ምልክቱ፦ "እባክህ፣ አትደገፍ!" ይላል።', "ዝናብ ሌሊቱን ሙሉ ዘነበ።"]
+OTHER = ["Glyphs not seen: 水 🚲 łódź", "ጀልባ 🚲 ይጠብቃል", "numerals ፫፻፵፭ stay", "two\ttabs  and  spaces", ""]
 
 
 def pairs_of(spark, hyps, refs):
