@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlex.llm import common, decontam, line_dedup, masked_lm, packing, perplexity, pu_quality, secret_ledger, simhash, suffix_dedup, token_store, tokens
+from twinlex.llm import alignment, common, decontam, line_dedup, masked_lm, packing, perplexity, pu_quality, secret_ledger, simhash, spelling, suffix_dedup, token_store, tokens, vector_index
 
 VOCABULARY = "word_bpe_49k.json"
+#: The tokenizers that op13 holds side by side.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_table(spark, sf_dir, "documents"), *map(tokens.vocabulary_path, ALIGNED))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -82,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_pivot_search": op11_pivot_search,
+    "op12_spelling": op12_spelling,
+    "op13_alignment": op13_alignment,
 }
 
 _OP2 = r"""
@@ -158,4 +175,14 @@ from documents left join a using (doc_id)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op4_line_dedup": _OP4, "op5_secrets": _op5()}
+_OP11 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op4_line_dedup": _OP4, "op5_secrets": _op5(), "op11_pivot_search": _OP11}
