@@ -21,7 +21,6 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
-        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")  # tests are over before longer compilation pays
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )

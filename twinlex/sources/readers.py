@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tarfile
 import urllib.parse
 import urllib.request
+from dataclasses import asdict
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from twinlex.functions import charclass as cc
 from twinlex.plans.config import HeldOutConfig, SourceConfig
-from twinlex.sources.aligned import AlignedText
+from twinlex.sources.aligned import BLOCK, SIDES, AlignedText, line_index, size_of, unpacked
 
 SHARD_SCHEMA = "en string, am string, source string, score float, priority smallint, key_hash bigint"
 HELD_OUT_FILES = {"dev": "valid", "devtest": "test"}
@@ -24,23 +26,24 @@ def parse_score(text: Column) -> Column:
     return text.try_cast("double").cast("float")
 
 
-def aligned(spark: SparkSession, **options: str) -> DataFrame:
+def aligned(spark: SparkSession, block: int | None = None, **options: str) -> DataFrame:
+    """Rows (line_no, en, am, score) of aligned files or of an archive; options as of AlignedText.
+
+    Plain files are indexed first and then read by a task a block; bounds of line_no reach the reader, for which the session's
+    switch of filter push-down into Python sources is turned on. Files of one block, and archives, need no index.
+    """
     spark.dataSource.register(AlignedText)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    paths = [options[s] for s in SIDES if s in options]
+    if paths and size_of(paths[0]) > (block or BLOCK):
+        options["index"] = json.dumps([asdict(line_index(spark, p, block)) for p in paths])
     rows = spark.read.format("aligned_text").options(**options).load()
     return rows.select("line_no", "en", "am", parse_score(F.col("score")).alias("score"))
 
 
 def numbered(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Rows (line_no, text) of a text file in file order: rows before a row's partition, plus its place in it.
-
-    One small aggregate, a row for each partition, is all that is gathered.
-    """
-    at = lines.select(F.monotonically_increasing_id().alias("at"), F.col(text))
-    part = F.shiftright("at", 33)
-    sizes = at.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("before"))
-    return at.withColumn("part", part).join(starts, "part").select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line_no"), text)
+    """Rows (line_no, text) of text files in order of file name and place."""
+    return in_file_order(lines, {text: F.col(text)})
 
 
 def zip_lines(left: DataFrame, right: DataFrame, strict: bool = False) -> DataFrame:
@@ -67,14 +70,15 @@ def dig(path: str) -> Column:
 def in_file_order(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Rows (line_no, columns) numbered by file name, by where in the file their split starts, and by their place in it.
 
-    The numbers don't depend on which task reads which split. What is gathered are a file's splits and their sizes.
+    The numbers don't depend on which task reads which split. What is gathered are splits and their sizes, a row each; Spark
+    broadcasts them while they are few.
     """
     where = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
     at = rows.select(*[c.alias(n) for n, c in where.items()], F.monotonically_increasing_id().alias("_at"), *[c.alias(n) for n, c in columns.items()])
     sizes = at.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col("_file").alias("_of"), F.col("_start").alias("_from"), "_first", before.alias("_before"))
-    joined = at.join(F.broadcast(starts), (F.col("_file") == F.col("_of")) & (F.col("_start") == F.col("_from")))
+    joined = at.join(starts, (F.col("_file") == F.col("_of")) & (F.col("_start") == F.col("_from")))
     return joined.select((F.col("_before") + F.col("_at") - F.col("_first")).alias("line_no"), *columns)
 
 
@@ -84,13 +88,15 @@ def first_rows(rows: DataFrame, n: int | None) -> DataFrame:
 
 
 def read_source(spark: SparkSession, src: SourceConfig, raw_dir: Path) -> DataFrame:
-    """Rows (line_no, en, am, score) of a source. Archives that can't be split are spread over the cluster right after reading."""
+    """Rows (line_no, en, am, score) of a source. Of an archive whose first lines alone are asked for, no more is unpacked."""
     limit = {"limit": str(src.max_pairs)} if src.max_pairs else {}
     if src.kind == "opus_moses":
-        archive = staged(src.url, raw_dir / f"{src.name}.zip")
-        return aligned(spark, zip=str(archive), **limit).repartition(spark.sparkContext.defaultParallelism)
+        archive = str(staged(src.url, raw_dir / f"{src.name}.zip"))
+        if limit:
+            return aligned(spark, zip=archive, **limit)
+        return aligned(spark, **dict(zip(SIDES, unpacked(spark, archive, f"{raw_dir}/{src.name}.lines"), strict=False)))
     if src.kind == "local_pair":
-        return aligned(spark, en=str(src.en_file), am=str(src.am_file), **limit).repartition(spark.sparkContext.defaultParallelism)
+        return aligned(spark, en=str(src.en_file), am=str(src.am_file), **limit)
     return table_source(spark, src, raw_dir)
 
 
