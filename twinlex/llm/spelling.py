@@ -62,20 +62,26 @@ def pairs(vocabulary: DataFrame, hot: int = HOT) -> DataFrame:
     spot = ["size", "gram", "at"]
     crowded = common.stored(found.groupBy(*spot).agg(F.count("*").alias("many")).filter(F.col("many") > hot).select(*spot, F.lit(True).alias("crowded")), "crowded")
     places = F.sequence(F.lit(1), F.char_length("word"))
-    replaced = F.transform(places, lambda i: F.concat(i.cast("string"), F.lit(":"), _without(F.col("word"), i)))
-    deleted = F.array_distinct(F.transform(places, lambda i: F.concat(F.lit("-"), _without(F.col("word"), i))))
-    parted = lambda rows, sub: rows.join(crowded, spot, "left").select("word", "n", *spot, "longer", F.explode(F.when(F.col("crowded"), sub).otherwise(F.array(F.lit("")))).alias("sub"))
-    shelf = parted(found.withColumn("longer", F.lit(0)), F.concat(replaced, deleted))
+    replaced = F.transform(places, lambda i: F.xxhash64(i, _without("word", i)))
+    deleted = F.array_distinct(F.transform(places, lambda i: F.xxhash64(_without("word", i))))
     meets = F.array(*[F.struct((F.col("size") + d).alias("size"), (F.col("at") + s).alias("at"), F.lit(d).alias("longer")) for d, s in ((0, 0), (1, 0), (1, 1))])
     probes = found.select("word", "n", "gram", F.explode(meets).alias("m")).select("word", "n", "m.size", "gram", "m.at", "m.longer")
-    probes = parted(probes, F.when(F.col("longer") == 0, replaced).otherwise(F.array(F.concat(F.lit("-"), "word"))))
-    a, b = probes.alias("a"), shelf.drop("longer").alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*spot, "sub")]
-    close = ((F.col("a.longer") == 1) | (F.col("a.word") < F.col("b.word"))) & (F.levenshtein("a.word", "b.word", 1) == 1)
-    met = a.join(b, [*same, close]).select(F.col("a.word"), F.col("a.n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n")).distinct()
+    a = _keyed(probes, crowded, spot, F.when(F.col("longer") == 0, replaced).otherwise(F.array(F.xxhash64("word")))).alias("a")
+    b = _keyed(found.withColumn("longer", F.lit(0)), crowded, spot, F.concat(replaced, deleted)).drop("longer").alias("b")
+    # keys are hashes: what meets by chance falls to the verification
+    close = ((F.col("a.longer") == 1) | (F.col("a.word") < F.col("b.word"))) & (F.char_length("b.word") == F.char_length("a.word") + F.col("a.longer")) & (F.levenshtein("a.word", "b.word", 1) == 1)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & close).select(F.col("a.word"), F.col("a.n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n")).distinct()
     return met.select(F.explode(F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))).alias("p")).select("p.*")
 
 
+def _keyed(rows: DataFrame, crowded: DataFrame, spot: list[str], variants: Column) -> DataFrame:
+    """Rows (key, word, n, longer): under its spots that aren't crowded, and, once for all that are, under its variants."""
+    marked = rows.join(crowded, spot, "left")
+    plain = marked.filter("crowded is null").select(F.xxhash64(*spot).alias("key"), "word", "n", "longer")
+    rest = marked.filter("crowded").select("word", "n", "longer").distinct()
+    return plain.unionByName(rest.select(F.explode(variants).alias("key"), "word", "n", "longer"))
+
+
 def roots(forms: DataFrame) -> DataFrame:
     """Rows (word, root) for rows (word, form): the end of each chain of forms, which must not run in circles.
 
