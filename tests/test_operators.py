@@ -1,4 +1,5 @@
 import json
+import time
 
 import numpy as np
 import pytest
@@ -216,3 +217,35 @@ def test_streams(spark, tmp_path):
     log = spark.read.schema(feeds.LOG_SCHEMA).json(str(tmp_path / "log"))
     assert tuple(feeds.log_means(log, 100).first()) == (0, 3.0, 40.0)
     assert [(r.nll, r.best) for r in feeds.eval_loss(log).orderBy("step").collect()] == [(2.0, 2.0), (3.0, 2.0)]
+
+
+def test_largest_are_those_of_a_sort(spark):
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, hi, n).astype(float).tolist() for n in (0, 1, 7, 128, 129, 1000) for hi in (2, 50, 10**6)]
+    rows += [[None, 2.0, float("nan"), 2.0] * 90, [None] * 5]
+    found = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<double>").select("i", numeric.top_k(F.col("x"), 5).alias("k")).collect()
+    for r in found:
+        expected = sorted(((-x, i) for i, x in enumerate(rows[r.i]) if x is not None and x == x))[:5]
+        assert [(-p["value"], p["index"]) for p in r.k] == expected
+
+
+def test_softmax_takes_linear_time(spark):
+    """32,000 entries, as a real vocabulary has: a cubic or square plan would take hours or minutes for these rows."""
+    x = F.transform(F.sequence(F.lit(0), F.lit(31_999)), lambda i: F.sin(i * F.col("id") + i).cast("double"))
+    beams = spark.range(1, 9).select(F.col("id").alias("item"), F.lit(0).alias("beam"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("tokens"), x.alias("logits")).cache()
+    began = time.perf_counter()
+    alive, _ = numeric.beam_step(beams, 4, eos=2, step=0, alpha=1.0, forbidden=(0,))
+    assert alive.count() == 32
+    loss = beams.select(numeric.smoothed_loss(F.col("logits"), F.lit(7), 0.1).alias("l")).agg(F.sum("l.loss")).first()[0]
+    assert time.perf_counter() - began < 60
+    z = np.sin(np.arange(32_000)[None, :] * np.arange(1, 9)[:, None] + np.arange(32_000))
+    total = np.log(np.exp(z).sum(axis=1))
+    assert loss == pytest.approx((0.9 * (total - z[:, 7]) + 0.1 * (total - z.mean(axis=1))).sum())
+
+
+def test_samples_by_group(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(60)] + [(9, 1)] * 4, "g int, x int")
+    found = corpus.seeded_sample(rows, ["x"], 5, 42, by="g").groupBy("g").count().collect()
+    assert sorted(map(tuple, found)) == [(0, 5), (1, 5), (2, 5), (9, 4)]
+    alone = corpus.seeded_sample(rows.filter("g = 1").drop("g"), ["x"], 5, 42)
+    assert {r.x for r in alone.collect()} == {r.x for r in corpus.seeded_sample(rows, ["x"], 5, 42, by="g").filter("g = 1").collect()}

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinlex.functions.expr import once
+
+#: Elements of an array whose largest one is taken together.
+_PIECE = 128
+
 
 def inverse_sqrt_factor(step: Column, warmup: int) -> Column:
     """Learning-rate factor: linear warm-up, then the inverse square root."""
@@ -18,21 +24,28 @@ def length_penalty(length: Column, alpha: float) -> Column:
     return F.pow((F.lit(5.0) + length) / 6.0, F.lit(alpha))
 
 
+def _log_sum(logits: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the logarithm of the sum of exponentials, which is taken once a row."""
+    total = lambda top: F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))) + top
+    return once(F.array_max(logits).cast("double"), lambda top: once(total(top), f))
+
+
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    log_sum = F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))) + top
-    return F.transform(logits, lambda x: x.cast("double") - log_sum)
+    """Logarithms of probabilities, in time that is linear in the length."""
+    return _log_sum(logits, lambda log_sum: F.transform(logits, lambda x: x.cast("double") - log_sum))
 
 
 def smoothed_loss(logits: Column, target: Column, smoothing: float, pad: int | None = None) -> Column:
     """struct<loss, nll, n> of one position with label smoothing; target counts from 0; padding counts for nothing."""
-    top = F.array_max(logits).cast("double")
-    log_sum = F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))) + top
-    nll = log_sum - F.get(logits, target).cast("double")
-    mean = log_sum - F.aggregate(logits, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(logits)
     on = F.lit(1) if pad is None else F.when(target == pad, 0).otherwise(1)
     zero = lambda c: F.when(on == 1, c).otherwise(F.lit(0.0))
-    return F.struct(zero(nll * (1 - smoothing) + mean * smoothing).alias("loss"), zero(nll).alias("nll"), on.cast("bigint").alias("n"))
+
+    def loss(log_sum: Column) -> Column:
+        nll = log_sum - F.get(logits, target).cast("double")
+        mean = log_sum - F.aggregate(logits, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(logits)
+        return F.struct(zero(nll * (1 - smoothing) + mean * smoothing).alias("loss"), zero(nll).alias("nll"), on.cast("bigint").alias("n"))
+
+    return _log_sum(logits, loss)
 
 
 def perplexity(nll: Column, n: Column) -> Column:
@@ -69,10 +82,34 @@ def argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)) - 1
 
 
+def largest(values: Column, k: int) -> Column:
+    """array<struct<minus, index>> of the k largest values, in order; of equal ones the first. Null and NaN aren't ranked.
+
+    Of the largest values of pieces of the array the k-th is a bound: at least k values reach it. Only these few are sorted, so
+    that time is linear in the length.
+    """
+
+    def above(v: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _PIECE).cast("int")), lambda i: F.array_max(F.slice(v, i * _PIECE + 1, _PIECE)))
+        reach = lambda least: F.transform(v, lambda x, i: F.when(F.coalesce(x >= least, x.isNotNull()), F.struct((-x).alias("minus"), i.alias("index"))))
+        return once(F.get(F.sort_array(pieces, asc=False), F.lit(k - 1)), lambda least: F.slice(F.array_sort(F.array_compact(reach(least))), 1, k))
+
+    return once(F.transform(values, lambda x: F.when(~F.isnan(x), x)), above)
+
+
 def top_k(values: Column, k: int) -> Column:
     """array<struct<value, index>> of the k largest values; of equal ones the first."""
-    pairs = F.transform(values, lambda x, i: F.struct((-x).alias("minus"), i.alias("index"), x.alias("value")))
-    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p["value"].alias("value"), p["index"].alias("index")))
+    return F.transform(largest(values, k), lambda p: F.struct((-p["minus"]).alias("value"), p["index"].alias("index")))
+
+
+def continued(beams: DataFrame, size: int, forbidden: tuple[int, ...] = ()) -> DataFrame:
+    """Rows (item, tokens, token, total, rank): the 2 * size best continuations of each item's beams (item, beam, score, tokens, logits)."""
+    barred = F.array(*[F.lit(i) for i in forbidden]).cast("array<int>")
+    # an item's best are among the best of each of its beams: only these leave the row
+    first = largest(F.transform(log_softmax(F.col("logits")), lambda p, i: F.when(~F.array_contains(barred, i), p)), 2 * size)
+    scored = beams.select("item", "beam", "score", "tokens", F.inline(first).alias("minus", "token")).withColumn("total", F.col("score") - F.col("minus")).drop("minus")
+    best = Window.partitionBy("item").orderBy(F.desc("total"), "beam", "token")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 2 * size).select("item", "tokens", "token", "total", "rank")
 
 
 def beam_step(beams: DataFrame, size: int, eos: int, step: int, alpha: float, forbidden: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -81,13 +118,7 @@ def beam_step(beams: DataFrame, size: int, eos: int, step: int, alpha: float, fo
     Returns the beams that go on (item, beam, score, tokens) and the hypotheses that end (item, tokens, score, rank): of the 2 * size
     best continuations of an item, an end counts only among the first `size`; the first `size` others go on.
     """
-    barred = F.array(*[F.lit(i) for i in forbidden]).cast("array<int>")
-    each = F.filter(F.transform(log_softmax(F.col("logits")), lambda p, i: F.struct((-p).alias("minus"), i.alias("token"))), lambda p: ~F.array_contains(barred, p["token"]))
-    # an item's best are among the best of each of its beams: only these leave the row
-    first = F.slice(F.array_sort(each), 1, 2 * size)
-    scored = beams.select("item", "beam", "score", "tokens", F.inline(first)).withColumn("total", F.col("score") - F.col("minus")).drop("minus")
-    best = Window.partitionBy("item").orderBy(F.desc("total"), "beam", "token")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 2 * size)
+    ranked = continued(beams, size, forbidden)
     ended = ranked.filter((F.col("token") == eos) & (F.col("rank") <= size))
     hypotheses = ended.select("item", "tokens", (F.col("total") / length_penalty(F.lit(step + 1), alpha)).alias("score"), "rank")
     alive = ranked.filter(F.col("token") != eos).withColumn("slot", F.row_number().over(Window.partitionBy("item").orderBy("rank"))).filter(F.col("slot") <= size)

@@ -122,15 +122,21 @@ def subset_sql(cfg: SubsetConfig) -> str:
     return " AND ".join(parts) or "TRUE"
 
 
-def seeded_sample(rows: DataFrame, columns: list[str], n: int | None, seed: int) -> DataFrame:
-    """n rows (columns), all if there are fewer, or n is None: first in an order that depends on their columns and the seed alone.
+def seeded_sample(rows: DataFrame, columns: list[str], n: int | None, seed: int, by: str | None = None) -> DataFrame:
+    """n rows (by, columns), of each group if there is one, all if there are fewer, or n is None: first in an order that depends on
+    their columns and the seed alone.
 
     Equal rows are numbered, and each is drawn by itself. They are counted first, so that many copies cost one row in the shuffle.
     """
+    group = [by] if by else []
     if n is None:
-        return rows.select(*columns)
-    counted = rows.groupBy(*columns).agg(F.count("*").alias("_n")).select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_nth"))
-    return counted.orderBy(F.md5(F.concat_ws(chr(0), *[_text(c) for c in columns], F.col("_nth").cast("string"), F.lit(str(seed)))), *columns, "_nth").limit(n).drop("_nth")
+        return rows.select(*group, *columns)
+    counted = rows.groupBy(*group, *columns).agg(F.count("*").alias("_n")).select(*group, *columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_nth"))
+    order = [F.md5(F.concat_ws(chr(0), *[_text(c) for c in columns], F.col("_nth").cast("string"), F.lit(str(seed)))), *columns, "_nth"]
+    if by:  # a rank limited to n, of which Spark takes each task's first n before the shuffle
+        ranked = counted.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+        return ranked.filter(F.col("_at") <= n).select(by, *columns)
+    return counted.orderBy(*order).limit(n).drop("_nth")
 
 
 def _text(column: str) -> Column:

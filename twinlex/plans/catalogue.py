@@ -251,12 +251,7 @@ def deterministic_cap(spark, sf_dir):
 @query("select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by md5(concat(doc_id, chr(0), '1', chr(0), '42')), doc_id) as r from documents) where r <= 20")
 def seeded_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id")
-    langs = [r.lang for r in rows.select("lang").distinct().collect()]  # one sample for each language, each a top-k
-    parts = [corpus.seeded_sample(rows.filter(F.col("lang") == lang), ["doc_id"], 20, SEED).select(F.lit(lang).alias("lang"), "doc_id") for lang in langs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return corpus.seeded_sample(rows, ["doc_id"], 20, SEED, by="lang")
 
 
 @query("select source, doc_id, nth from (select source, doc_id, row_number() over (partition by source order by md5(cast(doc_id as varchar))) as nth from documents) where nth <= 3")
