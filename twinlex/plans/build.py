@@ -12,7 +12,7 @@ from twinlex.functions.normalize import key_hash, normalize
 from twinlex.operators import corpus
 from twinlex.plans import files
 from twinlex.plans.config import Config, DataConfig, SourceConfig
-from twinlex.sources import readers
+from twinlex.sources import readers, sink
 
 
 def normalized(rows: DataFrame, cfg: DataConfig, en: str = "en", am: str = "am") -> DataFrame:
@@ -40,26 +40,25 @@ def judged(rows: DataFrame, cfg: DataConfig, keys: DataFrame) -> DataFrame:
 
 
 def write_shard(spark: SparkSession, src: SourceConfig, priority: int, cfg: DataConfig, raw_dir, shard: str, keys: DataFrame) -> dict:
-    """One source's kept pairs as Parquet, then its statistics, whose file marks the shard as complete.
+    """One source's kept pairs as Parquet, with counts by reason, in one pass; the shard's statistics are its marker.
 
-    Pairs and counts come from one pass: the counts are taken while the rows are written (an observation).
+    Both appear at the commit of the sink: until then an older shard stays as it is. Rejected pairs reach the sink without texts.
     """
-    began = time.perf_counter()
-    from pyspark.sql import Observation
-
     from twinlex.functions.filters import HELD_OUT, REASONS
 
-    files.delete(spark, f"{shard}.stats.json")
-    seen = Observation()
-    counts = [F.count_if(F.col("reason") == r).alias(r) for r in (*REASONS, HELD_OUT)]
-    rows = judged(readers.read_source(spark, src, raw_dir), cfg, keys).observe(seen, F.count(F.lit(1)).alias("read"), *counts)
-    kept = rows.filter("reason is null").select("en", "am", F.lit(src.name).alias("source"), "score", F.lit(priority).cast("smallint").alias("priority"), key_hash(F.col("key_en"), F.col("key_am")).alias("key_hash"))
-    kept.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", max(cfg.shard_flush_rows, 100_000)).parquet(f"{shard}.parquet")
-    found = seen.get
-    rejected = {r: found[r] for r in (*REASONS, HELD_OUT) if found.get(r)}
-    stats = {"name": src.name, "read": found.get("read", 0), "kept": found.get("read", 0) - sum(rejected.values()), "rejected": rejected, "seconds": round(time.perf_counter() - began, 1)}
-    files.write_text(spark, f"{shard}.stats.json", json.dumps(stats, indent=2))
-    return stats
+    began = time.time()
+    rows = judged(readers.read_source(spark, src, raw_dir), cfg, keys)
+    kept = lambda c: F.when(F.col("reason").isNull(), c)
+    columns = {"en": F.col("en"), "am": F.col("am"), "source": F.lit(src.name), "score": F.col("score"), "priority": F.lit(priority).cast("smallint"), "key_hash": key_hash(F.col("key_en"), F.col("key_am"))}
+    sink.write_rows(rows.select(*[kept(c).alias(n) for n, c in columns.items()], "reason"), f"{shard}.parquet", marker=f"{shard}.stats.json", about=json.dumps({"name": src.name}), began=began)
+    stats = shard_stats(spark, shard)
+    return stats | {"rejected": {r: stats["rejected"][r] for r in (*REASONS, HELD_OUT) if r in stats["rejected"]}}
+
+
+def shard_stats(spark: SparkSession, shard: str) -> dict:
+    """What a complete shard's marker says of its source."""
+    stats = json.loads(files.read_text(spark, f"{shard}.stats.json"))
+    return {k: v for k, v in stats.items() if k != "files"}
 
 
 def dedup_and_split(spark: SparkSession, shards: list[str], out_dir, holdout: int, seed: int) -> dict:
@@ -76,7 +75,7 @@ def dedup_and_split(spark: SparkSession, shards: list[str], out_dir, holdout: in
     size = corpus.holdout_size(after, holdout)
     for name, part in zip(("train", "train_holdout"), corpus.split_holdout(pairs, "order_key", size), strict=True):
         ordered = part.repartitionByRange("order_key").sortWithinPartitions("order_key").select("en", "am", "source", "score")
-        ordered.write.mode("overwrite").option("compression", "zstd").parquet(f"{out_dir}/{name}.parquet")
+        sink.write_rows(ordered, f"{out_dir}/{name}.parquet")
     files.delete(spark, kept)
     return {"before": before, "after": after, "removed": before - after, "by_source": by_source, "score_quantiles": quantiles, "train": after - size, "train_holdout": size}
 
@@ -101,7 +100,7 @@ def build(spark: SparkSession, cfg: Config, rebuild: set[str] | None = None) ->
         shards.append(f"{shard}.parquet")
         done = files.exists(spark, f"{shard}.stats.json") and files.exists(spark, f"{shard}.parquet")
         if done and not rebuild & {"all", src.name}:
-            stats.append(json.loads(files.read_text(spark, f"{shard}.stats.json")))
+            stats.append(shard_stats(spark, shard))
         else:
             stats.append(write_shard(spark, src, priority, data, raw_dir, shard, keys))
     dedup = dedup_and_split(spark, shards, out_dir, data.holdout_size, cfg.project.seed)

@@ -62,4 +62,9 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(str(path), wholetext=True).first()[0]
+    place, system = _place(spark, path)
+    stream = system.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlex.functions import charclass as cc
+from twinlex.plans import files
 from twinlex.plans.config import HeldOutConfig, SourceConfig
 from twinlex.sources.aligned import BLOCK, SIDES, AlignedText, line_index, size_of, unpacked
 
@@ -149,6 +150,18 @@ def read_held_out(spark: SparkSession, cfg: HeldOutConfig, raw_dir: Path, split:
     return zip_lines(side(cfg.en_code), side(cfg.am_code), strict=True).select("line_no", F.col("left").alias("en_raw"), F.col("right").alias("am_raw"))
 
 
+def shard_files(spark: SparkSession, shard: str) -> list[str]:
+    """What to read of a shard: the files that its marker names, or the whole folder if it has no marker or not all of them."""
+    marker = f"{shard.removesuffix('.parquet')}.stats.json"
+    if files.exists(spark, marker):
+        names = json.loads(files.read_text(spark, marker)).get("files")
+        paths = [f"{shard}/{n}" for n in names or []]
+        if names is not None and all(files.exists(spark, p) for p in paths):
+            return paths
+    return [shard]
+
+
 def read_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Shards of a corpus, with columns that older ones lack read as null."""
-    return spark.read.schema(SHARD_SCHEMA).parquet(*paths)
+    found = [f for p in paths for f in shard_files(spark, p)]
+    return spark.read.schema(SHARD_SCHEMA).parquet(*found) if found else spark.createDataFrame([], SHARD_SCHEMA)
