@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import json
 import time
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlex.functions.normalize import key_hash, normalize
-from twinlex.operators import corpus
+from twinlex.operators import corpus, layout
 from twinlex.plans import files
 from twinlex.plans.config import Config, DataConfig, SourceConfig
 from twinlex.sources import readers, sink
 
 
 def normalized(rows: DataFrame, cfg: DataConfig, en: str = "en", am: str = "am") -> DataFrame:
-    rule = cfg.normalize
-    return rows.withColumns({"en": normalize(F.col(en), "en"), "am": normalize(F.col(am), "am", rule.fold_homophones, rule.numerals_to_digits)})
+    rule, app = cfg.normalize, rows.sparkSession.sparkContext.applicationId
+    return rows.withColumns({"en": _side(app, en, "en", True, True), "am": _side(app, am, "am", rule.fold_homophones, rule.numerals_to_digits)})
+
+
+@lru_cache(maxsize=64)
+def _side(app: str, column: str, lang: str, fold: bool, digits: bool):
+    """The long expression of one side, made once for each column and rule in an application."""
+    return normalize(F.col(column), lang, fold, digits)
 
 
 def write_held_out(spark: SparkSession, cfg: DataConfig, raw_dir, out_dir) -> tuple[dict[str, int], DataFrame]:
@@ -61,22 +68,25 @@ def shard_stats(spark: SparkSession, shard: str) -> dict:
     return {k: v for k, v in stats.items() if k != "files"}
 
 
-def dedup_and_split(spark: SparkSession, shards: list[str], out_dir, holdout: int, seed: int) -> dict:
-    """Best pair of each key, in a seeded order, parted into train and hold-out; returns the card's section on dedup."""
-    every = readers.read_shards(spark, shards)
-    best = corpus.best_of_key(every, "key_hash").withColumn("order_key", corpus.shuffle_key(F.col("key_hash"), seed))
-    kept = f"{out_dir}/_deduplicated"
-    best.write.mode("overwrite").parquet(kept)
-    pairs = spark.read.parquet(kept)
-    before = every.count()
-    by_source = {r.source: r.n for r in pairs.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()}
-    after = sum(by_source.values())
-    quantiles = {r.source: {k: r[k] for k in corpus.QUANTILES} for r in corpus.score_quantiles(pairs, "source", "score").orderBy("source").collect()}
-    size = corpus.holdout_size(after, holdout)
-    for name, part in zip(("train", "train_holdout"), corpus.split_holdout(pairs, "order_key", size), strict=True):
-        ordered = part.repartitionByRange("order_key").sortWithinPartitions("order_key").select("en", "am", "source", "score")
-        sink.write_rows(ordered, f"{out_dir}/{name}.parquet")
-    files.delete(spark, kept)
+def dedup_and_split(spark: SparkSession, shards: dict[str, str], out_dir, holdout: int, seed: int) -> dict:
+    """Best pair of each key, in a seeded order, parted into train and hold-out; returns the card's section on dedup.
+
+    The best pairs lie in ranges of that order, so that train is written range by range without a shuffle, and after a change
+    of one shard only its keys are decided anew: see Layout.
+    """
+    laid = layout.Layout(spark, f"{out_dir}/_state")
+    with layout.settings(spark):
+        pairs, state = laid.decide(shards, seed)
+        before = state["rows"]
+        by_source = {r.source: r.n for r in pairs.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()}
+        after = sum(by_source.values())
+        quantiles = {r.source: {k: r[k] for k in corpus.QUANTILES} for r in corpus.score_quantiles(pairs, "source", "score").orderBy("source").collect()}
+        size = corpus.holdout_size(after, holdout)
+        train, held = corpus.split_holdout(pairs, "order_key", size)
+        # without the column of ranges a scan wouldn't keep to them
+        for name, part in (("train", train), ("train_holdout", held.repartitionByRange("order_key"))):
+            sink.write_rows(part.sortWithinPartitions("order_key", "slot").select("en", "am", "source", "score"), f"{out_dir}/{name}.parquet")
+        laid.commit(state)
     return {"before": before, "after": after, "removed": before - after, "by_source": by_source, "score_quantiles": quantiles, "train": after - size, "train_holdout": size}
 
 
@@ -94,10 +104,10 @@ def build(spark: SparkSession, cfg: Config, rebuild: set[str] | None = None) ->
     raw_dir, out_dir = cfg.paths.resolve("data_raw"), cfg.paths.resolve("data_processed")
     began = time.perf_counter()
     sizes, keys = write_held_out(spark, data, raw_dir, out_dir)
-    stats, shards = [], []
+    stats, shards = [], {}
     for priority, src in enumerate(data.sources):
         shard = f"{out_dir}/shards/{src.name}"
-        shards.append(f"{shard}.parquet")
+        shards[src.name] = f"{shard}.parquet"
         done = files.exists(spark, f"{shard}.stats.json") and files.exists(spark, f"{shard}.parquet")
         if done and not rebuild & {"all", src.name}:
             stats.append(shard_stats(spark, shard))

@@ -27,6 +27,12 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders that stand in a folder."""
+    place, system = _place(spark, path)
+    return [str(x.getPath()) for x in system.listStatus(place) if x.isDirectory()]
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode("utf-8"))
 
