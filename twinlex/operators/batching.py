@@ -85,7 +85,7 @@ def token_budget_batches(samples: DataFrame, budget: int, seed: int, epoch: int
     mean = max(int(total / n), 1) if n else 1
     n_pools = max(1, -(-(n or 0) // max(budget // mean * POOL, 1)))
     salt = f"{seed}:{epoch}"
-    mixed = samples.select(F.col(idx).alias("idx"), F.col(length).alias("length"), F.xxhash64(F.lit(salt), F.col(idx)).alias("mix"))
+    mixed = samples.select(F.col(idx).alias("idx"), F.col(length).alias("length"), F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col(idx))), 1, 15), 16, 10).cast("bigint").alias("mix"))
     pooled = mixed.withColumn("pool", F.pmod("mix", F.lit(n_pools)))
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:

@@ -70,6 +70,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select(F.col("id").alias("pair"), ids("en").alias("en"), ids("am").alias("am"))
 
 
+def byte_ids(rows: DataFrame, text: str = "t") -> DataFrame:
+    """rows with ids by a vocabulary that knows specials and bytes alone."""
+    return rows.withColumn("ids", vocabulary.encoded(F.col(text), vocabulary.learn({}, 262, 1), rows.sparkSession))
+
+
 # ------------------------------------------------------------------ SQL pieces
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -105,6 +110,12 @@ def _english(x: str) -> str:
     return f"trim({_sub(_detok(x), _WS + '+', ' ')})"
 
 
+def _marked(x: str) -> str:
+    """The text that pieces are cut from."""
+    x = f"replace({x}, ' ', '{vocabulary.SPACE}')"
+    return f"(case when starts_with({x}, '{vocabulary.SPACE}') or {x} = '' then {x} else '{vocabulary.SPACE}' || {x} end)"
+
+
 def _letters(x: str) -> str:
     return f"length(regexp_replace({x}, '[^\\p{{L}}\\p{{Nl}}\\p{{No}}]', '', 'g'))"
 
@@ -289,12 +300,11 @@ def pretokenize_counts(spark, sf_dir):
     return vocabulary.piece_counts(table(spark, sf_dir, "documents"), "text", 2)
 
 
-@query(f"""select count(*) as sentences, round(sum(len(en)) / cast(count(*) as double), 3) as tokens_per_sentence, round(sum(length(t)) / cast(sum(len(en)) as double), 3) as chars_per_token,
-  round(sum(len(list_filter(en, lambda i: i between 6 and 261))) / cast(sum(len(en)) as double), 6) as byte_fallback_rate, round(sum(len(list_filter(en, lambda i: i = 3))) / cast(sum(len(en)) as double), 6) as unk_rate
-  from {_WORDS} w join (select id, en as t from {_TURNS}) on id = pair""")
+@query(f"""select count(*) as sentences, round(sum(octet_length(encode(m))) / cast(count(*) as double), 3) as tokens_per_sentence, round(sum(length(t)) / cast(sum(octet_length(encode(m))) as double), 3) as chars_per_token,
+  cast(1 as double) as byte_fallback_rate, cast(0 as double) as unk_rate from (select en as t, {_marked('en')} as m from {_TURNS})""")
 def token_stats(spark, sf_dir):
-    rows = words(spark, sf_dir).join(turns(spark, sf_dir).select(F.col("id").alias("pair"), F.col("en").alias("t")), "pair")
-    return vocabulary.column_stats(rows, "t", "en")
+    """Statistics of a vocabulary without merges, to which every character is its bytes."""
+    return vocabulary.column_stats(byte_ids(turns(spark, sf_dir).select(F.col("en").alias("t"))), "t", "ids")
 
 
 @query()

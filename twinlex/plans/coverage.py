@@ -5,20 +5,21 @@ Files that a query reads are written first, under a folder that driver and execu
 
 from __future__ import annotations
 
-import io
+import shutil
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinlex.functions import numeric, registry
-from twinlex.functions.normalize import FOLDED_SERIES, INVISIBLE, QUOTES_FROM, dedup_key, key_hash, normalize_amharic
+from twinlex.functions import filters, registry
+from twinlex.functions.normalize import FOLDED_SERIES, INVISIBLE, NUMERALS, QUOTES_FROM, dedup_key, key_hash, normalize_amharic, numeral_value
 from twinlex.operators import batching, corpus, metrics, vocabulary
 from twinlex.plans import build, catalogue, files, training, translate
 from twinlex.plans.catalogue import GEEZ, LATIN, SEED, geez, query, table, turns, words
-from twinlex.plans.config import Config, FilterConfig, HeldOutConfig, SourceConfig, SubsetConfig
-from twinlex.sources import readers
+from twinlex.plans.config import Config, HeldOutConfig, SourceConfig, SubsetConfig
+from twinlex.sources import aligned, readers, sink
+from twinlex.streaming import feeds
 
 _WS, _TURNS, _WORDS = catalogue._WS, catalogue._TURNS, catalogue._WORDS
 _FOLD_FROM = "".join(chr(c) for first, last, _ in FOLDED_SERIES for c in range(first, last + 1))
@@ -90,36 +91,74 @@ def sql_functions(spark, sf_dir):
 # ------------------------------------------------------------------ sources
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, int]]:
-    """All rows of a table of fixed size, in order."""
-    return [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
-
-
 def _staged(spark: SparkSession, folder: str, texts: dict[str, str]) -> Path:
     for name, text in texts.items():
         files.write_text(spark, f"{folder}/{name}", text)
     return Path(folder.removeprefix("file://").removeprefix("file:"))
 
 
-@query("select n_nationkey as line_no, n_name as en, upper(n_name) as am, cast(null as float) as score from nation where n_nationkey < 20")
+_EN = "'part ' || l_partkey || ' of order ' || l_orderkey || ', line ' || l_linenumber"
+_NUMBERED = f"(select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 as line_no, {_EN} as en, cast(l_linenumber as varchar) || ' ' || l_returnflag as am, l_suppkey, l_orderkey from lineitem)"
+_SHORT = f"(select * from {_NUMBERED} where l_orderkey <= (select max(l_orderkey) // 2 from lineitem))"
+
+
+def _lines(spark: SparkSession, sf_dir: str, folder: str, half: bool = True) -> dict[str, str]:
+    """All line items as aligned files (en, am, scores), of which am has but half the orders, and other line ends than en."""
+    rows = table(spark, sf_dir, "lineitem").coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    most = rows.agg(F.max("l_orderkey")).first()[0] // 2 if half else None
+    en = F.concat(F.lit("part "), "l_partkey", F.lit(" of order "), "l_orderkey", F.lit(", line "), "l_linenumber")
+    am = F.concat(F.col("l_linenumber").cast("string"), F.lit(" "), "l_returnflag")
+    found = {}
+    for name, column, end in (("en", en, "\r\n"), ("am", am, "\n"), ("scores", (F.col("l_suppkey") / 4).cast("string"), "\r")):
+        part = rows.filter(F.col("l_orderkey") <= most) if name == "am" and half else rows
+        part.select(column.alias("value")).write.option("lineSep", end).text(f"{folder}/{name}")
+        found[name] = spark.read.text(f"{folder}/{name}").inputFiles()[0]
+    return found
+
+
+@query(f"select line_no, en, am, cast(null as float) as score from {_SHORT}")
 def local_pair_lines(spark, sf_dir):
-    """Two aligned text files; the shorter one ends them."""
-    rows = _nations(spark, sf_dir)
-    at = _staged(spark, files.scratch(spark, "pair"), {"x.en": "".join(f"{n}\n" for _, n, _ in rows), "x.am": "".join(f"{n.upper()}\n" for _, n, _ in rows[:20])})
-    return readers.read_source(spark, SourceConfig(name="x", kind="local_pair", en_file=at / "x.en", am_file=at / "x.am"), at)
+    """Two aligned files, read by ranges of lines that an index of line ends gives; the shorter one ends them."""
+    found = _lines(spark, sf_dir, files.scratch(spark, "pair"))
+    return readers.aligned(spark, block=1 << 17, en=found["en"], am=found["am"])
+
+
+@query(f"select line_no, en, am from {_SHORT} where line_no >= 1000 and line_no < 3000 and line_no % 2 = 0")
+def line_range(spark, sf_dir):
+    """Bounds of line numbers reach the reader, which opens no other blocks."""
+    found = _lines(spark, sf_dir, files.scratch(spark, "range"))
+    return readers.aligned(spark, block=1 << 15, en=found["en"], am=found["am"]).filter("line_no >= 1000 and line_no < 3000 and line_no % 2 = 0").select("line_no", "en", "am")
+
+
+def _zipped(spark: SparkSession, sf_dir: str, folder: str) -> Path:
+    """The files of all line items as members of an archive, packed by a task."""
+    found, target = _lines(spark, sf_dir, folder, half=False), f"{folder}/c.zip"
+
+    def pack(batches):
+        for batch in batches:
+            system, place = sink.file_system(target)
+            with system.open_output_stream(place) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for end, path in found.items():
+                    with z.open(f"c.am-en.{end}", "w", force_zip64=True) as member, aligned.opened(path) as source:
+                        shutil.copyfileobj(source, member)
+            yield batch
+
+    spark.range(0, 1, 1, 1).mapInArrow(pack, "id bigint").count()
+    return _staged(spark, folder, {})
 
 
-@query("select n_nationkey as line_no, n_name as en, cast(n_regionkey as varchar) as am, cast(n_nationkey / 4.0 as float) as score from nation where n_nationkey < 15")
+@query(f"select line_no, en, am, cast(l_suppkey / 4.0 as float) as score from {_NUMBERED}")
 def archive_lines(spark, sf_dir):
-    """A zip archive with scores, of which the first 15 lines are asked for."""
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-        for end, i, f in ((".en", 1, str), (".am", 2, str), (".scores", 0, lambda k: str(k / 4))):
-            z.writestr(f"c.am-en{end}", "".join(f"{f(r[i])}\n" for r in _nations(spark, sf_dir)))
-    folder = files.scratch(spark, "archive")
-    files.write_bytes(spark, f"{folder}/c.zip", raw.getvalue())
-    at = _staged(spark, folder, {})
-    return readers.read_source(spark, SourceConfig(name="x", kind="opus_moses", url=(at / "c.zip").as_uri(), max_pairs=15), at)
+    """A zip archive with scores: members unpacked by a task each, then read as aligned files."""
+    at = _zipped(spark, sf_dir, files.scratch(spark, "archive"))
+    return readers.read_source(spark, SourceConfig(name="x", kind="opus_moses", url=(at / "c.zip").as_uri()), at)
+
+
+@query(f"select line_no, en, am from {_NUMBERED} where line_no < 500")
+def archive_head(spark, sf_dir):
+    """The first 500 lines of an archive, of which no more is unpacked."""
+    at = _zipped(spark, sf_dir, files.scratch(spark, "archive"))
+    return readers.read_source(spark, SourceConfig(name="x", kind="opus_moses", url=(at / "c.zip").as_uri(), max_pairs=500), at).select("line_no", "en", "am")
 
 
 @query("select row_number() over (order by conv_id, turn) - 1 as line_no, md5(text) as en, role as am from conversations")
@@ -132,18 +171,69 @@ def hosted_table(spark, sf_dir):
     return readers.read_source(spark, SourceConfig(name="x", kind="hf", path="set"), at).select("line_no", "en", "am")
 
 
-@query("select cast(n_nationkey as int) as line_no, n_name as en_raw, n_name || '.' as am_raw from nation")
+@query("select cast(row_number() over (order by c_custkey) - 1 as int) as line_no, c_name as en_raw, c_name || '.' as am_raw from customer")
 def held_out_lines(spark, sf_dir):
-    names = [n for _, n, _ in _nations(spark, sf_dir)]
-    at = _staged(spark, files.scratch(spark, "held"), {"dev/eng_Latn.dev": "".join(f"{n}\n" for n in names), "dev/amh_Ethi.dev": "\r\n".join(f"{n}." for n in names)})
+    folder = files.scratch(spark, "held")
+    rows = table(spark, sf_dir, "customer").coalesce(1).sortWithinPartitions("c_custkey")
+    for code, column, end in (("eng_Latn", F.col("c_name"), "\n"), ("amh_Ethi", F.concat("c_name", F.lit(".")), "\r\n")):
+        rows.select(column.alias("value")).write.option("lineSep", end).text(f"{folder}/dev/{code}.dev")
+    at = _staged(spark, folder, {})
     return readers.read_held_out(spark, HeldOutConfig(local_dir=at), at, "dev")
 
 
-@query("select n_nationkey as line_no, n_name as value from nation")
+@query("select row_number() over (order by o_orderkey) - 1 as line_no, o_orderkey || ' ' || o_orderpriority as value from orders")
 def sentence_file(spark, sf_dir):
+    """Lines of several files, numbered in file order."""
     folder = files.scratch(spark, "sentences")
-    _staged(spark, folder, {"in.txt": "".join(f"{n}\n" for _, n, _ in _nations(spark, sf_dir))})
-    return readers.numbered(spark.read.text(f"{folder}/in.txt"))
+    table(spark, sf_dir, "orders").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("value")).write.text(folder)
+    return readers.numbered(spark.read.text(folder))
+
+
+@query("""with r as (select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber) - 1 as place from lineitem)
+  select cast(place // 1000 as int) as row_group, count(*) as n, min_by(l_orderkey * 10 + l_linenumber, place) as first, max_by(l_orderkey * 10 + l_linenumber, place) as last from r group by 1""")
+def ordered_row_groups(spark, sf_dir):
+    """An ordered table through the sink: from the footers the rows of each row group, from the rows what it begins and ends with."""
+    folder = files.scratch(spark, "sink")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    sink.write_rows(rows.repartitionByRange(1, "k").sortWithinPartitions("k"), folder, row_group=1000)
+    groups = sink.row_groups(spark, spark.read.parquet(folder).inputFiles())
+    placed = readers.in_file_order(spark.read.parquet(folder), {"k": F.col("k")})
+    ends = placed.groupBy(F.floor(F.col("line_no") / 1000).cast("int").alias("row_group")).agg(F.min_by("k", "line_no").alias("first"), F.max_by("k", "line_no").alias("last"))
+    return groups.join(ends, "row_group").select("row_group", "n", "first", "last")
+
+
+@query("select event_id, event_type, value from events")
+def log_append(spark, sf_dir):
+    """Lines appended in two goes to a log of JSON lines, read back with its schema."""
+    folder, rows = files.scratch(spark, "log"), table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for turn in (0, 1):
+        feeds.append_log(rows.filter(F.col("event_id") % 2 == turn), folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
+@query("select conv_id, turn, case when turn % 3 = 0 then '' else md5(text) end as output from conversations")
+def blank_outputs(spark, sf_dir):
+    """Every third turn is blank: spaces of several kinds, whatever a search would make of them."""
+    text = F.when(F.col("turn") % 3 == 0, F.lit(" \t\u2003\u00a0")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", filters.blank_as_empty(text, F.md5("text")).alias("output"))
+
+
+@query(f"select id, id % 2 = 1 as as_en, not (id % 2 = 1) as as_am from {_TURNS} where regexp_matches(lower(am), '[a-z]')")
+def direction_hints(spark, sf_dir):
+    """Every other text is in Ethiopic letters, which contradicts one direction and fits the other."""
+    rows = turns(spark, sf_dir).filter(F.lower("am").rlike("[a-z]")).withColumn("text", F.when(F.col("id") % 2 == 1, geez(F.col("am"))).otherwise(F.lit("plain words")))
+    return rows.select("id", filters.wrong_direction(F.col("text"), "en-am").alias("as_en"), filters.wrong_direction(F.col("text"), "am-en").alias("as_am"))
+
+
+@query("select o_orderkey, cast(o_orderkey * 7 % 999983 + 1 as bigint) as value from orders")
+def large_numerals(spark, sf_dir):
+    """Ge'ez numerals of numbers up to a million, written from their digits by hundreds, read back."""
+    n = F.col("o_orderkey") * 7 % 999_983 + 1
+    pair = lambda x: F.concat(F.when(F.floor(x / 10) > 0, F.substr(F.lit(NUMERALS), F.floor(x / 10).cast("int") + 9, F.lit(1))).otherwise(""), F.when(x % 10 > 0, F.substr(F.lit(NUMERALS), (x % 10).cast("int"), F.lit(1))).otherwise(""))
+    below = lambda x: F.concat(F.when(F.floor(x / 100) > 0, F.concat(F.when(F.floor(x / 100) > 1, pair(F.floor(x / 100))).otherwise(""), F.lit("፻"))).otherwise(""), pair(x % 100))
+    high = F.floor(n / 10_000)
+    text = F.concat(F.when(high > 0, F.concat(F.when(high > 1, below(high)).otherwise(""), F.lit("፼"))).otherwise(""), below(n % 10_000))
+    return table(spark, sf_dir, "orders").select("o_orderkey", numeral_value(text).alias("value"))
 
 
 # ------------------------------------------------------------------ filters and counts by source
@@ -255,6 +345,25 @@ def build_shards(spark, sf_dir):
     return readers.read_shards(spark, [f"{folder}/shards/{n}.parquet" for n in ("first", "second")]).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query(f"select source, md5(en) as en, md5(am) as am from (select * from {_KEPT} where source = 'first' or id % 5 <> 0) qualify row_number() over (partition by key_en, key_am order by source, en, am) = 1")
+def build_again(spark, sf_dir):
+    """The corpus after one source has changed: only its keys are decided anew."""
+    folder = files.scratch(spark, "again")
+    for name in ("first", "second"):
+        _raw_pairs(spark, sf_dir).filter(F.col("source") == name).select("en", "am").write.parquet(f"{folder}/data/raw/{name}/train")
+    held = _held_out(spark, sf_dir)
+    for split in ("dev", "devtest"):
+        for code, column in (("eng_Latn", "en_raw"), ("amh_Ethi", "am_raw")):
+            held.coalesce(1).sortWithinPartitions("id").select(column).write.text(f"{folder}/held/{split}/{code}.{split}")
+    at = _staged(spark, folder, {})
+    build.build(spark, _config(str(at)))
+    _raw_pairs(spark, sf_dir).filter("source = 'second' and id % 5 <> 0").select("en", "am").write.mode("overwrite").parquet(f"{folder}/data/raw/second/train")
+    build.build(spark, _config(str(at)), {"second"})
+    out = at / "data/processed"
+    both = spark.read.parquet(f"{out}/train.parquet").unionByName(spark.read.parquet(f"{out}/train_holdout.parquet"))
+    return both.select("source", F.md5("en").alias("en"), F.md5("am").alias("am"))
+
+
 @query(f"""select md5(en) as en, md5(am) as am, md5(en_raw) as en_raw, md5(am_raw) as am_raw from (select {catalogue._english('en_raw')} as en, {_amharic('am_raw')} as am, en_raw, am_raw from (
   select trim(regexp_replace(en_in, '{_WS}+', ' ', 'g')) as en_raw, trim(regexp_replace(am_in, '{_WS}+', ' ', 'g')) as am_raw from {_NORMALIZED} where id % 20 = 0))""")
 def build_eval_split(spark, sf_dir):
@@ -265,8 +374,6 @@ def build_eval_split(spark, sf_dir):
 @query(f"select source, cast(count(*) as bigint) as n from {_KEPT} group by source")
 def shard_stream(spark, sf_dir):
     """Running counts over the shards as a stream."""
-    from twinlex.streaming import feeds
-
     folder, _ = _build(spark, sf_dir)
     name = f"shards_{abs(hash(str(folder)))}"
     run = feeds.counted_shards(spark, f"{folder}/shards/*.parquet").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
@@ -277,14 +384,16 @@ def shard_stream(spark, sf_dir):
 # ------------------------------------------------------------------ vocabulary, cache, batches
 
 
-@query("select 'special' as token_class, 0 as first_id, 6 as ids union all select 'byte', 6, 256")
+_BYTES = f"(select conv_id, turn, hex(encode({catalogue._marked('text')})) as h from conversations)"
+
+
+@query(f"""select '<0x' || b || '>' as token, cast(6 + cast('0x' || b as int) as int) as id, count(*) as n from (select substr(h, 2 * i + 1, 2) as b from (select h, unnest(range(0, length(h) // 2)) as i from {_BYTES})) group by all""")
 def fixed_tokens(spark, sf_dir):
-    """Which ids the specials and bytes have in a vocabulary learnt from the built corpus, looked up one by one."""
-    learnt = _vocabulary(spark, sf_dir)
-    kinds = [(learnt.kind(i), i) for i in range(262)]
-    named = all(learnt.id_of[f"<0x{i - 6:02X}>"] == i for i in range(6, 262)) and learnt.lang_id("am") == 4 and learnt.lang_id("en") == 5
-    rows = [(kind, min(ids), len(ids) if named else -1) for kind in ("special", "byte") for ids in [[i for k, i in kinds if k == kind]]]
-    return spark.createDataFrame(rows, "token_class string, first_id int, ids int")
+    """The ids of specials and bytes are fixed: how often each byte of all turns occurs, by token and by the id that it is looked up with."""
+    learnt = vocabulary.learn({}, 262, 1)
+    ids = catalogue.byte_ids(table(spark, sf_dir, "conversations").select(F.col("text").alias("t"))).select(F.explode("ids").alias("id"))
+    names = spark.createDataFrame([(t, learnt.id_of[t]) for t in learnt.tokens], "token string, id int")
+    return ids.groupBy("id").agg(F.count("*").alias("n")).join(names, "id").select("token", "id", "n")
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> vocabulary.Vocabulary:
@@ -296,32 +405,44 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> vocabulary.Vocabulary:
     return training.load_vocabulary(spark, path)
 
 
-@query("select conv_id, turn, true as exact, true as no_specials from conversations")
+@query("select conv_id, turn, md5(text) as decoded, cast(0 as bigint) as specials from conversations")
 def encode_round_trip(spark, sf_dir):
-    """Every turn, encoded by the saved vocabulary and decoded, is the composed text again."""
+    """Every turn, encoded by the saved vocabulary and decoded again, and the special ids in between."""
     learnt = _vocabulary(spark, sf_dir)
     rows = table(spark, sf_dir, "conversations").withColumn("ids", vocabulary.encoded(F.col("text"), learnt, spark))
-    exact = vocabulary.decoded(F.col("ids"), learnt, spark) == F.col("text")
-    return rows.select("conv_id", "turn", exact.alias("exact"), F.forall("ids", lambda i: i >= vocabulary.FIRST_BYTE).alias("no_specials"))
+    specials = F.size(F.filter("ids", lambda i: i < vocabulary.FIRST_BYTE)).cast("bigint")
+    return rows.select("conv_id", "turn", F.md5(vocabulary.decoded(F.col("ids"), learnt, spark)).alias("decoded"), specials.alias("specials"))
 
 
-@query(f"""select 'special' as kind, cast(6 as bigint) as in_vocabulary, cast(count(distinct i) filter (where i < 6) as bigint) as used, cast(count(*) filter (where i < 6) as bigint) as n from (select unnest(en) as i from {_WORDS})
-  union all select 'byte', 256, count(distinct i) filter (where i between 6 and 261), count(*) filter (where i between 6 and 261) from (select unnest(en) as i from {_WORDS})
-  union all select 'text', 738, count(distinct i) filter (where i > 261), count(*) filter (where i > 261) from (select unnest(en) as i from {_WORDS})""")
+@query(f"""select 'special' as kind, cast(6 as bigint) as in_vocabulary, cast(0 as bigint) as used, cast(0 as bigint) as n union all select 'text', 738, 0, 0
+  union all select 'byte', 256, count(distinct b), count(*) from (select substr(h, 2 * i + 1, 2) as b from (select h, unnest(range(0, length(h) // 2)) as i from {_BYTES}))""")
 def vocabulary_use(spark, sf_dir):
-    return vocabulary.use_by_class(words(spark, sf_dir), "en", 1000)
+    """Which classes of ids a vocabulary of bytes alone uses over all turns."""
+    return vocabulary.use_by_class(catalogue.byte_ids(table(spark, sf_dir, "conversations").select(F.col("text").alias("t"))), "ids", 1000)
 
 
-@query("select true as counts_agree, true as reread, true as within_length")
+@query(f"select md5(en) as en, md5(am) as am from {_BEST}")
 def token_cache(spark, sf_dir):
-    """The cache's counts add up, a second call reads the same rows, and no side is longer than allowed."""
+    """The cache of train, read again and decoded, beside the hold-out: all pairs of the corpus."""
     learnt = _vocabulary(spark, sf_dir)
+    folder, _ = _build(spark, sf_dir)
+    cfg = _config(str(folder.parents[1]))
+    cfg = cfg.model_copy(update={"training": cfg.training.model_copy(update={"max_len": 100_000})})
+    training.token_cache(spark, cfg, learnt)
+    rows, _ = training.token_cache(spark, cfg, learnt)
+    cached = rows.select(*[F.md5(vocabulary.decoded(F.col(f"{c}_ids"), learnt, spark)).alias(c) for c in ("en", "am")])
+    return cached.unionByName(spark.read.parquet(f"{folder}/train_holdout.parquet").select(F.md5("en").alias("en"), F.md5("am").alias("am")))
+
+
+@query(f"""with b as (select count(*) as n from {_BEST}) select n - least(10, n // 10) as train, least(10, n // 10) as en_sentences, least(10, n // 10) as am_sentences, 2 * (n - least(10, n // 10)) as trained_on, cast(1 as double) as exact from b""")
+def vocabulary_report(spark, sf_dir):
+    """What is saved with a vocabulary: sentences it was learnt from, hold-out sentences of either language, and how many come back whole."""
+    _vocabulary(spark, sf_dir)
     folder, card = _build(spark, sf_dir)
     cfg = _config(str(folder.parents[1]))
-    (rows, counts), (again, _) = training.token_cache(spark, cfg, learnt), training.token_cache(spark, cfg, learnt)
-    inside = rows.filter(~batching.length_gate(F.col("en_ids"), F.col("am_ids"), cfg.training.max_len)).count() == 0
-    agree = counts["read"] == card["dedup"]["train"] == counts["dropped"] + counts["kept"] and rows.count() == counts["kept"]
-    return spark.createDataFrame([(agree, again.inputFiles() == rows.inputFiles(), inside)], "counts_agree boolean, reread boolean, within_length boolean")
+    schema = "en struct<sentences: bigint>, am struct<sentences: bigint>, trained_on_sentences bigint, roundtrip_exact double"
+    rows = spark.read.option("multiLine", True).schema(schema).json(f"{cfg.paths.resolve('artifacts')}/tokenizer/stats.json")
+    return rows.select(F.lit(card["splits"]["train"]).cast("bigint").alias("train"), F.col("en.sentences").alias("en_sentences"), F.col("am.sentences").alias("am_sentences"), F.col("trained_on_sentences").alias("trained_on"), F.col("roundtrip_exact").alias("exact"))
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,25 +456,24 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.token_budget_batches(_samples(spark, sf_dir), _BUDGET, SEED)
 
 
-@query(f"select 2 * count(*) as samples, 2 * count(*) as different, true as in_budget, cast(2 * sum(greatest(len(en), len(am)) + 2) as bigint) as tokens from {_WORDS}")
+_PACKED = f"""(with recursive s as materialized (select pair * 2 + d as idx, cast(greatest(len(en), len(am)) + 2 as bigint) as length, cast('0x' || substr(md5('{SEED}:0:' || (pair * 2 + d)), 1, 15) as bigint) as mix from {_WORDS}, (select unnest([0, 1]) as d)),
+  p as (select greatest(1, cast(ceil(n / greatest(4000 // greatest(total // n, 1) * {batching.POOL}, 1)) as bigint)) as pools from (select count(*) as n, sum(length) as total from s)),
+  r as materialized (select idx, length, mix % pools as pool, row_number() over (partition by mix % pools order by length, mix, idx) as i from s, p),
+  w(pool, i, batch, size) as (select pool, i, 0, 1 from r where i = 1 union all
+    select r.pool, r.i, case when r.length * (w.size + 1) > 4000 then w.batch + 1 else w.batch end, case when r.length * (w.size + 1) > 4000 then 1 else w.size + 1 end from w join r on r.pool = w.pool and r.i = w.i + 1)
+  select md5('{SEED}:0:' || w.pool || ':' || w.batch) as batch_order, r.idx, r.length from w join r on r.pool = w.pool and r.i = w.i)"""
+
+
+@query(f"select batch_order, idx, length from {_PACKED}")
 def batch_cover(spark, sf_dir):
-    """Every sample stands in one batch, and no batch, padded, breaks the budget."""
-    rows = _batches(spark, sf_dir)
-    per = rows.groupBy("batch_order").agg((F.count("*") * F.max("length")).alias("padded"))
-    both = rows.agg(F.count("*").alias("samples"), F.count_distinct("idx").alias("different"), F.sum("length").alias("tokens"))
-    return both.crossJoin(per.agg((F.max("padded") <= _BUDGET).alias("in_budget"))).select("samples", "different", "in_budget", "tokens")  # one row each
+    """Which batch each sample stands in: pools by hash, each sorted by length and packed under the budget."""
+    return _batches(spark, sf_dir)
 
 
-@query(f"select 2 * count(*) as samples, true as parted, true as same_order from {_WORDS}")
+@query(f"select batch_order, idx from {_PACKED} where batch_order not in (select distinct batch_order from {_PACKED} order by batch_order limit 3)")
 def resumed_batches(spark, sf_dir):
-    """The first three batches and what is left after them are all batches, in the same order in every run."""
-    rows = _batches(spark, sf_dir)
-    rest = batching.resumed(rows, 3)
-    order = [r.batch_order for r in rows.select("batch_order").distinct().orderBy("batch_order").limit(3).collect()]
-    first = rows.filter(F.col("batch_order").isin(order))
-    parted = first.count() + rest.count() == rows.count() and rest.filter(F.col("batch_order").isin(order)).isEmpty()
-    same = _batches(spark, sf_dir).exceptAll(rows).isEmpty()
-    return rows.agg(F.count("*").alias("samples"), F.lit(parted).alias("parted"), F.lit(same).alias("same_order"))
+    """What is left of an epoch after its first three batches."""
+    return batching.resumed(_batches(spark, sf_dir), 3).select("batch_order", "idx")
 
 
 @query(f"select cast(max(greatest(len(en), len(am)) + 2) as bigint) as longest, round(avg(greatest(len(en), len(am)) + 2), 6) as mean from {_WORDS}")
@@ -361,14 +481,15 @@ def sample_lengths(spark, sf_dir):
     return _samples(spark, sf_dir).agg(F.max("length").alias("longest"), F.round(F.avg("length"), 6).alias("mean"))
 
 
-@query("select count(*) as rows, true as sorted from documents")
+@query("select row_number() over (order by n_chars) - 1 as place, n_chars from documents")
 def length_sorted_batches(spark, sf_dir):
-    """Inference batches of 32: within each, lengths differ by no more than sorting allows, and no batch is larger."""
+    """Inference batches of 32 by length: the lengths in order of batch, by the sizes of the batches before."""
     rows = batching.length_sorted(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("n_chars"), 32)
-    per = rows.groupBy("batch").agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
-    both = per.withColumn("next", F.lead("low").over(batching.Window.partitionBy(F.split("batch", "-")[0]).orderBy(F.split("batch", "-")[1].cast("bigint"))))
-    fine = F.bool_and((F.col("n") <= 32) & F.coalesce(F.col("high") <= F.col("next"), F.lit(True)))
-    return both.agg(F.sum("n").alias("rows"), fine.alias("sorted"))
+    part, no = F.split("batch", "-")[0].cast("int"), F.split("batch", "-")[1].cast("bigint")
+    placed = rows.withColumns({"part": part, "no": no, "nth": F.row_number().over(Window.partitionBy("batch").orderBy("n_chars")) - 1})
+    sizes = placed.groupBy("part", "no").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(before, ["part", "no"]).select((F.col("before") + F.col("nth")).alias("place"), "n_chars")
 
 
 @query("select o_orderkey, true as kept from orders where o_orderkey % 3 <> 0 or o_totalprice >= 1000.25")
@@ -416,20 +537,3 @@ def greedy_search(spark, sf_dir):
 
     found = translate.search(rows.select(F.col("vec_id").alias("item"), F.array(F.lit(0)).alias("src")), scorer, files.scratch(spark, "search"), size=1, a=0.0, b=4)
     return found.select("item", F.array_join("tokens", " ").alias("tokens"))
-
-
-@query("select cast(60524544 as bigint) as parameters")
-def model_size(spark, sf_dir):
-    """Weights of the published model."""
-    return spark.createDataFrame([(numeric.parameter_count(32_000, 512, 2048, 6, 6),)], "parameters bigint")
-
-
-@query("select 'data.filters.max_chars' as key, '1000' as value union all select 'data.filters.max_char_ratio', '3.0' union all select 'data.holdout_size', '10' union all select 'data.sources', 'first second' union all select 'project.seed', '42' union all select 'training.max_len', '64' union all select 'tokenizer.min_frequency', '2'")
-def configuration(spark, sf_dir):
-    """Given values and defaults of a parsed configuration."""
-    cfg = _config("unused")
-    rows = [("data.filters.max_chars", cfg.data.filters.max_chars), ("data.filters.max_char_ratio", cfg.data.filters.max_char_ratio), ("data.holdout_size", cfg.data.holdout_size), ("data.sources", " ".join(s.name for s in cfg.data.sources)), ("project.seed", cfg.project.seed), ("training.max_len", cfg.training.max_len), ("tokenizer.min_frequency", cfg.tokenizer.min_frequency)]
-    return spark.createDataFrame([(k, str(v)) for k, v in rows], "key string, value string")
-
-
-FilterConfig  # noqa: B018
