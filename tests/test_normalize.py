@@ -57,3 +57,18 @@ def test_dedup_key(spark):
 
 def test_null_and_composed_texts(spark):
     assert apply(spark, [None, "", "é", "&#233;&lt;"], n.compose_and_unescape) == [None, "", "é", "é<"]
+
+
+def test_casefold_is_full_on_every_code_point(spark):
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    rows = ["|".join(every[i : i + 2048]) for i in range(0, len(every), 2048)] + ["ΣΑΣ ς ẞß ﬃ İI ŉ ǰ", "plain ASCII", "ሰላም Word", ""]
+    assert apply(spark, rows, n.casefold) == [r.casefold() for r in rows]
+
+
+def test_the_sql_function_folds_alike(spark):
+    from twinlex.functions import registry
+
+    registry.register(spark, "nf_")
+    texts = ["Straße 12", "ΣΑΣ ς, ﬃ İ ŉ", "ሰላም Word", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.selectExpr("nf_dedup_key(t)").collect()] == apply(spark, texts, n.dedup_key)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinlex.plans.config import HeldOutConfig, SourceConfig
-from twinlex.sources import aligned, readers
+from twinlex.sources import aligned, archives, readers
 
 
 def test_hosted_tables_with_nested_columns(spark, tmp_path):
@@ -130,3 +130,21 @@ def test_numbers_follow_file_order(spark, tmp_path):
     (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(4000)))
     rows = readers.numbered(spark.read.text(str(tmp_path / "*.txt"))).orderBy("line_no").collect()
     assert [r.value for r in rows] == [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(4000)] and rows[-1].line_no == 4002
+
+
+@pytest.mark.parametrize("mode", ["w", "w:gz"])
+def test_archive_members_are_read_in_place(spark, tmp_path, mode):
+    archive = tmp_path / "set.tar"
+    texts = {f"root/dev/{code}.dev": f"{code} {'x' * 3000}\nሀ\n" for code in ("eng_Latn", "amh_Ethi", "fra_Latn")}
+    with tarfile.open(archive, mode) as tar:
+        for name, text in texts.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(text.encode())
+            tar.addfile(info, io.BytesIO(text.encode()))
+    found = archives.texts(spark, str(archive), ["dev/fra_Latn.dev", "dev/eng_Latn.dev"]).collect()
+    assert {r.name: r.value for r in found} == {archives.short(n): t for n, t in texts.items() if "amh" not in n}
+    assert (archives.offsets(str(archive)) is None) == (mode == "w:gz")
+    rows = readers.read_held_out(spark, HeldOutConfig(url=archive.as_uri()), tmp_path / "raw", "dev").orderBy("line_no").collect()
+    assert [(r.en_raw[:8], r.am_raw[:8]) for r in rows] == [("eng_Latn", "amh_Ethi"), ("ሀ", "ሀ")] and not (tmp_path / "raw").exists()
+    with pytest.raises(Exception, match="lacks"):
+        archives.texts(spark, str(archive), ["dev/none.dev"]).collect()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -160,9 +161,34 @@ def normalize(text: Column, lang: str, fold: bool = True, digits: bool = True) -
     return normalize_english(text) if lang == "en" else normalize_amharic(text, fold, digits)
 
 
+#: What isn't surely folded by lower(): all but ASCII and Ethiopic.
+UNCASED = r"[^\x00-\x7f\u1200-\u137f]"
+
+
+@cache
+def folds() -> tuple[str, str, dict[str, str]]:
+    """Full case folding by the interpreter's Unicode data: code points that become one other, what they become, and those that become several."""
+    changed = {c: f for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if (f := c.casefold()) != c}
+    one = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
 def casefold(text: Column) -> Column:
-    """lower() with sharp s written out. Some 320 rarer code points whose full folding differs from lower() are left as lower() has them."""
-    return F.lower(F.replace(F.replace(text, F.lit("ẞ"), F.lit("ss")), F.lit("ß"), F.lit("ss")))
+    """Full case folding of every code point, in the JVM.
+
+    Plain ASCII and Ethiopic texts need lower() alone. In others the few code points that become several are written out first
+    (sharp s by itself, as it is frequent; the rest only where a text has one), then all others are translated.
+    """
+    before, after, several = folds()
+    rest = {c: f for c, f in several.items() if c not in "ßẞ"}
+    table = F.create_map(*[F.lit(x) for pair in rest.items() for x in pair])
+
+    def full(t: Column) -> Column:
+        t = F.replace(F.replace(t, F.lit("ẞ"), F.lit("ss")), F.lit("ß"), F.lit("ss"))
+        written = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+        return F.translate(F.when(t.rlike(f"[{''.join(rest)}]"), written).otherwise(t), before, after)
+
+    return once(text, lambda t: F.when(t.rlike(UNCASED), full(t)).otherwise(F.lower(t)))
 
 
 def dedup_key(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from twinlex.functions import charclass as cc
-from twinlex.functions.normalize import FOLDED_SERIES
+from twinlex.functions.normalize import FOLDED_SERIES, UNCASED, folds
 
 _FROM = "".join(chr(c) for first, last, _ in FOLDED_SERIES for c in range(first, last + 1))
 _TO = "".join(chr(to + c - first) for first, last, to in FOLDED_SERIES for c in range(first, last + 1))
@@ -20,9 +20,21 @@ def _share(pattern: str) -> str:
     return f"case when {letters} > 0 then regexp_count(t, {_raw(pattern)}) / {letters} else 0.0D end"
 
 
+def _casefold(text: str) -> str:
+    """normalize.casefold as SQL, from the same tables."""
+    before, after, several = folds()
+    rest = {c: f for c, f in several.items() if c not in "ßẞ"}
+    pairs = ", ".join(f"'{c}', '{f}'" for c, f in rest.items())
+    sharp = "replace(replace(x, 'ẞ', 'ss'), 'ß', 'ss')"
+    written = f"array_join(transform(regexp_extract_all({sharp}, {_raw('(?s).')}, 0), c -> coalesce(try_element_at(map({pairs}), c), c)), '')"
+    full = f"translate(case when x rlike '[{''.join(rest)}]' then {written} else {sharp} end, '{before}', '{after}')"
+    folded = f"case when x rlike {_raw(UNCASED)} then {full} else lower(x) end"
+    return f"transform(array({text}), x -> {folded})[0]"
+
+
 #: Name, parameters, type, body.
 FUNCTIONS = (
-    ("dedup_key", "t string", "string", f"lower(replace(replace(regexp_replace(t, {_raw(cc.NOT_WORD_RUN)}, ''), 'ẞ', 'ss'), 'ß', 'ss'))"),
+    ("dedup_key", "t string", "string", _casefold(f"regexp_replace(t, {_raw(cc.NOT_WORD_RUN)}, '')")),
     ("fold_homophones", "t string", "string", f"translate(t, '{_FROM}', '{_TO}')"),
     ("squash_space", "t string", "string", f"trim(regexp_replace(t, {_raw(cc.SPACE + '+')}, ' '))"),
     ("ethiopic_share", "t string", "double", _share(cc.ETHIOPIC)),

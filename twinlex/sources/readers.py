@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from twinlex.functions import charclass as cc
 from twinlex.plans import files
 from twinlex.plans.config import HeldOutConfig, SourceConfig
+from twinlex.sources import archives
 from twinlex.sources.aligned import BLOCK, SIDES, AlignedText, line_index, size_of, unpacked
 
 SHARD_SCHEMA = "en string, am string, source string, score float, priority smallint, key_hash bigint"
@@ -140,11 +141,16 @@ def held_out_dir(cfg: HeldOutConfig, raw_dir: Path) -> Path:
 
 
 def read_held_out(spark: SparkSession, cfg: HeldOutConfig, raw_dir: Path, split: str) -> DataFrame:
-    """Rows (line_no, en_raw, am_raw) of one split; both languages must have as many lines."""
-    folder = held_out_dir(cfg, raw_dir) / split
+    """Rows (line_no, en_raw, am_raw) of one split; both languages must have as many lines. Archives are read where they lie."""
+    if cfg.local_dir is None and cfg.url is None:
+        raise ValueError("held-out texts need `local_dir` or `url`")
+    archive = None if cfg.local_dir is not None else str(staged(cfg.url, raw_dir / "held_out.tar.gz"))
 
     def side(code: str) -> DataFrame:
-        whole = spark.read.text(str(folder / f"{code}.{split}"), wholetext=True)
+        if archive is not None:
+            whole = archives.texts(spark, archive, [f"{split}/{code}.{split}"])
+        else:
+            whole = spark.read.text(str(cfg.local_dir / split / f"{code}.{split}"), wholetext=True)
         return whole.select(F.posexplode(split_lines(F.col("value"))).alias("line_no", "value"))
 
     return zip_lines(side(cfg.en_code), side(cfg.am_code), strict=True).select("line_no", F.col("left").alias("en_raw"), F.col("right").alias("am_raw"))
