@@ -111,3 +111,31 @@ def test_functions_in_sql(spark):
     row = spark.sql("select tl_dedup_key('Straße, 12!') k, tl_squash_space('  a\t b ') s, tl_length_penalty(7, 0.5) p, tl_inverse_sqrt_factor(400, 100) f, tl_inverse_sqrt_factor(0, 100) g, tl_perplexity(4.0, 2) x, tl_ethiopic_share('ሀb') e, tl_latin_share('12') l").first()
     assert (row.k, row.s, row.f, row.g, row.e, row.l) == ("strasse12", "a b", 0.5, 0.01, 0.5, 0.0)
     assert row.p == pytest.approx(math.sqrt(2)) and row.x == pytest.approx(math.exp(2))
+
+
+def test_many_held_out_keys_are_filtered_before_they_are_joined(spark, tmp_path):
+    keys = spark.range(0, 40_000).select(F.concat(F.lit("k"), F.col("id") * 7).alias("key")).cache()
+    pairs = spark.range(0, 20_000, 1, 4).select(F.concat(F.lit("a"), "id").alias("key_en"), F.concat(F.lit("k"), F.col("id") + 280_000 - 70).alias("key_am"), F.col("id"))
+    pairs = pairs.unionByName(spark.createDataFrame([("k7", None, -1), (None, None, -2), (None, "k14", -3), ("", "", -4)], "key_en string, key_am string, id bigint"))
+    found = corpus.leaks_marked(pairs, keys, str(tmp_path / "work"))
+    leaks = {r.id for r in found.filter("_leak").collect()}
+    assert leaks == {-1, -3} | {i for i in range(20_000) if i + 280_000 - 70 < 280_000 and (i + 280_000 - 70) % 7 == 0}
+    assert found.count() == 20_004
+    joined = spark.read.parquet(str(tmp_path / "work")).filter("_maybe = 'true'").count()  # what the exact joins shuffle
+    assert len(leaks) <= joined < len(leaks) + 600
+
+
+def test_a_build_with_many_keys_gives_the_same(spark, tmp_path, monkeypatch):
+    from test_build import LEAKED_DEV, config, pair, saved, text_source
+
+    from twinlex.plans.build import build
+
+    cards = []
+    for many in (10**9, 0):
+        monkeypatch.setattr(corpus, "MANY_KEYS", many)
+        root = tmp_path / str(many)
+        root.mkdir()
+        card = build(spark, config(root, [text_source(root, "s", [pair(i) for i in range(15)] + [pair(LEAKED_DEV), ("x", "ሀ")])]))
+        cards.append(({k: v for k, v in card["sources"][0].items() if k != "seconds"}, saved(root, "train")))
+        assert not (root / "out/shards/s.judged").exists()
+    assert cards[0] == cards[1] and cards[0][0]["rejected"] == {"too_short": 1, "flores": 1}

@@ -20,18 +20,84 @@ def held_out_keys(texts: DataFrame, *columns: str) -> DataFrame:
     return keys.filter("key is not null and key <> ''").distinct()
 
 
-def with_reasons(pairs: DataFrame, cfg: FilterConfig, keys: DataFrame | None = None) -> DataFrame:
+def with_reasons(pairs: DataFrame, cfg: FilterConfig, keys: DataFrame | None = None, work: str | None = None) -> DataFrame:
     """pairs with key_en, key_am and reason: the first rule that rejects a pair, then the held-out rule, or null.
 
-    Each side is matched with the held-out keys by an existence join, which Spark broadcasts if the keys are few.
+    Each side is matched with the held-out keys by an existence join, which Spark broadcasts if the keys are few. With a folder
+    `work` keys may be many: see leaks_marked, which writes the judged pairs there.
     """
     out = pairs.withColumns({"key_en": dedup_key(F.col("en")), "key_am": dedup_key(F.col("am")), "reason": reject_reason(F.col("en"), F.col("am"), cfg)})
     if keys is None:
         return out
+    out = leaks_marked(out, keys, work) if work else _joined(out, keys)
+    return out.withColumn("reason", F.coalesce("reason", F.when(F.col("_leak"), HELD_OUT))).drop("_leak")
+
+
+def _joined(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     for side in ("en", "am"):
-        out = out.join(keys.select(F.col("key").alias(f"key_{side}"), F.lit(True).alias(f"_leak_{side}")), f"key_{side}", "left")
-    leak = F.coalesce(F.col("_leak_en"), F.col("_leak_am"), F.lit(False))
-    return out.withColumn("reason", F.coalesce("reason", F.when(leak, HELD_OUT))).drop("_leak_en", "_leak_am")
+        pairs = pairs.join(keys.select(F.col("key").alias(f"key_{side}"), F.lit(True).alias(f"_leak_{side}")), f"key_{side}", "left")
+    return pairs.withColumn("_leak", F.coalesce("_leak_en", "_leak_am", F.lit(False))).drop("_leak_en", "_leak_am")
+
+
+def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """A Bloom filter of keys in blocks of 4,096 bits: rows (block, words array<bigint>), and how many blocks there may be.
+
+    Bits are set by an aggregate that merges partial results. Blocks, about 12 bits a key, are bounded, so that the filter can be
+    broadcast whatever the number of keys; beyond the bound it lets more keys through, and never fewer.
+    """
+    blocks = int(min(max(1, -(-keys.count() * 12 // 4096)), _BLOCKS))
+    spots = keys.select(_block(F.col("key"), blocks).alias("block"), F.explode(_spots(F.col("key"))).alias("spot"))
+    word = F.shiftright("spot", 6)
+    bits = spots.groupBy("block", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("spot").bitwiseAND(F.lit(63)))).alias("bits"))
+    held = bits.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("set"))
+    none = F.lit(0).cast("bigint")
+    return held.select("block", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(F.try_element_at("set", w), none)).alias("words")), blocks
+
+
+#: Blocks of a filter of keys at most: 32 MB.
+_BLOCKS = 1 << 16
+#: Held-out keys from which on pairs are filtered before they are joined.
+MANY_KEYS = 200_000
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _spots(key: Column) -> Column:
+    """Four bits of a block, 12 bits of a second hash each."""
+    h = F.xxhash64(key, F.lit(1))
+    return F.array(*[F.shiftrightunsigned(h, 12 * i).bitwiseAND(F.lit(4095)).cast("int") for i in range(4)])
+
+
+def possible(rows: DataFrame, keys: tuple[DataFrame, int], *columns: str) -> DataFrame:
+    """rows with _maybe: whether one of the columns passes a key_filter. Each column is looked up in the broadcast blocks; nothing is shuffled."""
+    blocks, n = keys
+
+    def passes(column: str, words: str) -> Column:
+        hit = lambda s: F.getbit(F.get(F.col(words), F.shiftright(s, 6)), s.bitwiseAND(F.lit(63))) == 1
+        return F.coalesce(F.forall(_spots(F.col(column)), hit), F.lit(False))
+
+    out, tests = rows, []
+    for c in columns:
+        out = out.withColumn(f"_block_{c}", _block(F.col(c), n)).join(F.broadcast(blocks.select(F.col("block").alias(f"_block_{c}"), F.col("words").alias(f"_words_{c}"))), f"_block_{c}", "left")
+        tests.append(passes(c, f"_words_{c}"))
+    maybe = tests[0]
+    for t in tests[1:]:
+        maybe = maybe | t
+    return out.select(*rows.columns, maybe.alias("_maybe"))
+
+
+def leaks_marked(pairs: DataFrame, keys: DataFrame, work: str) -> DataFrame:
+    """pairs with _leak, for more keys than a broadcast takes: a filter of the keys lets only possible leaks into the exact joins.
+
+    Pairs are written once to the folder `work`, parted by what the filter says; those that can't be leaks aren't shuffled at all.
+    """
+    rows = possible(pairs, key_filter(keys), "key_en", "key_am")
+    rows.write.mode("overwrite").partitionBy("_maybe").parquet(work)
+    saved = pairs.sparkSession.read.schema(rows.schema).parquet(work)
+    sure = saved.filter("not _maybe").drop("_maybe").withColumn("_leak", F.lit(False))
+    return sure.unionByName(_joined(saved.filter("_maybe").drop("_maybe"), keys).select(*pairs.columns, "_leak"))
 
 
 def reason_counts(rows: DataFrame, *by: str) -> DataFrame:

@@ -41,9 +41,9 @@ def write_held_out(spark: SparkSession, cfg: DataConfig, raw_dir, out_dir) -> tu
     return sizes, keys
 
 
-def judged(rows: DataFrame, cfg: DataConfig, keys: DataFrame) -> DataFrame:
-    """Raw pairs with their normalized sides and the reason they go, if they do."""
-    return corpus.with_reasons(normalized(rows, cfg), cfg.filters, keys)
+def judged(rows: DataFrame, cfg: DataConfig, keys: DataFrame, work: str | None = None) -> DataFrame:
+    """Raw pairs with their normalized sides and the reason they go, if they do. work: a folder, where held-out keys are many."""
+    return corpus.with_reasons(normalized(rows, cfg), cfg.filters, keys, work)
 
 
 def write_shard(spark: SparkSession, src: SourceConfig, priority: int, cfg: DataConfig, raw_dir, shard: str, keys: DataFrame) -> dict:
@@ -54,10 +54,13 @@ def write_shard(spark: SparkSession, src: SourceConfig, priority: int, cfg: Data
     from twinlex.functions.filters import HELD_OUT, REASONS
 
     began = time.time()
-    rows = judged(readers.read_source(spark, src, raw_dir), cfg, keys)
+    work = f"{shard}.judged" if keys.count() > corpus.MANY_KEYS else None
+    rows = judged(readers.read_source(spark, src, raw_dir), cfg, keys, work)
     kept = lambda c: F.when(F.col("reason").isNull(), c)
     columns = {"en": F.col("en"), "am": F.col("am"), "source": F.lit(src.name), "score": F.col("score"), "priority": F.lit(priority).cast("smallint"), "key_hash": key_hash(F.col("key_en"), F.col("key_am"))}
     sink.write_rows(rows.select(*[kept(c).alias(n) for n, c in columns.items()], "reason"), f"{shard}.parquet", marker=f"{shard}.stats.json", about=json.dumps({"name": src.name}), began=began)
+    if work:
+        files.delete(spark, work)
     stats = shard_stats(spark, shard)
     return stats | {"rejected": {r: stats["rejected"][r] for r in (*REASONS, HELD_OUT) if r in stats["rejected"]}}
 

@@ -211,6 +211,20 @@ def log_append(spark, sf_dir):
     return spark.read.schema(rows.schema).json(folder)
 
 
+@query("select event_type as run, epoch_us(ts) as step, min(value) as value, min(min(value)) over (partition by event_type order by ts) as best from events group by event_type, ts")
+def stream_best(spark, sf_dir):
+    """The running best of each kind of event over a stream of all events; a line of each kind from far ahead moves the watermark past them."""
+    folder = files.scratch(spark, "log")
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.col("ts").cast("timestamp_ntz").alias("at")).agg(F.min("value").alias("value"))
+    rows = rows.withColumn("step", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', at)"))
+    ahead = rows.groupBy("run").agg(F.max("at").alias("at")).select("run", (F.col("at") + F.expr("interval 30 days")).alias("at"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("bigint").alias("step"))
+    rows.unionByName(ahead).withColumn("time", F.col("at").cast("timestamp")).select("run", "step", "value", "time").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("run string, step bigint, value double, time timestamp").parquet(f"{folder}/in")
+    found = feeds.best_so_far(stream.withColumn("step", F.coalesce("step", F.lit(1 << 62))))
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("run string, step bigint, value double, best double").parquet(f"{folder}/out").filter(F.col("step") < 1 << 62)
+
+
 @query("select conv_id, turn, case when turn % 3 = 0 then '' else md5(text) end as output from conversations")
 def blank_outputs(spark, sf_dir):
     """Every third turn is blank: spaces of several kinds, whatever a search would make of them."""

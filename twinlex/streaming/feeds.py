@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from twinlex.plans.build import judged
 from twinlex.plans.config import DataConfig
@@ -69,3 +73,38 @@ def append_log(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").json(folder)
 
 
+
+
+_WAITING = "best double, steps array<bigint>, times array<bigint>, values array<double>"
+
+
+def best_so_far(log: DataFrame, run: str = "run", step: str = "step", value: str = "value", time: str = "time", late: str = "10 minutes") -> DataFrame:
+    """Rows (run, step, value, best) of an arriving log, in which later steps of a run have later times: as running_min, run by run.
+
+    A line waits in its run's state until the watermark has passed its time: then no earlier one can come, and it leaves with the
+    best value so far. Lines may arrive in any order within the watermark; later ones are dropped, as the watermark has it. Lines
+    without a time are left out. A null or NaN value leaves the best as it is; of a run whose values were all null so far it is null.
+    """
+    rows = log.select(F.col(run).cast("string").alias("run"), F.col(step).cast("bigint").alias("step"), F.col(value).cast("double").alias("value"), F.col(time).alias("time")).filter("time is not null").withWatermark("time", late)
+
+    def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best, steps, times, values = state.get if state.exists else (None, [], [], [])
+        waiting = list(zip(times, steps, values, strict=True))
+        for frame in frames:
+            at = (frame["time"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+            waiting += zip(at, frame["step"].tolist(), [None if pd.isna(v) else float(v) for v in frame["value"]], strict=True)
+        reached, out = state.getCurrentWatermarkMs(), []
+        waiting.sort(key=lambda w: (w[1], w[0]))
+        left = []
+        for at, n, v in waiting:
+            if at > reached:
+                left.append((at, n, v))
+                continue
+            best = v if best is None else best if v is None else min(best, v)
+            out.append((key[0], n, v, best))
+        state.update((best, [w[1] for w in left], [w[0] for w in left], [w[2] for w in left]))
+        if left:
+            state.setTimeoutTimestamp(max(min(w[0] for w in left), reached + 1))
+        yield pd.DataFrame(out, columns=["run", "step", "value", "best"])
+
+    return rows.groupBy("run").applyInPandasWithState(settle, "run string, step bigint, value double, best double", _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
