@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from twinlex.functions import filters, registry
 from twinlex.functions.normalize import FOLDED_SERIES, INVISIBLE, NUMERALS, QUOTES_FROM, dedup_key, key_hash, normalize_amharic, numeral_value
-from twinlex.operators import batching, corpus, metrics, vocabulary
+from twinlex.operators import batching, corpus, idcache, metrics, vocabulary
 from twinlex.plans import build, catalogue, files, training, translate
 from twinlex.plans.catalogue import GEEZ, LATIN, SEED, geez, query, table, turns, words
 from twinlex.plans.config import Config, HeldOutConfig, SourceConfig, SubsetConfig
@@ -448,6 +448,17 @@ def token_cache(spark, sf_dir):
     return cached.unionByName(spark.read.parquet(f"{folder}/train_holdout.parquet").select(F.md5("en").alias("en"), F.md5("am").alias("am")))
 
 
+@query("select conv_id * 1000 + turn as sample, md5(text) as text, role from conversations where conv_id % 7 = 3")
+def flat_samples(spark, sf_dir):
+    """Turns of some conversations, read by their ranges from flat files of the ids of all turns and decoded."""
+    learnt, folder = vocabulary.learn({vocabulary.SPACE: 1}, 263, 1), files.scratch(spark, "flat")
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "conv_id", F.col("text").alias("t"), "role")
+    ids = rows.select("pair", vocabulary.encoded(F.col("t"), learnt, spark).alias("en_ids"), vocabulary.encoded(F.col("role"), learnt, spark).alias("am_ids"))
+    idcache.write(ids.repartition(5), folder)
+    found = idcache.fetch(rows.filter("conv_id % 7 = 3"), folder, "pair")
+    return found.select("sample", F.md5(vocabulary.decoded(F.col("en_ids"), learnt, spark)).alias("text"), vocabulary.decoded(F.col("am_ids"), learnt, spark).alias("role"))
+
+
 @query(f"""with b as (select count(*) as n from {_BEST}) select n - least(10, n // 10) as train, least(10, n // 10) as en_sentences, least(10, n // 10) as am_sentences, 2 * (n - least(10, n // 10)) as trained_on, cast(1 as double) as exact from b""")
 def vocabulary_report(spark, sf_dir):
     """What is saved with a vocabulary: sentences it was learnt from, hold-out sentences of either language, and how many come back whole."""

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlex.operators import batching, corpus, metrics, vocabulary
+from twinlex.operators import batching, corpus, idcache, metrics, vocabulary
 from twinlex.operators.vocabulary import Vocabulary
 from twinlex.plans import files
 from twinlex.plans.config import Config, TrainingConfig
@@ -84,6 +84,21 @@ def token_cache(spark: SparkSession, cfg: Config, learnt: Vocabulary) -> tuple[D
     return spark.read.parquet(f"{path}.parquet"), json.loads(files.read_text(spark, f"{path}.stats.json"))
 
 
+def flat_cache(spark: SparkSession, cfg: Config, learnt: Vocabulary) -> str:
+    """The folder of the token cache as flat files, from which idcache.fetch reads single samples; written once for each set of inputs."""
+    rows, _ = token_cache(spark, cfg, learnt)
+    folder = f"{rows.inputFiles()[0].rsplit('/', 1)[0].removesuffix('.parquet')}.flat"
+    if not files.exists(spark, f"{folder}/index/_SUCCESS"):
+        idcache.write(rows, folder)
+    return folder
+
+
+def batch_samples(batches: DataFrame, number: str, folder: str, directions: int) -> DataFrame:
+    """Rows (sample, en_ids, am_ids) of the pairs of one batch of an epoch; nothing else of the cache is read."""
+    pairs = batches.filter(F.col("batch_order") == number).select(F.floor(F.col("idx") / directions).alias("sample")).distinct()
+    return idcache.fetch(pairs, folder)
+
+
 def epoch(pairs: DataFrame, cfg: TrainingConfig, seed: int, number: int = 0, done: int = 0) -> DataFrame:
     """Rows (batch_order, idx, length) of an epoch, without its first `done` batches."""
     samples = batching.directed(pairs, cfg.directions, "pair", "en_ids", "am_ids").select("idx", "length")
