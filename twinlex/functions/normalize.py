@@ -181,7 +181,7 @@ def casefold(text: Column) -> Column:
     """
     before, after, several = folds()
     rest = {c: f for c, f in several.items() if c not in "ßẞ"}
-    table = F.create_map(*[F.lit(x) for pair in rest.items() for x in pair])
+    table = F.str_to_map(F.lit(",".join(map("=".join, rest.items()))), F.lit(","), F.lit("="))  # one node of a plan, folded to a literal
 
     def full(t: Column) -> Column:
         t = F.replace(F.replace(t, F.lit("ẞ"), F.lit("ss")), F.lit("ß"), F.lit("ss"))

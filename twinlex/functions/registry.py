@@ -24,9 +24,9 @@ def _casefold(text: str) -> str:
     """normalize.casefold as SQL, from the same tables."""
     before, after, several = folds()
     rest = {c: f for c, f in several.items() if c not in "ßẞ"}
-    pairs = ", ".join(f"'{c}', '{f}'" for c, f in rest.items())
+    table = f"str_to_map('{','.join(map('='.join, rest.items()))}', ',', '=')"
     sharp = "replace(replace(x, 'ẞ', 'ss'), 'ß', 'ss')"
-    written = f"array_join(transform(regexp_extract_all({sharp}, {_raw('(?s).')}, 0), c -> coalesce(try_element_at(map({pairs}), c), c)), '')"
+    written = f"array_join(transform(regexp_extract_all({sharp}, {_raw('(?s).')}, 0), c -> coalesce(try_element_at({table}, c), c)), '')"
     full = f"translate(case when x rlike '[{''.join(rest)}]' then {written} else {sharp} end, '{before}', '{after}')"
     folded = f"case when x rlike {_raw(UNCASED)} then {full} else lower(x) end"
     return f"transform(array({text}), x -> {folded})[0]"
