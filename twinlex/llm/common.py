@@ -99,6 +99,14 @@ def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    forget(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of steps that are written. Spark does so once the driver's JVM has collected their
+    plans, which a small driver with much memory free puts off for up to half an hour; here it is asked to collect them now."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 _memory: dict[str, dict] = {}

@@ -33,7 +33,7 @@ _BITS, _MOST_BITS = 1024, 1 << 20
 #: 64-bit numbers of the shorter parities that a join compares by itself, before a pair becomes a row.
 _SKETCH = 8
 #: How often the sets under a value are held against one of them, before those that are still in different groups are compared in pairs.
-_TURNS = 3
+_TURNS = 1
 
 
 def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -228,6 +228,19 @@ def met(found: DataFrame) -> DataFrame:
     return common.stored(both.select("h", "sid", "where", F.col("_lead.sid").alias("lead"), F.col("_lead.where").alias("lead_where")), "met-sets")
 
 
+def joined(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows (sid, root), written, once the links of new (u, v) hold too: only the groups that they join are worked out again."""
+    of = lambda x: roots.select(F.col("sid").alias(x), F.col("root").alias(f"root_{x}"))
+    ends = new.join(few(of("u")), "u", "left").join(few(of("v")), "v", "left")
+    moved = common.components(ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")))
+    moved = common.stored(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "copy-moved")
+    first = moved.join(roots.select("sid"), F.col("root") == F.col("sid"), "left_anti").select(F.col("root").alias("sid"), F.col("_to").alias("root"))
+    whole = roots.join(few(moved), "root", "left").select("sid", F.coalesce("_to", "root").alias("root"))
+    out = common.stored(whole.unionByName(first), "copy-roots")
+    common.drop_stored(moved)
+    return out
+
+
 def _rooted(near: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (h, sid, where, root): where sets stand, each with the least id of those that links connect with it so far."""
     return near.select("h", "sid", "where").join(few(roots), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -252,9 +265,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         leads = rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), lead).filter("_low < _high").select("h", "_lead")
         star = rooted.join(leads, "h").filter((F.col("root") != F.col("_lead.root")) & may_be_alike(F.col("where"), F.col("_lead.where")))
         new = verified(star.select(*pair("sid", "_lead.sid")).distinct(), found, docs, key, text, width)
-        links = common.stored(links.unionByName(new), "copy-links")
-        roots = common.stored(common.components(links).withColumnRenamed("node", "sid"), "copy-roots")
-        tables += [new, links, roots]
+        roots = joined(roots, new)
+        tables += [new, roots]
     rooted = _rooted(near, roots)
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
     sketches = found.filter("odd is not null").select("sid", "sketch").dropDuplicates(["sid"])
@@ -266,12 +278,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     alike = (F.col("root_a") < F.col("root_b")) & may_be_alike(F.col("where_a"), F.col("where_b")) & (9 * apart_by <= size)
     across = a.join(b, (F.col("h") == F.col("h_b")) & alike).select(*pair("sid_a", "sid_b")).distinct()
     more = verified(across, found, docs, key, text, width)
-    whole = common.components(links.unionByName(more))
+    whole = joined(roots, more)
     least = found.groupBy("sid").agg(F.min(key).alias("least"))
-    rows = least.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = least.join(whole, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = rows.groupBy("root").agg(F.min("least").alias("component_id"))
     of = common.stored(rows.join(smallest, "root").select("sid", "component_id"), "copy-classes")
-    for table in (near, left, more, *tables):
+    for table in (near, left, more, whole, *tables):
         common.drop_stored(table)
     return found.select(key, "sid"), of
 
