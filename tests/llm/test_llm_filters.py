@@ -108,8 +108,12 @@ def test_quality_measures_match_brute_force(odd_docs, odd_rows, no_docs):
     assert perplexity.judge(no_docs).count() == 0
 
 
-def plain_kneser_ney(counts, order):
-    """Interpolated modified Kneser-Ney from the definition: probability of an n-gram (a tuple) by recursion."""
+def plain_kneser_ney(counts, order, most=1 << 40):
+    """Interpolated modified Kneser-Ney from the definition: probability of an n-gram (a tuple) by recursion.
+
+    Of the longest order, the n-grams from the lowest count on that at most `most` reach are held, of each one below a quarter of
+    that; the others count, but their mass backs off.
+    """
     tables = {order: Counter(counts)}
     for n in range(order - 1, 0, -1):
         tables[n] = Counter(g[1:] for g in tables[n + 1])
@@ -120,28 +124,32 @@ def plain_kneser_ney(counts, order):
         return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3)]
 
     d = {n: discounts(t) for n, t in tables.items()}
+    fits = lambda n, c: sum(v >= c for v in tables[n].values()) <= most >> 2 * (order - n)
+    least = {n: min((c for c in t.values() if fits(n, c)), default=1 << 60) for n, t in tables.items()}
 
     def p(gram):
         n = len(gram)
         if not n:
             return 1 / (1 << perplexity.BITS)
         followers = {g[-1]: c for g, c in tables[n].items() if g[:-1] == gram[:-1]}
-        if not followers:
+        held = {w: c for w, c in followers.items() if c >= least[n]}
+        if not held:
             return p(gram[1:])
-        total, cut = sum(followers.values()), {w: d[n][min(c, 3) - 1] for w, c in followers.items()}
-        c = followers.get(gram[-1], 0)
-        return (c - cut.get(gram[-1], 0)) / total + sum(cut.values()) / total * p(gram[1:])
+        total, keeps = sum(followers.values()), {w: c - d[n][min(c, 3) - 1] for w, c in held.items()}
+        return keeps.get(gram[-1], 0) / total + (1 - sum(keeps.values()) / total) * p(gram[1:])
 
     return p
 
 
-def test_kneser_ney_matches_the_definition():
+@pytest.mark.parametrize("most", [1 << 22, 24, 5, 0])
+def test_kneser_ney_matches_the_definition(spark, most):
     texts = pa.array(["the cat sat on the mat. the cat ran", "a bat sat", "", None, "tt", "ÀÉ 12\n#x"])
+    docs = spark.createDataFrame([(t,) for t in texts.to_pylist()], "text string")
     keys, n = perplexity.grams(*common.buffers(texts))
     assert n.tolist() == [35, 9, 0, 0, 2, 8]
-    model = perplexity.fit(*perplexity.tallied(keys))
+    model = perplexity.train(docs, most=most)
     split = lambda k: tuple(int(k) >> perplexity.BITS * (3 - i) & perplexity.MASK for i in range(4))
-    p = plain_kneser_ney(Counter(map(split, keys)), 4)
+    p = plain_kneser_ney(Counter(map(split, keys)), 4, most)
     rng = np.random.default_rng(3)
     mixed = np.array([sum(int(rng.choice(keys) >> np.uint64(perplexity.BITS * rng.integers(0, 4)) & np.uint64(perplexity.MASK)) << perplexity.BITS * i for i in range(4)) for _ in range(300)], np.uint64)
     probe = np.concatenate([keys, mixed, rng.integers(0, 1 << 48, 100).astype(np.uint64)])
@@ -155,10 +163,19 @@ def test_symbols_are_told_apart():
     assert len({int(perplexity.grams(*common.buffers(pa.array([c])))[0][0]) for c in "0123456789"}) == 1
 
 
-def test_rare_grams_are_left_out_beyond_the_bound(spark):
-    docs = spark.createDataFrame([("abcabcabc" * 5 + "xyz",), ("abc", )], "text string")
-    every, some = perplexity.train(docs), perplexity.train(docs, most=4)
-    assert len(every.keys[0]) > 4 >= len(some.keys[0]) > 0 and set(some.keys[0].tolist()) < set(every.keys[0].tolist())
+def test_rare_grams_back_off_beyond_the_bound(spark):
+    docs = spark.createDataFrame([("abcabcabc" * 5 + "xyz",), ("abc",), ("the cat sat on the mat",)] * 3, "text string")
+    every, some = perplexity.train(docs), perplexity.train(docs, most=24)
+    again = perplexity.train(docs.repartition(16), most=24)
+    for a, b, c in zip(every.keys[:3], some.keys, again.keys, strict=False):
+        assert 0 < len(b) < len(a) and set(b.tolist()) < set(a.tolist()) and (b == c).all()
+    for a, b in zip(some.log_p + some.log_b, again.log_p + again.log_b, strict=True):
+        assert (a == b).all()
+    symbols = np.arange(1 << perplexity.BITS, dtype=np.uint64)
+    for context in [*every.contexts[0][:6].tolist(), 12345]:
+        grams = (np.uint64(context) << np.uint64(perplexity.BITS)) | symbols
+        for model in (every, some):
+            assert np.exp(model.log_prob(grams).astype(np.float64)).sum() == pytest.approx(1, rel=1e-4)
 
 
 def test_bands_and_verdict_match_brute_force(spark, odd_docs, odd_rows, monkeypatch):
