@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: Ids framing a sequence: a tag or begin, and an end.
 FRAME = 2
@@ -119,9 +120,24 @@ def offsets(lengths: DataFrame, order: str, length: str) -> DataFrame:
 
 
 def length_sorted(rows: DataFrame, length: Column, batch_rows: int) -> DataFrame:
-    """Batches for inference: rows range-partitioned and sorted by length, numbered within a partition."""
-    near = rows.withColumn("_length", length).repartitionByRange("_length").sortWithinPartitions("_length")
-    return near.withColumn("batch", F.concat_ws("-", F.spark_partition_id(), F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / batch_rows))).drop("_length")
+    """rows with batch: `batch_rows` at a time in order of length (whole numbers; null first), equal lengths by a hash of the row.
+
+    A row's batch follows from the rows alone, whatever their layout, so that a plan evaluated twice finds the same batches. Rows
+    are counted by length, frequent lengths in several slots; a row's place is its slot's start and its rank there.
+    """
+    hashed = [F.col(f.name) for f in rows.schema if not _holds_map(f.dataType)]
+    found = rows.withColumns({"_length": F.coalesce(length, F.lit(-1)).cast("bigint"), "_mix": F.xxhash64(*hashed)})
+    most = found.groupBy("_length").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    slots = max(1, -(-most // _SPAN))
+    found = found.withColumn("_slot", F.col("_length") * slots + F.pmod("_mix", F.lit(slots)))
+    starts = offsets(found.groupBy("_slot").agg(F.count("*").alias("_n")), "_slot", "_n").select("_slot", F.col("offset").alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_slot").orderBy("_mix")) - 1
+    placed = found.withColumn("_nth", nth).join(starts, "_slot")
+    return placed.withColumn("batch", F.floor((F.col("_start") + F.col("_nth")) / batch_rows)).select(*rows.columns, "batch")
+
+
+def _holds_map(kind: DataType) -> bool:
+    return '"map"' in kind.json()
 
 
 def as_iterator(batches: DataFrame) -> Iterator[list[int]]:
