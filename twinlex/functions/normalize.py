@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import pandas as pd
@@ -161,8 +161,8 @@ def normalize(text: Column, lang: str, fold: bool = True, digits: bool = True) -
     return normalize_english(text) if lang == "en" else normalize_amharic(text, fold, digits)
 
 
-#: What isn't surely folded by lower(): all but ASCII and Ethiopic.
-UNCASED = r"[^\x00-\x7f\u1200-\u137f]"
+#: What isn't surely folded by lower() but for sharp s and the micro sign: all but Latin-1 and Ethiopic.
+UNCASED = r"[^\x00-\xff\u1200-\u137f]"
 
 
 @cache
@@ -176,8 +176,9 @@ def folds() -> tuple[str, str, dict[str, str]]:
 def casefold(text: Column) -> Column:
     """Full case folding of every code point, in the JVM.
 
-    Plain ASCII and Ethiopic texts need lower() alone. In others the few code points that become several are written out first
-    (sharp s by itself, as it is frequent; the rest only where a text has one), then all others are translated.
+    Latin-1 and Ethiopic texts need lower() alone, but for sharp s and the micro sign. In others the few code points that become
+    several are written out first (sharp s by itself, as it is frequent; the rest only where a text has one), then all others
+    are translated.
     """
     before, after, several = folds()
     rest = {c: f for c, f in several.items() if c not in "ßẞ"}
@@ -186,9 +187,21 @@ def casefold(text: Column) -> Column:
     def full(t: Column) -> Column:
         t = F.replace(F.replace(t, F.lit("ẞ"), F.lit("ss")), F.lit("ß"), F.lit("ss"))
         written = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-        return F.translate(F.when(t.rlike(f"[{''.join(rest)}]"), written).otherwise(t), before, after)
+        return F.translate(F.when(t.rlike(f"[{_ranges(rest)}]"), written).otherwise(t), before, after)
 
-    return once(text, lambda t: F.when(t.rlike(UNCASED), full(t)).otherwise(F.lower(t)))
+    plain = lambda t: F.lower(F.replace(F.replace(t, F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ")))
+    return once(text, lambda t: F.when(t.rlike(UNCASED), full(t)).otherwise(plain(t)))
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """The characters as ranges of a regex class: Java tests the members of a class one after another."""
+    points, found = sorted(map(ord, chars)), []
+    for p in points:
+        if found and p == found[-1][1] + 1:
+            found[-1][1] = p
+        else:
+            found.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in found)
 
 
 def dedup_key(text: Column) -> Column:
