@@ -16,6 +16,10 @@ from twinlex.plans.config import Config, DataConfig, SourceConfig
 from twinlex.sources import readers, sink
 
 
+#: Rows of a held-out split in a file; files follow one another in order of line.
+HELD_OUT_ROWS = 2000
+
+
 def normalized(rows: DataFrame, cfg: DataConfig, en: str = "en", am: str = "am") -> DataFrame:
     rule, app = cfg.normalize, rows.sparkSession.sparkContext.applicationId
     return rows.withColumns({"en": _side(app, en, "en", True, True), "am": _side(app, am, "am", rule.fold_homophones, rule.numerals_to_digits)})
@@ -31,9 +35,11 @@ def write_held_out(spark: SparkSession, cfg: DataConfig, raw_dir, out_dir) -> tu
     """Held-out splits as Parquet (normalized and raw); sizes by name, and the keys that training pairs must not have."""
     sizes, keys = {}, None
     for split, name in readers.HELD_OUT_FILES.items():
-        rows = normalized(readers.read_held_out(spark, cfg.flores, raw_dir, split), cfg, "en_raw", "am_raw")
+        raw = readers.read_held_out(spark, cfg.flores, raw_dir, split)
         path = f"{out_dir}/{name}.parquet"
-        rows.orderBy("line_no").select("en", "am", "en_raw", "am_raw").coalesce(1).write.mode("overwrite").parquet(path)
+        # dealt out by line number before they are normalized: a file of lines is read by one task
+        spread = raw.repartitionByRange(max(1, -(-raw.count() // HELD_OUT_ROWS)), "line_no").sortWithinPartitions("line_no")
+        normalized(spread, cfg, "en_raw", "am_raw").select("en", "am", "en_raw", "am_raw").write.mode("overwrite").parquet(path)
         saved = spark.read.parquet(path)
         sizes[name] = saved.count()
         own = corpus.held_out_keys(saved, "en", "am", "en_raw", "am_raw")
