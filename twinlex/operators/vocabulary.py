@@ -5,11 +5,14 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -21,6 +24,8 @@ SPACE = "▁"
 ASCII_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Pieces whose ids a worker remembers.
 _MEMO = 1 << 18
+#: Rows of a batch that are Python objects at a time.
+_ROWS = 64
 _APART = r"\p{P}\p{N}!-/:-@\[-`{-~"
 PIECE = f"[{_APART}]|{SPACE}[^{SPACE}{_APART}]*|[^{SPACE}{_APART}]+"
 
@@ -189,10 +194,18 @@ def encoded(text: Column, vocabulary: Vocabulary, spark) -> Column:
     """array<int> without specials. Pieces are cut in the JVM; the merges are broadcast once."""
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(lists: pd.Series) -> pd.Series:
-        one = shared.value.encode_piece
-        return lists.map(lambda ps: None if ps is None else [i for p in ps for i in one(p)])
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def encode(lists: pa.Array) -> pa.Array:
+        one, ids, ends = shared.value.encode_piece, array("i"), [0]
+        for at in range(0, len(lists), _ROWS):
+            part = lists.slice(at, _ROWS)
+            found = iter(part.flatten().to_pylist())
+            for n in part.value_lengths().fill_null(0).to_pylist():
+                for p in islice(found, n):
+                    ids.extend(one(p))
+                ends.append(len(ids))
+        values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=lists.is_null())
 
     return encode(pieces(text))
 
@@ -200,9 +213,11 @@ def encoded(text: Column, vocabulary: Vocabulary, spark) -> Column:
 def decoded(ids: Column, vocabulary: Vocabulary, spark) -> Column:
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf(StringType())
-    def decode(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: None if x is None else shared.value.decode(list(x)))
+    @F.arrow_udf(StringType())
+    def decode(lists: pa.Array) -> pa.Array:
+        one = shared.value.decode
+        parts = [pa.array([None if x is None else one(x) for x in lists.slice(at, _ROWS).to_pylist()], pa.string()) for at in range(0, len(lists), _ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decode(ids)
 
