@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable, Iterable
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,9 +33,15 @@ _BEFORE_MARK = r"([።-፨,.;:!?%)\]}])"
 _REPEATABLE = r"([።-፦,;:!?])"
 
 
-@F.pandas_udf(StringType())
-def _compose_and_unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else html.unescape(unicodedata.normalize("NFC", t)))
+#: Rows of a batch that are Python objects at a time.
+_ROWS = 64
+
+
+@F.arrow_udf(StringType())
+def _compose_and_unescape(texts: pa.Array) -> pa.Array:
+    one = lambda t: None if t is None else html.unescape(unicodedata.normalize("NFC", t))
+    parts = [pa.array(map(one, texts.slice(at, _ROWS).to_pylist()), pa.string()) for at in range(0, len(texts), _ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def compose_and_unescape(text: Column) -> Column:

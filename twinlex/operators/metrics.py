@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
@@ -16,6 +17,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType
 from twinlex.functions import charclass as cc
 
 BLEU_ORDER, CHAR_ORDER, WORD_ORDER, BETA = 4, 6, 2, 2
+#: Rows of a batch that are Python objects at a time.
+_ROWS = 64
 _MARKS = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 
 
@@ -75,9 +78,13 @@ def _tally(hyp: Sequence[str] | None, ref: Sequence[str] | None, orders: int) ->
 def tallies(hyp: Column, ref: Column, orders: int) -> Column:
     """array<bigint>: _tally of two token arrays. Nothing crosses a row, so no n-gram is ever shuffled."""
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def count(hyps: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([_tally(h, r, orders) for h, r in zip(hyps, refs, strict=True)])
+    @F.arrow_udf(ArrayType(LongType()))
+    def count(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        kind, parts = pa.list_(pa.int64()), []
+        for at in range(0, len(hyps), _ROWS):
+            sides = (t.slice(at, _ROWS).to_pylist() for t in (hyps, refs))
+            parts.append(pa.array([_tally(h, r, orders) for h, r in zip(*sides, strict=True)], kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return count(hyp, ref)
 
