@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,7 +76,10 @@ def append_log(rows: DataFrame, folder: str) -> None:
 
 
 
-_WAITING = "best double, steps array<bigint>, times array<bigint>, values array<double>"
+#: Waiting lines are flat buffers: as arrays each of their numbers would be a Python object at every trigger.
+_WAITING = "best double, steps binary, times binary, values binary"
+#: Rows of a frame that leaves a state; what stands for a step that is null.
+_FRAME, _NO_STEP = 100_000, np.iinfo(np.int64).min
 
 
 def best_so_far(log: DataFrame, run: str = "run", step: str = "step", value: str = "value", time: str = "time", late: str = "10 minutes") -> DataFrame:
@@ -88,23 +92,26 @@ def best_so_far(log: DataFrame, run: str = "run", step: str = "step", value: str
     rows = log.select(F.col(run).cast("string").alias("run"), F.col(step).cast("bigint").alias("step"), F.col(value).cast("double").alias("value"), F.col(time).alias("time")).filter("time is not null").withWatermark("time", late)
 
     def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, steps, times, values = state.get if state.exists else (None, [], [], [])
-        waiting = list(zip(times, steps, values, strict=True))
+        best, *held = state.get if state.exists else (None, b"", b"", b"")
+        found = [[np.frombuffer(h, kind) for h, kind in zip(held, (np.int64, np.int64, np.float64), strict=True)]]
         for frame in frames:
-            at = (frame["time"].astype("datetime64[us]").astype("int64") // 1000).tolist()
-            waiting += zip(at, frame["step"].tolist(), [None if pd.isna(v) else float(v) for v in frame["value"]], strict=True)
-        reached, out = state.getCurrentWatermarkMs(), []
-        waiting.sort(key=lambda w: (w[1], w[0]))
-        left = []
-        for at, n, v in waiting:
-            if at > reached:
-                left.append((at, n, v))
-                continue
-            best = v if best is None else best if v is None else min(best, v)
-            out.append((key[0], n, v, best))
-        state.update((best, [w[1] for w in left], [w[0] for w in left], [w[2] for w in left]))
-        if left:
-            state.setTimeoutTimestamp(max(min(w[0] for w in left), reached + 1))
-        yield pd.DataFrame(out, columns=["run", "step", "value", "best"])
+            at = (frame["time"].astype("datetime64[us]").astype("int64") // 1000).to_numpy()
+            n = frame["step"].fillna(_NO_STEP).astype("int64").to_numpy()
+            found.append([n, at, frame["value"].astype("float64").to_numpy()])
+        steps, times, values = (np.concatenate(part) for part in zip(*found, strict=True))
+        order = np.lexsort((times, steps))
+        steps, times, values = steps[order], times[order], values[order]
+        reached = state.getCurrentWatermarkMs()
+        due = times <= reached
+        bests = np.fmin.accumulate(np.concatenate([[np.nan if best is None else best], values[due]]))
+        left = [part[~due] for part in (steps, times, values)]
+        state.update((None if np.isnan(bests[-1]) else float(bests[-1]), *(bytearray(part.tobytes()) for part in left)))
+        if len(left[1]):
+            state.setTimeoutTimestamp(max(int(left[1].min()), reached + 1))
+        steps, values, bests = steps[due], values[due], bests[1:]
+        for i in range(0, max(len(steps), 1), _FRAME):
+            part = slice(i, i + _FRAME)
+            numbers = pd.Series(steps[part], dtype="Int64").mask(steps[part] == _NO_STEP)
+            yield pd.DataFrame({"run": pd.Series([key[0]] * len(numbers), dtype=object), "step": numbers, "value": values[part], "best": bests[part]})
 
     return rows.groupBy("run").applyInPandasWithState(settle, "run string, step bigint, value double, best double", _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
