@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlex.llm import common
@@ -17,9 +17,11 @@ from twinlex.llm import common
 #: their code point; digits, and white space but newline, are one symbol each.
 BITS, ORDER = 12, 4
 MASK = (1 << BITS) - 1
-#: Different n-grams of the longest order that a model holds, a quarter of that for each order below: this bounds what the driver fits on
-#: and what is broadcast, about 100 MB, whatever the corpus. Counts, discounts and totals cover all n-grams; what is left out is mass that backs off.
+#: Different n-grams of the longest order that are broadcast, some 50 MB whatever the corpus; where the texts hold rarer ones, they are
+#: joined. A portable model (train()) holds as many, and a quarter of that for each order below.
 MOST_GRAMS = 1 << 22
+#: Logarithms of probabilities are whole numbers of such parts, so that sums don't depend on how rows are laid out.
+PARTS = 1 << 24
 #: How far a language's band goes beyond the quartiles of its log perplexities: in interquartile ranges, and in shares of the median at least.
 BAND, LEAST = 1.5, 0.03
 #: A text's band is wider by this over the root of its characters: how far a mean over few characters strays by chance.
@@ -146,42 +148,94 @@ def fit(levels: list[Level]) -> Model:
     return model
 
 
-def held(table: DataFrame, most: int) -> Level:
-    """What a model holds of all n-grams of an order, rows (gram, n): those from the lowest count on that at most `most` reach.
+def count_steps(table: DataFrame, most: int) -> tuple[int | None, int, dict[int, int]]:
+    """Of rows (gram, n): the lowest count from which on at most `most` n-grams are found (None: none are), how many have less, and how many
+    n-grams there are of each step by the step's lowest count.
 
-    Counts fall into steps of a sixteenth of a power of two, small ones into one each, and a step is held as a whole: what is held
-    doesn't depend on the order of rows. A context has a symbol's number of n-grams at most, and so have the windows.
+    Counts fall into steps of a sixteenth of a power of two, small ones into one each, and a step is taken as a whole: what is found
+    doesn't depend on the order of rows.
     """
     step = F.floor(F.log2("n") * 16)
     steps = table.groupBy(step.alias("step")).agg(F.count("*").alias("grams"), F.min("n").alias("n")).collect()  # some 700 rows
     have, least = 0, None
     for row in sorted(steps, key=lambda r: -r.n):
-        have += row.grams
-        if have > most:
+        if have + row.grams > most:
             break
-        least = row.n
-    by_count = {r.n: r.grams for r in steps}
+        have, least = have + row.grams, row.n
+    return least, sum(r.grams for r in steps) - have, {r.n: r.grams for r in steps}
+
+
+def at_least(least: int | None) -> Column:
+    return F.lit(False) if least is None else F.col("n") >= least
+
+
+def held(table: DataFrame, most: int) -> Level:
+    """What a portable model holds of all n-grams of an order, rows (gram, n): those from the lowest count on that at most `most` reach.
+
+    A context has a symbol's number of n-grams at most, and so have the windows.
+    """
+    least, _, by_count = count_steps(table, most)
     context = Window.partitionBy(F.shiftright("gram", BITS))
-    rows = table.withColumn("total", F.sum("n").over(context)).filter(F.lit(False) if least is None else F.col("n") >= least).toArrow()
+    rows = table.withColumn("total", F.sum("n").over(context)).filter(at_least(least)).toArrow()
     keys, n, total = (rows.column(c).to_numpy() for c in ("gram", "n", "total"))
     order = np.argsort(keys)
     return Level(keys[order].astype(np.uint64), n[order], total[order], discounts([by_count.get(i, 0) for i in range(1, 5)]))
 
 
+def shorter(level: int) -> Column:
+    """Of the column gram, an n-gram of a level: all symbols but the first."""
+    return F.col("gram").bitwiseAND(F.lit((1 << BITS * (ORDER - level - 1)) - 1))
+
+
 def train(docs: DataFrame, text: str = "text", most: int = MOST_GRAMS) -> Model:
-    """Counts over every text, order by order; the driver gets the n-grams that the model holds, and sums."""
+    """A model of bounded size for other texts. Counts over every text, order by order; the driver gets the n-grams that the model holds.
+
+    The mass of those left out backs off. judge() doesn't use it: probabilities() are those of all n-grams.
+    """
     table, levels = common.stored(counts(docs, text), "ngrams"), []
     for level in range(ORDER):
         levels.append(held(table, most >> 2 * level))
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * (ORDER - level - 1)) - 1))
-        below = common.stored(table.groupBy(suffix.alias("gram")).agg(F.count("*").alias("n")), "ngrams") if level < ORDER - 1 else None
+        below = common.stored(table.groupBy(shorter(level).alias("gram")).agg(F.count("*").alias("n")), "ngrams") if level < ORDER - 1 else None
         common.drop_stored(table)
         table = below
     return fit(levels)
 
 
-def measures(texts: pa.Array, model: Model) -> dict[str, np.ndarray]:
-    """For each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity (NaN without characters)."""
+def probabilities(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (gram, n, log_p): every n-gram of the longest order in the texts, its count, and the logarithm of its probability in PARTS.
+
+    Interpolated modified Kneser-Ney as fit() has it, with nothing left out: each order is a window over contexts, which have a
+    symbol's number of n-grams at most, and a join with the order below, whose n-grams are found under as many.
+    """
+    tables = [common.stored(counts(docs, text), "ngrams")]
+    for level in range(ORDER - 1):
+        tables.append(common.stored(tables[-1].groupBy(shorter(level).alias("gram")).agg(F.count("*").alias("n")), "ngrams"))
+    context = Window.partitionBy(F.shiftright("gram", BITS))
+    below = None
+    for level in reversed(range(ORDER)):
+        table = tables[level]
+        seen = {r.n: r["count"] for r in table.filter("n <= 4").groupBy("n").count().collect()}
+        take = discounts([seen.get(i, 0) for i in range(1, 5)])
+        own = F.col("n") - F.when(F.col("n") == 1, take[0]).when(F.col("n") == 2, take[1]).otherwise(take[2])
+        lost = sum(F.count(F.when(test, 1)).over(context) * F.lit(d) for test, d in zip((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), take, strict=True))
+        rows = table.select("gram", "n", own.alias("own"), lost.alias("lost"), F.sum("n").over(context).alias("total"))
+        if below is None:
+            rows = rows.withColumn("below", F.lit(2.0**-BITS))
+        else:
+            rows = rows.withColumn("shorter", shorter(level)).join(below.select(F.col("gram").alias("shorter"), F.col("p").alias("below")), "shorter")
+        whole = common.stored(rows.select("gram", "n", ((F.col("own") + F.col("lost") * F.col("below")) / F.col("total")).alias("p")), "ngram-odds")
+        for done in (table, below):
+            if done is not None:
+                common.drop_stored(done)
+        below = whole
+    return below.select("gram", "n", F.round(F.log(F.greatest("p", F.lit(1e-30))) * PARTS).cast("int").alias("log_p"))
+
+
+def measures(texts: pa.Array, grams_held: np.ndarray, log_p: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """For each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, log_p (of the n-grams held, sorted ones).
+
+    And all n-grams that aren't held, text after text, with where each text's begin (one more than texts).
+    """
     raw, at = common.buffers(texts)
     n_docs = len(at) - 1
     inside = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
@@ -212,28 +266,51 @@ def measures(texts: pa.Array, model: Model) -> dict[str, np.ndarray]:
     different = np.unique(owner * max(len(flat), 1) + line_ids[with_word]) // max(len(flat), 1)
     dup = np.bincount(owner, minlength=n_docs) - np.bincount(different, minlength=n_docs)
     keys, chars = grams(raw, at)
-    ends = np.concatenate([[0.0], np.cumsum(model.log_prob(keys).astype(np.float64))])
-    stop = np.cumsum(chars)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        log_ppl = -(ends[stop] - ends[stop - chars]) / chars
-    return {"n_words": n.astype(np.int64), "word_chars": chars - inside(blank), "n_symbols": inside(_MARKS[raw]), "n_dup_lines": dup, "n_repeat_words": repeat, "log_perplexity": log_ppl}
+    at_key = np.minimum(np.searchsorted(grams_held, keys), max(len(grams_held) - 1, 0))
+    known = grams_held[at_key] == keys if len(grams_held) else np.zeros(len(keys), bool)
+    each = np.where(known, log_p[at_key], 0) if len(grams_held) else np.zeros(len(keys), np.int64)
+    stop = np.concatenate([[0], np.cumsum(chars)])
+    found = {"n_words": n.astype(np.int64), "word_chars": chars - inside(blank), "n_symbols": inside(_MARKS[raw]), "n_dup_lines": dup, "n_repeat_words": repeat}
+    found |= {"n_chars": chars, "log_p": np.diff(np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[stop])}
+    return found, keys[~known], np.concatenate([[0], np.cumsum(~known)])[stop]
 
 
-def measured(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows (key, lang, measures, base_failed), one for each row of docs."""
+def measured(docs: DataFrame, odds: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MOST_GRAMS) -> DataFrame:
+    """Rows (key, lang, measures, log_perplexity (NaN without characters), base_failed), one for each row of docs.
+
+    odds are the probabilities() of the same texts. The most frequent `most` n-grams are broadcast; the others of a text are listed
+    with it and joined with theirs, each of which is listed as often as it was counted at most. The sums are the same for any `most`.
+    """
     spark = docs.sparkSession
     common.share_package(spark)
-    shared = spark.sparkContext.broadcast(model)
+    least, left, _ = count_steps(odds, most)
+    top = odds.filter(at_least(least)).select("gram", "log_p").toArrow()
+    grams_held, log_p = (top.column(c).to_numpy() for c in ("gram", "log_p"))
+    order = np.argsort(grams_held)
+    shared = spark.sparkContext.broadcast((grams_held[order].astype(np.uint64), log_p[order]))
+    row, rest, more = common.fresh(docs.select(key), "_row", "_rest", "_more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             if batch.num_rows:
-                found = measures(batch.column(2), shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v) for v in found.values()]], [key, "lang", *found])
+                found, others, at = measures(batch.column(3), *shared.value)
+                others = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(others.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *[pa.array(v) for v in found.values()], others], [key, "lang", row, *found, rest])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double")
-    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "log_p")
+    rows = docs.select(F.col(key), F.col(lang).cast("string").alias("lang"), F.monotonically_increasing_id().alias(row), F.col(text).alias("text"))
+    rows = common.stored(rows.mapInArrow(run, f"`{key}` {kind}, lang string, `{row}` bigint, {', '.join(f'{c} bigint' for c in names)}, `{rest}` array<bigint>"), "measures")
+    total = F.col("log_p")
+    if left:
+        rare = odds.filter(~at_least(least)).select("gram", F.col("log_p").alias("_odds"))
+        listed = rows.select(row, F.explode(rest).alias("gram"))
+        rows = rows.join(listed.join(rare, "gram").groupBy(row).agg(F.sum("_odds").alias(more)), row, "left")
+        total = total + F.coalesce(more, F.lit(0))
+    log_perplexity = F.when(F.col("n_chars") > 0, -total / F.col("n_chars") / PARTS).otherwise(float("nan"))
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rows = rows.select(key, "lang", *names[:5], log_perplexity.alias("log_perplexity"), base_failed.alias("base_failed"))
+    return common.stored(rows, "perplexities") if left else rows
 
 
 def bands(rows: DataFrame, width: float = BAND) -> DataFrame:
@@ -249,14 +326,13 @@ def bands(rows: DataFrame, width: float = BAND) -> DataFrame:
     return found.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[2] + reach).alias("high"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = BAND) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = BAND, most: int = MOST_GRAMS) -> DataFrame:
     """measured() rows with low, high and kept: passes the base rules, and its log perplexity lies within its language's band.
 
     One row for each row of docs. Null and empty texts have no words and fail the base rules; a null language is one of its
     own; repeated rows are judged each; an empty table gives an empty result.
     """
-    model = train(docs, text)
-    rows = common.stored(measured(docs, model, key, text, lang), "measures")
+    rows = measured(docs, probabilities(docs, text), key, text, lang, most)
     slack = SHORT / F.sqrt(F.greatest("word_chars", F.lit(1)))
     limits = common.stored(bands(rows, width), "bands")
     limits = limits.withColumnRenamed("lang", "_lang")
