@@ -18,6 +18,8 @@ from twinlex.llm import common
 REACH, CLASSES, MEMBERS, WIDTH, HIDDEN = 2, 64, 64, 16, 32
 #: Passes over the corpus; each takes another share of every text's words, all of them together every word once.
 ROUNDS = 3
+#: Words whose counts tasks hold (16 bytes each); the counts of rarer ones are joined.
+KNOWN = 1 << 20
 _BATCH = 2048
 _BLOCK = 4096
 _GROUPS = 32
@@ -38,11 +40,13 @@ class Vocabulary:
 
     Other words are told apart within their kind by their own counts: a word seen n times has n + 1 shares of its kind, and one
     share is left for words never seen. whole holds the logarithms of the kinds' shares; counts, rows (word, h, n), grows with the
-    input and is only joined.
+    input and is only joined. known holds the sorted hashes of the most frequent words, KNOWN at most, and the logarithms of their
+    shares, so that few words are left to join.
     """
 
     words: pa.Array
     whole: np.ndarray
+    known: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0))
     counts: DataFrame | None = None
     indexed: DataFrame | None = None
 
@@ -63,7 +67,7 @@ class Vocabulary:
 
     def local(self) -> Vocabulary:
         """What tasks need: all but the table."""
-        return Vocabulary(self.words, self.whole)
+        return Vocabulary(self.words, self.whole, self.known)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,35 +75,44 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     common.share_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
+        waiting, size = [], 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(waiting).group_by("word", use_threads=False).aggregate([("n", "sum")])
 
         def out() -> Iterator[pa.RecordBatch]:
-            names = list(total)
-            for i in range(0, len(names), 1 << 15):
-                part = names[i : i + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(_hashes(part)), pa.array([total[w] for w in part], pa.int64())], ["word", "h", "n"])
-            total.clear()
+            for part in merged().to_batches(max_chunksize=1 << 15) if waiting else []:
+                yield pa.RecordBatch.from_arrays([part.column("word").cast(pa.string()), part.column("n_sum")], ["word", "n"])
 
         for batch in common.slices(batches, text):
             raw, at = common.buffers(batch.column(0))
             words, _ = common.spaced_words(raw.tobytes().lower(), at)
-            if len(words):
-                coded = pc.dictionary_encode(words)
-                for w, c in zip(coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy()).tolist(), strict=True):
-                    total[w] = total.get(w, 0) + c
-                if len(total) > 1 << 18:
+            if not len(words):
+                continue
+            coded = pc.dictionary_encode(words)
+            waiting.append(pa.table({"word": coded.dictionary, "n": pa.array(np.bincount(coded.indices.to_numpy()).astype(np.int64))}))
+            size += len(coded.dictionary)
+            if size > 1 << 19:
+                waiting = [merged().rename_columns({"word": "word", "n_sum": "n"})]
+                size = len(waiting[0])
+                if size > 1 << 18:
                     yield from out()
+                    waiting, size = [], 0
         yield from out()
 
-    return docs.select(text).mapInArrow(run, "word string, h bigint, n bigint").groupBy("word").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.select("word", F.xxhash64("word").alias("h"), "n")
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
+def _hashes(words: pa.Array) -> np.ndarray:
+    """As Spark's xxhash64 has them."""
+    spelt = words.to_numpy(zero_copy_only=False)  # objects, twice as fast as to_pylist()
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in spelt]), ">i8").astype(np.int64)
 
 
 def index(docs: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
-    """Rows (key, row, n, ids, rare), one for each row of docs: words, their ids as 16-bit numbers, and the hashes of those outside the vocabulary.
+    """Rows (key, row, n, ids, gain, rare), one for each row of docs: words, their ids as 16-bit numbers, and of those outside the vocabulary
+    the sum of the known logarithms of shares, and the hashes of the others.
 
     Texts are cut into words here once; training and scoring read what is written.
     """
@@ -115,16 +128,22 @@ def index(docs: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
             spelt, ids, n = words.read(batch.column(1))
             rare = ids < MEMBERS
             coded = pc.dictionary_encode(spelt.filter(pa.array(rare)))
-            hashed = _hashes(coded.dictionary.to_pylist())
+            hashed = _hashes(coded.dictionary)
             stop = np.concatenate([[0], np.cumsum(n)])
             of_rare = np.concatenate([[0], np.cumsum(rare)])[stop]
-            others = pa.ListArray.from_arrays(pa.array(of_rare, pa.int32()), pa.array(hashed[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)))
+            have, gain = words.known
+            found = np.minimum(np.searchsorted(have, hashed), max(len(have) - 1, 0))
+            told = have[found] == hashed if len(have) else np.zeros(len(hashed), bool)
+            of = coded.indices.to_numpy()
+            each = np.concatenate([[0.0], np.cumsum(np.where(told, gain[found], 0.0)[of] if len(have) else np.zeros(len(of)))])
+            left = ~told[of]
+            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)])[of_rare], pa.int32()), pa.array(hashed[of[left]]))
             blobs = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * stop).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), blobs, others], [key, row, "n", "ids", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), blobs, pa.array(np.diff(each[of_rare])), others], [key, row, "n", "ids", "gain", "rare"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key), F.col(text).alias("text"), F.monotonically_increasing_id().alias(row))
-    return common.stored(rows.mapInArrow(run, f"`{key}` {kind}, `{row}` bigint, n bigint, ids binary, rare array<bigint>"), "word-ids")
+    return common.stored(rows.mapInArrow(run, f"`{key}` {kind}, `{row}` bigint, n bigint, ids binary, gain double, rare array<bigint>"), "word-ids")
 
 
 def _ids(batch: pa.RecordBatch, n: str = "n", ids: str = "ids") -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -144,7 +163,8 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
     counts = common.stored(word_counts(docs, text), "word-counts")
     step = F.floor(F.log2("n") * 8)
     have, least = 0, 0
-    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect(), reverse=True):  # a few hundred rows
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect(), reverse=True)  # a few hundred rows
+    for row in steps:
         have, least = have + row.words, row.n
         if have >= most:
             break
@@ -162,24 +182,36 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
     shares = np.ones(MEMBERS)
     for row in counts.select("word", "n").mapInArrow(run, "kind bigint, shares bigint").groupBy("kind").agg(F.sum("shares").alias("shares")).collect():  # MEMBERS rows
         shares[row.kind] += row.shares
-    return Vocabulary(found.words, np.log(shares), counts)
-
-
-def contexts(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """[words, 2 REACH]: the ids around each word, 0 where its text has ended."""
-    of = np.repeat(np.arange(len(n)), n)
-    out = np.zeros((len(ids), 2 * REACH), np.int64)
+    fits = [r.n for r, words in zip(steps, np.cumsum([r.words for r in steps]), strict=True) if words <= KNOWN]
+    known = counts.filter(F.col("n") >= fits[-1] if fits else F.lit(False)).groupBy("h").agg(F.max("n").alias("n")).toArrow()
+    h, n = known.column("h").to_numpy(), known.column("n").to_numpy()
+    order = np.argsort(h)
+    return Vocabulary(found.words, np.log(shares), (h[order], np.log1p(n[order])), counts)
+
+
+def contexts(ids: np.ndarray, n: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """[words, 2 REACH]: the ids around each word, or around those at the places `at`; 0 where a word's text has ended."""
+    # REACH zeros stand before each text, and behind the last one
+    place = np.repeat(np.arange(1, len(n) + 1) * REACH, n)
+    place += np.arange(len(ids))
+    spread = np.zeros(len(ids) + (len(n) + 1) * REACH, np.int64)
+    spread[place] = ids
+    if at is not None:
+        place = place.take(at)
+    out = np.empty((len(place), 2 * REACH), np.int64)
     for c, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        a, b = max(0, -step), len(ids) - max(0, step)
-        if b > a:
-            out[a:b, c] = np.where(of[a + step : b + step] == of[a:b], ids[a + step : b + step], 0)
+        out[:, c] = spread.take(place + step)
     return out
 
 
 def targets(n: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """Where the words stand that a round trains on, for texts of n words each. Every word has its place in one of the rounds."""
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.flatnonzero((inside + np.repeat(n, n)) % rounds == turn)
+    """Where the words stand that a round trains on, for texts of n words each. Every word has its place in one of the rounds.
+
+    Those are the places of a text whose sum with its number of words leaves `turn`.
+    """
+    first = (turn - n) % rounds
+    many = np.maximum(n - first + rounds - 1, 0) // rounds
+    return np.repeat(np.cumsum(n) - n + first - rounds * (np.cumsum(many) - many), many) + rounds * np.arange(many.sum())
 
 
 class Network:
@@ -195,74 +227,137 @@ class Network:
         self.vectors, self.w, self.b, self.wc, self.bc, self.wm, self.bm = (p.reshape(s) for p, s in zip(np.split(self.flat, cuts[:-1]), shapes, strict=True))
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.vectors[context].reshape(len(context), -1)
-        return x, np.tanh(x @ self.w + self.b)
+        x = self.vectors.take(context, axis=0).reshape(len(context), -1)
+        h = x @ self.w
+        h += self.b
+        return x, _tanh(h)
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """A block of words at a time, so that what is worked on stays in the processor's cache."""
+        by = _by_class(target)
+        out = np.empty(len(target), np.float32)
+        for i in range(0, len(by), _BATCH):
+            part = by[i : i + _BATCH]
+            out[part] = self._log_prob(context.take(part, axis=0), target.take(part))
+        return out
+
+    def _log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, h = self.hidden(context)
-        by = np.argsort(target >> 6, kind="stable")
-        cls, member, h = (target >> 6)[by], (target & (MEMBERS - 1))[by], h[by]
-        z = h @ self.wc + self.bc
-        out = z[np.arange(len(cls)), cls] - _log_sum(z)
-        starts, sizes = common.runs_of(cls)
-        for a, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            z = h[a : a + size] @ self.wm[cls[a]] + self.bm[cls[a]]
-            out[a : a + size] += z[np.arange(size), member[a : a + size]] - _log_sum(z)
-        back = np.empty_like(out)
-        back[by] = out
-        return back
+        cls, member = target >> 6, target & (MEMBERS - 1)
+        every = np.arange(len(cls))
+        z = h @ self.wc
+        z += self.bc
+        out = z[every, cls]
+        out -= _log_sum(z)
+        z = self.bm.take(cls, axis=0)
+        for c, a, b in _runs(cls):
+            z[a:b] += h[a:b] @ self.wm[c]
+        out += z[every, member]
+        out -= _log_sum(z)
+        return out
 
     def train(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float = 0.1) -> None:
         """One Adagrad step on a minibatch; memory holds the sums of squared gradients."""
         n = len(target)
-        by = np.argsort(target >> 6, kind="stable")
-        context, target = context[by], target[by]
+        by = _by_class(target)
+        context, target = context.take(by, axis=0), target.take(by)
         x, h = self.hidden(context)
-        cls, member = target >> 6, target & (MEMBERS - 1)
-        grad_c = _softmax(h @ self.wc + self.bc)
-        grad_c[np.arange(n), cls] -= 1
+        cls, member, every = target >> 6, target & (MEMBERS - 1), np.arange(n)
+        grad_c = h @ self.wc
+        grad_c += self.bc
+        _softmax(grad_c)
+        grad_c[every, cls] -= 1
         grad_h = grad_c @ self.wc.T
-        starts, sizes = common.runs_of(cls)
-        runs = list(zip(cls[starts].tolist(), starts.tolist(), (starts + sizes).tolist(), strict=True))
-        z = self.bm[cls]
+        runs = _runs(cls)
+        g = self.bm.take(cls, axis=0)
         for c, a, b in runs:
-            z[a:b] += h[a:b] @ self.wm[c]
-        g = _softmax(z)
-        g[np.arange(n), member] -= 1
+            g[a:b] += h[a:b] @ self.wm[c]
+        _softmax(g)
+        g[every, member] -= 1
+        ones = np.ones(n, np.float32)
         grad_m, grad_b = np.zeros_like(self.wm), np.zeros_like(self.bm)
         for c, a, b in runs:
-            grad_h[a:b] += g[a:b] @ self.wm[c].T
-            np.matmul(h[a:b].T, g[a:b], out=grad_m[c])
-        grad_b[cls[starts]] = np.add.reduceat(g, starts, axis=0)
+            part = g[a:b]
+            grad_h[a:b] += part @ self.wm[c].T
+            np.matmul(h[a:b].T, part, out=grad_m[c])
+            np.matmul(ones[a:b], part, out=grad_b[c])
         # classes without a word here have gradients of 0, which leave them as they are
-        for p, m, d in ((self.wm, memory[5], grad_m / n), (self.bm, memory[6], grad_b / n)):
-            m += d * d
-            p -= rate * d / np.sqrt(m + 1e-8)
-        grad_a = grad_h * (1 - h * h)
-        grad_x = (grad_a @ self.w.T).reshape(-1, WIDTH) / np.float32(n)
-        for p, m, d in ((self.w, memory[1], x.T @ grad_a / n), (self.b, memory[2], grad_a.mean(axis=0)), (self.wc, memory[3], h.T @ grad_c / n), (self.bc, memory[4], grad_c.mean(axis=0))):
-            m += d * d
-            p -= rate * d / np.sqrt(m + 1e-8)
+        grad_wc, grad_bc = h.T @ grad_c, ones @ grad_c
+        h *= h
+        np.subtract(1, h, out=h)
+        grad_h *= h  # now the gradient before tanh
+        grad_x = grad_h @ self.w.T
+        grad_w = x.T @ grad_h
+        for p, m, d in ((self.wm, memory[5], grad_m), (self.bm, memory[6], grad_b), (self.w, memory[1], grad_w), (self.b, memory[2], ones @ grad_h), (self.wc, memory[3], grad_wc), (self.bc, memory[4], grad_bc)):
+            d /= np.float32(n)
+            p -= _step(m, d, rate)
         around = context.ravel()
-        order = np.argsort(around, kind="stable")
-        starts, _ = common.runs_of(around[order])
-        ids = around[order[starts]]
-        d = np.add.reduceat(grad_x[order], starts, axis=0)
-        memory[0][ids] += d * d
-        self.vectors[ids] -= rate * d / np.sqrt(memory[0][ids] + 1e-8)
+        order = np.argsort(around.astype(np.uint16), kind="stable")
+        starts, _ = common.runs_of(around.take(order))
+        ids = around.take(order.take(starts))
+        d = np.add.reduceat(grad_x.reshape(-1, WIDTH).take(order, axis=0), starts, axis=0)
+        d /= np.float32(n)
+        seen = memory[0].take(ids, axis=0)
+        self.vectors[ids] -= _step(seen, d, rate)
+        memory[0][ids] = seen
 
     def memory(self) -> list[np.ndarray]:
         return [np.full_like(p, 1e-4) for p in (self.vectors, self.w, self.b, self.wc, self.bc, self.wm, self.bm)]
 
 
+def _by_class(target: np.ndarray) -> np.ndarray:
+    return np.argsort((target >> 6).astype(np.uint16), kind="stable")
+
+
+def _runs(cls: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, start, end) of the runs of sorted classes."""
+    starts, sizes = common.runs_of(cls)
+    return list(zip(cls[starts].tolist(), starts.tolist(), (starts + sizes).tolist(), strict=True))
+
+
+def _step(m: np.ndarray, d: np.ndarray, rate: float) -> np.ndarray:
+    """What Adagrad takes off for the gradient d; m, the sum of squares, is added to."""
+    t = d * d
+    m += t
+    np.add(m, 1e-8, out=t)
+    np.sqrt(t, out=t)
+    np.divide(d, t, out=t)
+    t *= rate
+    return t
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In its place: 1 - 2 / (exp(2 x) + 1), in two thirds of np.tanh's time. Beyond 20 nothing changes any more."""
+    np.clip(x, -20, 20, out=x)
+    x += x
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
+def _exp(z: np.ndarray) -> np.ndarray | None:
+    """exp of z in its place. Rows are moved by their largest values, which are returned then, only where they could overflow or vanish."""
+    top = None
+    if z.size and not (z.max() < 60 and z.min() > -60):
+        top = z.max(axis=1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return top
+
+
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+    """Overwrites z."""
+    top = _exp(z)
+    out = np.log(z @ np.ones(z.shape[1], z.dtype))
+    return out if top is None else top + out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _softmax(z: np.ndarray) -> None:
+    """In its place."""
+    _exp(z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
 
 
 def _train_round(rows: DataFrame, net: Network, turn: int, rounds: int) -> Network:
@@ -280,7 +375,7 @@ def _train_round(rows: DataFrame, net: Network, turn: int, rounds: int) -> Netwo
         for batch in batches:
             for ids, n, _, _ in _ids(batch):
                 at = targets(n, turn, rounds)
-                waiting.append((contexts(ids, n)[at], ids[at]))
+                waiting.append((contexts(ids, n, at), ids[at]))
                 if sum(len(t) for _, t in waiting) < 1 << 15:
                     continue
                 seen += _learn(own, memory, waiting, seen)
@@ -323,7 +418,7 @@ def _learn(net: Network, memory: list[np.ndarray], waiting: list[tuple[np.ndarra
     context, target = np.concatenate([c for c, _ in waiting]), np.concatenate([t for _, t in waiting])
     order = np.random.default_rng(seed).permutation(len(target))
     for i in range(0, len(order), _BATCH):
-        net.train(context[order[i : i + _BATCH]], target[order[i : i + _BATCH]], memory)
+        net.train(context.take(order[i : i + _BATCH], axis=0), target.take(order[i : i + _BATCH]), memory)
     return len(target)
 
 
@@ -362,10 +457,10 @@ def score(docs: DataFrame | None, words: Vocabulary, net: Network, key: str = "d
                 each[rare] -= whole[ids[rare]]
                 ends, stop = np.concatenate([[0.0], np.cumsum(each)]), np.cumsum(n)
                 part = batch.slice(first, rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ends[stop] - ends[stop - n])], [key, row, "n_tokens", "log_likelihood"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pc.add(pa.array(ends[stop] - ends[stop - n]), part.column(4))], [key, row, "n_tokens", "log_likelihood"])
 
     kind = indexed.schema[key].dataType.simpleString()
-    scored = indexed.select(key, row, "n", "ids").mapInArrow(run, f"`{key}` {kind}, `{row}` bigint, n_tokens bigint, log_likelihood double")
+    scored = indexed.select(key, row, "n", "ids", "gain").mapInArrow(run, f"`{key}` {kind}, `{row}` bigint, n_tokens bigint, log_likelihood double")
     gains = words.counts.groupBy("h").agg(F.log1p(F.max("n")).alias("gain"))
     asked = indexed.select(row, F.explode("rare").alias("h"))
     gained = asked.join(gains, "h").groupBy(row).agg(F.sum("gain").alias("gain"))
