@@ -28,7 +28,8 @@ def _casefold(text: str) -> str:
     sharp = "replace(replace(x, 'ẞ', 'ss'), 'ß', 'ss')"
     written = f"array_join(transform(regexp_extract_all({sharp}, {_raw('(?s).')}, 0), c -> coalesce(try_element_at({table}, c), c)), '')"
     full = f"translate(case when x rlike '[{''.join(rest)}]' then {written} else {sharp} end, '{before}', '{after}')"
-    folded = f"case when x rlike {_raw(UNCASED)} then {full} else lower(x) end"
+    plain = "lower(replace(replace(x, 'ß', 'ss'), 'µ', 'μ'))"
+    folded = f"case when x rlike {_raw(UNCASED)} then {full} else {plain} end"
     return f"transform(array({text}), x -> {folded})[0]"
 
 
