@@ -49,6 +49,19 @@ def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
     system.rename(part, place)
 
 
+def edges(spark: SparkSession, uri: str, n: int = 3) -> tuple[bytes, bytes]:
+    """The first and the last n bytes of a file, named by its URI as DataFrame.inputFiles() gives it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(uri))
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = system.open(place)
+    try:
+        head = bytes(stream.readNBytes(n))
+        stream.seek(max(0, system.getFileStatus(place).getLen() - n))
+        return head, bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(str(path)).select("content").first()[0])
 

@@ -121,6 +121,36 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
+#: Line ends of split_lines() that Spark's reader of lines doesn't know, and the bytes of each.
+_OTHER_END = "[\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029]"
+_OTHER_ENDS = tuple(c.encode() for c in "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
+_BOM = "\ufeff"
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (line_no, value) of a text file, or of a folder's files in order of name, as split_lines() cuts whole texts; no task holds a file.
+
+    Spark cuts at the common line ends and leaves out a mark of byte order; what else ends a line is cut within its rows. Whether
+    a file begins with such a mark, or ends with one of the other line ends, which opens no line, is told from its first and last bytes.
+    """
+    rows = spark.read.text(path)
+    edges = {p.replace(":///", ":/", 1): files.edges(spark, p) for p in rows.inputFiles()}
+    cut = rows.select("_metadata", F.explode(F.split("value", _OTHER_END, -1)).alias("value"))
+    lines = in_file_order(cut, {"value": F.col("value"), "_path": F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/"))})
+
+    def places(paths: list[str], which) -> list[int]:
+        return [r.at for r in lines.filter(F.col("_path").isin(paths)).groupBy("_path").agg(which("line_no").alias("at")).collect()] if paths else []
+
+    marked = places([p for p, (head, _) in edges.items() if head == _BOM.encode()], F.min)
+    open_ends = sorted(places([p for p, (_, tail) in edges.items() if tail.endswith(_OTHER_ENDS)], F.max))
+    if marked:
+        lines = lines.withColumn("value", F.when(F.col("line_no").isin(marked), F.concat(F.lit(_BOM), "value")).otherwise(F.col("value")))
+    if open_ends:
+        earlier = F.size(F.filter(F.array(*map(F.lit, open_ends)), lambda at: at < F.col("line_no")))
+        lines = lines.filter(~F.col("line_no").isin(open_ends)).withColumn("line_no", F.col("line_no") - earlier)
+    return lines.select(F.col("line_no").cast("int").alias("line_no"), "value")
+
+
 def held_out_dir(cfg: HeldOutConfig, raw_dir: Path) -> Path:
     """The folder with {split}/{code}.{split} files: given, or extracted from the archive, of which only these are taken."""
     if cfg.local_dir is not None:
@@ -149,9 +179,8 @@ def read_held_out(spark: SparkSession, cfg: HeldOutConfig, raw_dir: Path, split:
     def side(code: str) -> DataFrame:
         if archive is not None:
             whole = archives.texts(spark, archive, [f"{split}/{code}.{split}"])
-        else:
-            whole = spark.read.text(str(cfg.local_dir / split / f"{code}.{split}"), wholetext=True)
-        return whole.select(F.posexplode(split_lines(F.col("value"))).alias("line_no", "value"))
+            return whole.select(F.posexplode(split_lines(F.col("value"))).alias("line_no", "value"))
+        return text_lines(spark, str(cfg.local_dir / split / f"{code}.{split}"))
 
     return zip_lines(side(cfg.en_code), side(cfg.am_code), strict=True).select("line_no", F.col("left").alias("en_raw"), F.col("right").alias("am_raw"))
 
