@@ -7,10 +7,12 @@ import json
 import unicodedata
 from array import array
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -127,23 +129,106 @@ class Vocabulary:
         return cls(tuple(raw["tokens"]), tuple(map(tuple, raw["merges"])))
 
 
-def learn(counts: dict[str, int], size: int, least: int) -> Vocabulary:
+#: Symbols of a block of pieces that merges go through: what they compare stays in the cache.
+_SYMBOLS = 1 << 18
+
+
+class _Pieces:
+    """Pieces as blocks of symbols, a separator (0) behind each piece, with the pieces' counts.
+
+    A symbol takes two bytes where all ids do; no piece is an object. Pieces of one character have nothing to merge and are left out.
+    """
+
+    def __init__(self, counts: Iterable[tuple[str, int]], size: int) -> None:
+        self.blocks: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        rows, places, several = iter(counts), {}, []
+        while part := list(islice(rows, 1 << 13)):
+            text = "".join(p for p, _ in part)
+            for c in set(text):
+                places.setdefault(c, len(places) + 1)
+            if part := [x for x in part if len(x[0]) > 1]:
+                points, at = np.unique(np.frombuffer("".join(p for p, _ in part).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+                ends = np.cumsum([len(p) for p, _ in part])
+                block = np.insert(np.array([places[chr(c)] for c in points], np.uint32)[at], ends, 0)
+                several.append((block.astype(np.uint16) if len(places) < 1 << 16 else block, self._narrow(np.array([n for _, n in part], np.int64))))
+            if sum(len(b) for b, _ in several) >= _SYMBOLS:
+                self._close(several)
+        self._close(several)
+        self.alphabet = sorted(places)
+        first = len(SPECIALS) + len(BYTES)
+        ids = np.zeros(len(places) + 1, np.uint16 if max(size, first + len(places)) < 1 << 16 else np.uint32)
+        for i, c in enumerate(self.alphabet):
+            ids[places[c]] = first + i
+        for i, block in enumerate(self.blocks):
+            self.blocks[i] = ids[block]
+
+    @staticmethod
+    def _narrow(counts: np.ndarray) -> np.ndarray:
+        return counts.astype(np.min_scalar_type(int(counts.max())))
+
+    def _close(self, several: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        if several:
+            self.blocks.append(np.concatenate([b for b, _ in several]))
+            self.counts.append(np.concatenate([c for _, c in several]))
+            several.clear()
+
+    @staticmethod
+    def _pairs(block: np.ndarray, at: np.ndarray, n: np.ndarray) -> dict[tuple[int, int], int]:
+        """How often each pair of neighbours occurs that begins at these places, by the count of each place's piece."""
+        left, right = block[at].astype(np.int64), block[at + 1].astype(np.int64)
+        inside = (left > 0) & (right > 0)
+        keys, which = np.unique(left[inside] << 32 | right[inside], return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, which, n[inside].astype(np.int64))
+        return {(k >> 32, k & 0xFFFFFFFF): x for k, x in zip(keys.tolist(), sums.tolist(), strict=True)}
+
+    def _counted(self, i: int, at: np.ndarray) -> dict[tuple[int, int], int]:
+        """_pairs of a block's places."""
+        return self._pairs(self.blocks[i], at, self.counts[i][np.searchsorted(np.flatnonzero(self.blocks[i] == 0), at)])
+
+    def pairs(self) -> dict[tuple[int, int], int]:
+        total: dict[tuple[int, int], int] = defaultdict(int)
+        for i, block in enumerate(self.blocks):
+            for pair, n in self._counted(i, np.arange(len(block) - 1)).items():
+                total[pair] += n
+        return total
+
+    def merge(self, pair: tuple[int, int], new: int) -> dict[tuple[int, int], int]:
+        """Put new in place of a pair, from left to right in each piece; by how much the counts of pairs change."""
+        change: dict[tuple[int, int], int] = defaultdict(int)
+        for i, block in enumerate(self.blocks):
+            at = np.flatnonzero((block[:-1] == pair[0]) & (block[1:] == pair[1]))
+            if not len(at):
+                continue
+            if pair[0] == pair[1]:  # of places in a row every other one
+                begins = np.concatenate([[True], np.diff(at) > 1])
+                run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            around = np.unique(np.concatenate([at - 1, at, at + 1]))
+            for old, n in self._counted(i, around[(around >= 0) & (around < len(block) - 1)]).items():
+                change[old] -= n
+            keep = np.ones(len(block), bool)
+            keep[at + 1] = False
+            block[at] = new
+            self.blocks[i] = block[keep]
+            at = at - np.arange(len(at))
+            around = np.unique(np.concatenate([at - 1, at]))
+            for fresh, n in self._counted(i, around[around >= 0]).items():
+                change[fresh] += n
+        return change
+
+
+def learn(counts: dict[str, int] | Iterable[tuple[str, int]], size: int, least: int) -> Vocabulary:
     """Merge the most frequent pair of neighbours again and again, until `size` tokens or no pair occurs `least` times.
 
-    Pieces are kept with their counts, and each pair with the pieces it stands in, so that a merge touches only these. Of
-    equally frequent pairs the first by ids goes first.
+    counts: different pieces, each with its count, in any order. They are kept as blocks of numbers, and a merge goes through
+    all of them. Of equally frequent pairs the first by ids goes first.
     """
-    alphabet = sorted({c for p in counts for c in p})
-    tokens = [*SPECIALS, *BYTES, *alphabet]
+    pieces = _Pieces(counts.items() if isinstance(counts, dict) else counts, size)
+    tokens = [*SPECIALS, *BYTES, *pieces.alphabet]
     ids = {t: i for i, t in enumerate(tokens)}
-    words = [[ids[c] for c in p] for p in counts]
-    weight = list(counts.values())
-    total: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for w, word in enumerate(words):
-        for pair in zip(word, word[1:], strict=False):
-            total[pair] += weight[w]
-            where[pair].add(w)
+    total = pieces.pairs()
     heap = [(-n, pair) for pair, n in total.items()]
     heapq.heapify(heap)
     merges: list[tuple[str, str]] = []
@@ -161,33 +246,17 @@ def learn(counts: dict[str, int], size: int, least: int) -> Vocabulary:
             new = ids[joined] = len(tokens)
             tokens.append(joined)
         merges.append((tokens[pair[0]], tokens[pair[1]]))
-        changed: set[tuple[int, int]] = set()
-        for w in where.pop(pair):
-            word, out, i = words[w], [], 0
-            while i < len(word):
-                if i + 1 < len(word) and (word[i], word[i + 1]) == pair:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(word[i])
-                    i += 1
-            for old in zip(word, word[1:], strict=False):
-                total[old] -= weight[w]
-            for fresh in zip(out, out[1:], strict=False):
-                total[fresh] += weight[w]
-                where[fresh].add(w)
-                changed.add(fresh)
-            words[w] = out
+        for changed, by in pieces.merge(pair, new).items():
+            total[changed] += by
+            if by > 0:
+                heapq.heappush(heap, (-total[changed], changed))
         total.pop(pair, None)
-        for fresh in changed:
-            if total[fresh] > 0:
-                heapq.heappush(heap, (-total[fresh], fresh))
     return Vocabulary(tuple(tokens), tuple(merges))
 
 
 def train(texts: DataFrame, text: str, size: int, least: int) -> Vocabulary:
-    """From the pieces of all texts: what the driver gets is one row for each different piece."""
-    return learn({r.piece: r.n for r in piece_counts(texts, text).orderBy("piece").toLocalIterator()}, size, least)
+    """From the pieces of all texts: what the driver gets is one row for each different piece, a partition at a time."""
+    return learn(((r.piece, r.n) for r in piece_counts(texts, text).toLocalIterator()), size, least)
 
 
 def encoded(text: Column, vocabulary: Vocabulary, spark) -> Column:
