@@ -77,10 +77,11 @@ class LineIndex:
 
 
 def line_index(spark: SparkSession, path: str, block: int | None = None) -> LineIndex:
-    """The index of a text file, counted by one task a block; a row for each block reaches the driver."""
+    """The index of a text file, counted block by block by tasks that take some BLOCK bytes each, in small files fewer; of each block a number reaches the driver."""
     block = block or BLOCK
     size = size_of(path)
     many = max(1, -(-size // block))
+    tasks = min(many, max(-(-size // BLOCK), spark.sparkContext.defaultParallelism))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with opened(path) as raw:
@@ -88,11 +89,11 @@ def line_index(spark: SparkSession, path: str, block: int | None = None) -> Line
                 ids = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_pydict({"block": ids, "ends": [line_ends(raw, i * block, min(size, (i + 1) * block)) for i in ids]})
 
-    rows = spark.range(0, many, 1, many).mapInArrow(count, "block bigint, ends bigint").collect()
+    found = spark.range(0, many, 1, tasks).mapInArrow(count, "block bigint, ends bigint").toArrow().sort_by("block")
     with opened(path) as raw:
         raw.seek(max(0, size - 1))
         open_end = raw.read(1) not in (b"", b"\n", b"\r")
-    return LineIndex.counted([r.ends for r in sorted(rows)], size, block, open_end)
+    return LineIndex.counted(found.column("ends").to_pylist(), size, block, open_end)
 
 
 class AlignedText(DataSource):
