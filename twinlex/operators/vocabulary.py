@@ -15,6 +15,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -259,9 +260,9 @@ def train(texts: DataFrame, text: str, size: int, least: int) -> Vocabulary:
     return learn(((r.piece, r.n) for r in piece_counts(texts, text).toLocalIterator()), size, least)
 
 
-def encoded(text: Column, vocabulary: Vocabulary, spark) -> Column:
-    """array<int> without specials. Pieces are cut in the JVM; the merges are broadcast once."""
-    shared = spark.sparkContext.broadcast(vocabulary)
+def encoded(text: Column, vocabulary: Vocabulary, spark, shared: Broadcast | None = None) -> Column:
+    """array<int> without specials. Pieces are cut in the JVM; the merges are broadcast once, or by the caller: columns that share them share a worker's memo."""
+    shared = shared or spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode(lists: pa.Array) -> pa.Array:

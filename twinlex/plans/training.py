@@ -63,7 +63,8 @@ def tokenized(pairs: DataFrame, learnt: Vocabulary, cfg: TrainingConfig, seed: i
         raise ValueError("a vocabulary of more than 65,536 tokens doesn't fit the cache")
     rows = corpus.capped(pairs.filter(corpus.subset(cfg.subset)), ["en", "am"], cfg.max_pairs, seed)
     spark = pairs.sparkSession
-    return rows.select(*[vocabulary.encoded(F.col(c), learnt, spark).alias(f"{c}_ids") for c in ("en", "am")])
+    shared = spark.sparkContext.broadcast(learnt)
+    return rows.select(*[vocabulary.encoded(F.col(c), learnt, spark, shared).alias(f"{c}_ids") for c in ("en", "am")])
 
 
 def token_cache(spark: SparkSession, cfg: Config, learnt: Vocabulary) -> tuple[DataFrame, dict]:
